@@ -21,13 +21,13 @@ from deltaloom.llm.common import one_core, sha256_hex, slices, stage, text_key,
 from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of
 
 #: Words in the broadcast head.
-HEAD_ROWS = 196_608
+HEAD_ROWS = 524_288
 _GAP = 0xFFFFFF
 
 
 def _tail_rows(tokenizer: str, shared):
     """(piece, doc_id, key, positions) of the words outside of the head."""
-    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.binary()), ("positions", pa.binary())])
+    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("positions", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
@@ -36,9 +36,10 @@ def _tail_rows(tokenizer: str, shared):
             piece, doc, key, at = [], [], [], []
             for d, t, k in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 gaps: dict[str, list[int]] = {}
-                for i, p in enumerate(split.pieces(t) if t else ()):
-                    if p not in known:
-                        gaps.setdefault(p, []).append(i)
+                found = split.pieces(t) if t else []
+                for i, own in enumerate(map(known.get, found)):
+                    if own is None:
+                        gaps.setdefault(found[i], []).append(i)
                 for p, where in gaps.items():
                     piece.append(p), doc.append(d), key.append(k), at.append(np.array(where, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((piece, doc, key, at), schema, strict=True)], schema=schema)
@@ -48,17 +49,17 @@ def _tail_rows(tokenizer: str, shared):
 
 def _skeletons(tokenizer: str, shared):
     """(doc_id, key, positions null, body): ranks of 3 bytes each, packed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("positions", pa.binary()), ("body", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("positions", pa.binary()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
-        split, rank, pack = splitter(tokenizer), {p: i for i, p in enumerate(shared.value)}, zstandard.ZstdCompressor(level=1)
+        split, rank, pack = splitter(tokenizer), {p: i for i, p in enumerate(shared.value)}, zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
             doc, _, key = (part.column(i) for i in range(3))
             bodies = []
             for t in part.column(1).to_pylist():
                 p = split.pieces(t) if t else []
-                r = np.fromiter((rank.get(x, _GAP) for x in p), np.uint32, len(p))
+                r = np.array([_GAP if x is None else x for x in map(rank.get, p)], np.uint32)
                 # planes of equal bytes compress better than interleaved ones
                 bodies.append(pack.compress(np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([doc, key, pa.nulls(len(bodies), pa.binary()), pa.array(bodies, pa.binary())], schema=schema)
@@ -115,9 +116,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, head: int = HEAD_ROWS, doc_id
     texts = texts_of(docs, doc_id, text).withColumn("key", text_key(F.col("text")))
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=True), "words")
     shared = spark.sparkContext.broadcast(head_of(table, "ids", head))
-    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, doc_id long, key binary, positions binary")
+    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, doc_id long, key long, positions binary")
     placed = tail.join(table.select("piece", F.col("ids").alias("body")), "piece").select("doc_id", "key", "positions", "body")
-    bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "doc_id long, key binary, positions binary, body binary")
+    bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "doc_id long, key long, positions binary, body binary")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     met = placed.unionAll(bodies).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", F.col("positions").isNull())
     return met.mapInArrow(_assembled(tokenizer, shared, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

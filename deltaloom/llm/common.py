@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import os
 import uuid
@@ -11,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Rows that a Python worker handles at once inside one Arrow batch.
 SLICE_ROWS = 256
@@ -46,6 +49,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     _staged.append((spark, path))
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind what is written now
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -69,8 +74,8 @@ def _clear() -> None:
 
 
 def text_key(text: Column) -> Column:
-    """A 128-bit key of a text (null counts as empty), to tell rows of one doc_id apart."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    """A 64-bit key of a text (null counts as empty), to tell rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,20 +89,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def per_slice(schema: pa.Schema, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = SLICE_ROWS):
-    """A mapInArrow function that calls make() once a task, and its result for every slice of rows.
+def annotate(docs: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.DataType]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The columns `keep` of docs, unchanged, and new columns that are made from whole texts.
 
-    What that returns is a list of columns for schema.
+    make() is called once a task; its result takes a list of texts (or nulls) and returns one list or
+    array for each of `fields`. No shuffle: rows stay in their partitions, and Arrow passes the kept
+    columns through.
     """
+    clash = [n for n, _ in fields if n in keep]
+    if clash:
+        raise ValueError(f"columns of the input clash with results: {clash}")
+    hidden = text not in keep
+    source = docs.select(*keep, *([text] if hidden else []))
+    at = source.columns.index(text)
+    out = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, from_arrow_type(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         work = make()
-        for part in slices(batches, rows):
-            columns = work(part)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for part in slices(batches):
+            new = work(part.column(at).cast(pa.string()).to_pylist())
+            columns = [part.column(i) for i in range(len(keep))] + [pa.array(x, t) for x, (_, t) in zip(new, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in fields)])
 
-    return run
+    return source.mapInArrow(run, out)
 
 
 def one_core() -> None:

@@ -3,12 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltaloom.llm.common import crc_mod
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+#: Labelled documents that a classifier is fitted on, at most.
+LANGUAGE_SAMPLE, TOXIC_SAMPLE_PER_CLASS = 6_000, 3_000
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm import toxicity
+
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(toxicity.sample_labelled(docs, _table(spark, sf_dir, "labels"), TOXIC_SAMPLE_PER_CLASS, held_out_mod=5))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.media import media_columns
+
+    return media_columns(_documents(spark, sf_dir), ["doc_id"], media=False)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm import langid
+
+    docs = _documents(spark, sf_dir)
+    known = docs.filter(crc_mod(F.col("doc_id"), 4) != 2)
+    model = langid.fit(langid.sample_labelled(known, LANGUAGE_SAMPLE))
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +49,20 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm import quality
+    from deltaloom.llm.common import stage
+
+    measured = stage(quality.measure(_documents(spark, sf_dir), ["doc_id"]), "measured")
+    rules = quality.learn_rules(measured, _table(spark, sf_dir, "labels"))
+    return quality.judged(measured, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm.token_counts import token_counts
 
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {"op6_bpe_codec": op6_bpe_codec, "op10_token_counts": op10_token_counts}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op5_language, op6_bpe_codec, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}

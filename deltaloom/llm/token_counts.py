@@ -88,7 +88,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, head: int = HEAD_R
     texts = texts_of(docs, doc_id, text)
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=False), "pieces")
     shared = spark.sparkContext.broadcast(head_of(table, "n", head))
-    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("n_bytes", pa.int64())])
+    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_bytes", pa.int64())])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, head: int = HEAD_R
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((piece, doc, key, n, n_bytes), schema, strict=True)], schema=schema)
 
     # A row with n_bytes is a document with its head's tokens; its piece, which no pre-token equals, spreads it.
-    rows = texts.withColumn("key", text_key(F.col("text"))).mapInArrow(frequencies, "piece string, doc_id long, key binary, n long, n_bytes long")
+    rows = texts.withColumn("key", text_key(F.col("text"))).mapInArrow(frequencies, "piece string, doc_id long, key long, n long, n_bytes long")
     joined = rows.join(table.select("piece", F.col("n").alias("pieces")), "piece", "left")
     own = F.col("n_bytes").isNotNull()
     summed = joined.groupBy("doc_id", "key").agg(
