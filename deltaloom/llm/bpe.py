@@ -28,6 +28,7 @@ def _plain_class(kind: str = "") -> str:
     return "".join(re.escape(c) for c in map(chr, _PLAIN_POINTS) if unicodedata.category(c).startswith(kind))
 
 
+_GROUPED_STOPS = re.compile(r"[.,](?:\S|(?<![^\W_][.,]))")
 _PLAIN = re.compile(f"[{_plain_class()}]*")
 
 
@@ -65,6 +66,7 @@ class Splitter:
         pattern = pattern.replace(r"\p{L}\p{N}", _plain_class("L") + _plain_class("N"))
         self.pattern = re.compile(pattern)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self._ends = {i for t, i in spec["model"]["vocab"].items() if t.endswith(self.suffix)} if self.suffix else set()
         if self.spaceless:
             from tokenizers import Regex, pre_tokenizers
 
@@ -92,13 +94,36 @@ class Splitter:
         return list(chain.from_iterable([x] if x in self.special else self._segment(x) for x in self._specials.split(text) if x))
 
     def words(self, text: str) -> list[str]:
-        """Parts no longer than pieces() would merge: white-space words where white space is dropped."""
+        """Parts whose ids, in order, are the text's: white-space words where white space is dropped.
+
+        A full stop or comma between a letter or digit and white space is a pre-token of its own, so it
+        is cut off: the distinct parts are then about the distinct pre-tokens.
+        """
         if self.spaceless and not self.has_special(text) and self.plain(text):
-            return text.lower().split()
+            text = text.lower()
+            if not _GROUPED_STOPS.search(text):
+                text = text.replace(",", " ,").replace(".", " .")
+            return text.split()
         return self.pieces(text)
 
     def encode_many(self, parts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        """The library's ids of each part."""
+        if not self.suffix:
+            return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        # Parts of one pre-token each go to the library as one text; ids that end a word cut the result.
+        out: list = [None] * len(parts)
+        alone = [i for i, p in enumerate(parts) if p.isalpha() and self.plain(p)]
+        for at in range(0, len(alone), 512):
+            group = alone[at : at + 512]
+            ids = self.library.encode_batch_fast([" ".join([parts[i] for i in group])], add_special_tokens=False)[0].ids
+            ends = [k + 1 for k, x in enumerate(ids) if x in self._ends]
+            if len(ends) == len(group):
+                for i, a, b in zip(group, [0, *ends], ends, strict=False):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = x.ids
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -110,16 +135,23 @@ def splitter(name: str) -> Splitter:
 class CachedEncoder:
     """Ids of whole texts as arrays of 16-bit numbers; at most `bound` distinct parts are remembered."""
 
-    def __init__(self, name: str, bound: int = 250_000):
+    def __init__(self, name: str, bound: int = 500_000):
         self.split, self.bound, self.known = splitter(name), bound, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.split.words(t) if t else [] for t in texts]
         known = self.known
         new = [p for p in set(chain.from_iterable(parts)) if p not in known]
-        if len(known) + len(new) > self.bound:
-            known.clear()
-            new = list(set(chain.from_iterable(parts)))
         if new:
-            known.update(zip(new, (np.array(x, "<u2").tobytes() for x in self.split.encode_many(new)), strict=True))
+            found = dict(zip(new, (np.array(x, "<u2").tobytes() for x in self.split.encode_many(new)), strict=True))
+            if len(known) < self.bound:
+                known.update(found)
+            else:  # full of the parts that came first, which the frequent ones are among
+                known = {p: known.get(p) or found[p] for p in set(chain.from_iterable(parts))}
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u2") for p in parts]
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str) -> CachedEncoder:
+    """One a worker process and vocabulary, so that tasks of a worker share what is known."""
+    return CachedEncoder(name)

@@ -34,6 +34,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir), ["doc_id"], media=False)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_documents(spark, sf_dir), WORD_BPE, end_id=1))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import langid
 
@@ -64,5 +70,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op5_language, op6_bpe_codec, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
