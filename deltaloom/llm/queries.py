@@ -55,6 +55,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), WORD_BPE, end_id=0, capacity=2048)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import quality
     from deltaloom.llm.common import stage
@@ -70,5 +76,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
