@@ -20,6 +20,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.substring import repeat_report
+
+    return repeat_report(_documents(spark, sf_dir), window=50)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import toxicity
 
@@ -76,5 +82,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
