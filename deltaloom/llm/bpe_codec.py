@@ -1,17 +1,20 @@
 """Byte-level BPE over a distinct-word table, and decoding through an id-to-piece table.
 
-Plan: the distinct pre-tokens are encoded once (see token_counts). Each document becomes a skeleton
-that holds its words in order, as ranks in the broadcast head of bounded size; words outside of the
-head leave a gap, and go with their positions through a shuffle join with the table of distinct words.
-Skeletons and joined words meet again by document, where ids are put in place by position.
+Plan: the distinct pre-tokens are encoded once (see token_counts). Each slice of SLICE_ROWS documents
+becomes a skeleton that holds its words in order, as ranks in the broadcast head of bounded size; words
+outside of the head leave a gap, and go with their positions through a shuffle join with the table of
+distinct words. Skeletons and joined words meet again by slice, where ids are put in place by position.
+A skeleton is about a third of its texts, so less is moved than by texts or ids.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,71 +28,84 @@ HEAD_ROWS = 524_288
 _GAP = 0xFFFFFF
 
 
+def _slice_key(doc_ids: list, keys: list) -> int:
+    """A 64-bit name of a slice of rows, the same in both passes; equal slices are alike, so they may share it."""
+    return xxhash.xxh3_64_intdigest(repr((doc_ids, keys)).encode()) - (1 << 63)
+
+
 def _tail_rows(tokenizer: str, shared):
-    """(piece, doc_id, key, positions) of the words outside of the head."""
-    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("positions", pa.binary())])
+    """(piece, slice, positions) of the words outside of the head; positions count through the slice's words."""
+    schema = pa.schema([("piece", pa.string()), ("slice", pa.int64()), ("positions", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         split, known = splitter(tokenizer), shared.value
         for part in slices(batches):
-            piece, doc, key, at = [], [], [], []
-            for d, t, k in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                gaps: dict[str, list[int]] = {}
+            docs, texts, keys = (c.to_pylist() for c in part.columns)
+            gaps: dict[str, list[int]] = {}
+            at = 0
+            for t in texts:
                 found = split.pieces(t) if t else []
-                for i, own in enumerate(map(known.get, found)):
+                for i, own in enumerate(map(known.get, found), at):
                     if own is None:
-                        gaps.setdefault(found[i], []).append(i)
-                for p, where in gaps.items():
-                    piece.append(p), doc.append(d), key.append(k), at.append(np.array(where, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((piece, doc, key, at), schema, strict=True)], schema=schema)
+                        gaps.setdefault(found[i - at], []).append(i)
+                at += len(found)
+            places = [np.array(where, "<u4").tobytes() for where in gaps.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(gaps.keys(), pa.string()), pa.array([_slice_key(docs, keys)] * len(gaps), pa.int64()), pa.array(places, pa.binary())], schema=schema)
 
     return run
 
 
 def _skeletons(tokenizer: str, shared):
-    """(doc_id, key, positions null, body): ranks of 3 bytes each, packed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("positions", pa.binary()), ("body", pa.binary())])
+    """(slice, positions null, body): the documents' ids and lengths in words, and ranks of 3 bytes, packed."""
+    schema = pa.schema([("slice", pa.int64()), ("positions", pa.binary()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         split, rank, pack = splitter(tokenizer), {p: i for i, p in enumerate(shared.value)}, zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
-            doc, _, key = (part.column(i) for i in range(3))
-            bodies = []
-            for t in part.column(1).to_pylist():
-                p = split.pieces(t) if t else []
-                r = np.array([_GAP if x is None else x for x in map(rank.get, p)], np.uint32)
-                # planes of equal bytes compress better than interleaved ones
-                bodies.append(pack.compress(np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([doc, key, pa.nulls(len(bodies), pa.binary()), pa.array(bodies, pa.binary())], schema=schema)
+            docs, texts, keys = (c.to_pylist() for c in part.columns)
+            found = [split.pieces(t) if t else [] for t in texts]
+            r = np.array([_GAP if x is None else x for p in found for x in map(rank.get, p)], np.uint32)
+            # planes of equal bytes compress better than interleaved ones
+            head = pickle.dumps((docs, [len(p) for p in found]))
+            body = pack.compress(len(head).to_bytes(8, "little") + head + np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([_slice_key(docs, keys)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([body], pa.binary())], schema=schema)
 
     return run
 
 
 def _assembled(tokenizer: str, shared, schema: pa.Schema):
-    """Documents of one task, each with its joined words before its skeleton, into ids and digests."""
+    """Slices of one task, each with its joined words before its skeleton, into ids and digests.
+
+    A word that a skeleton lacks is an error, so a lost row can't pass unseen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         heads = list(shared.value.values())
         pieces, unpack = id_to_piece(tokenizer), zstandard.ZstdDecompressor()
         now, gaps = None, {}
-        for part in slices(batches, 1024):
-            doc, count, ids_sha, text_sha = [], [], [], []
-            for d, k, at, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (d, k) != now:
-                    now, gaps = (d, k), {}
+        for part in slices(batches, 4096):
+            for key, at, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key != now:
+                    now, gaps = key, {}
                 if at is not None:
                     gaps.update(dict.fromkeys(np.frombuffer(at, "<u4").tolist(), body))
                     continue
-                low, mid, high = np.frombuffer(unpack.decompress(body), np.uint8).astype(np.uint32).reshape(3, -1)
+                raw = unpack.decompress(body)
+                begin = 8 + int.from_bytes(raw[:8], "little")
+                docs, lengths = pickle.loads(raw[8:begin])
+                low, mid, high = np.frombuffer(raw, np.uint8, offset=begin).astype(np.uint32).reshape(3, -1)
                 ranks = (low | mid << 8 | high << 16).tolist()
-                raw = b"".join([heads[r] if r != _GAP else gaps[i] for i, r in enumerate(ranks)])
-                ids = np.frombuffer(raw, "<u2")
-                doc.append(d), count.append(len(ids)), ids_sha.append(sha256_hex(ids.astype("<u4").tobytes()))
-                text_sha.append(sha256_hex(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc, count, ids_sha, text_sha), schema, strict=True)], schema=schema)
+                words = [heads[r] if r != _GAP else gaps[i] for i, r in enumerate(ranks)]
+                count, ids_sha, text_sha, start = [], [], [], 0
+                for n in lengths:
+                    ids = np.frombuffer(b"".join(words[start : start + n]), "<u2")
+                    start += n
+                    count.append(len(ids)), ids_sha.append(sha256_hex(ids.astype("<u4").tobytes()))
+                    text_sha.append(sha256_hex(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs, count, ids_sha, text_sha), schema, strict=True)], schema=schema)
 
     return run
 
@@ -116,9 +132,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, head: int = HEAD_ROWS, doc_id
     texts = texts_of(docs, doc_id, text).withColumn("key", text_key(F.col("text")))
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=True), "words")
     shared = spark.sparkContext.broadcast(head_of(table, "ids", head))
-    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, doc_id long, key long, positions binary")
-    placed = tail.join(table.select("piece", F.col("ids").alias("body")), "piece").select("doc_id", "key", "positions", "body")
-    bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "doc_id long, key long, positions binary, body binary")
+    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, slice long, positions binary")
+    placed = tail.join(table.select("piece", F.col("ids").alias("body")), "piece").select("slice", "positions", "body")
+    bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "slice long, positions binary, body binary")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    met = placed.unionAll(bodies).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", F.col("positions").isNull())
+    met = placed.unionAll(bodies).repartition("slice").sortWithinPartitions("slice", F.col("positions").isNull())
     return met.mapInArrow(_assembled(tokenizer, shared, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ import atexit
 import gc
 import hashlib
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,15 +48,26 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if not _staged:
         atexit.register(_clear)
     _staged.append((spark, path))
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind what is written now
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.mode("errorifexists").partitionBy(*partition_by or []).parquet(path)
+    schema = df.schema
+    del df
+    drop_shuffles(spark)
+    out = spark.read.schema(schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that nothing needs any more.
+
+    The last query is still held by the event queue for a moment, so a second collection follows.
+    """
+    gc.collect()
+    for pause in (0.8, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Drop staged tables that nothing lazy reads any more."""
     for df in tables:
