@@ -67,6 +67,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), WORD_BPE, end_id=0, capacity=2048)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.minhash import near_duplicates
+
+    found = near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import quality
     from deltaloom.llm.common import stage
@@ -82,5 +89,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
