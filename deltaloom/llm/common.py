@@ -95,6 +95,14 @@ def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs with neutral column names, so that none clashes with an operator's own; the neutral name of a
+    column; and what selects the columns again under their names."""
+    names = docs.columns
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    return plain, lambda name: f"_c{names.index(name)}", lambda df: df.select(*(F.col(f"_c{i}").alias(name) for i, name in enumerate(names)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import one_core, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import one_core, shielded, slices, stage, text_key, texts_of, unstage
 from deltaloom.llm.substring import split_words
 
 #: Words of a shingle, least similarity of a link, bands and slots of a band.
@@ -322,5 +322,6 @@ def first_of_each_class(docs: DataFrame, similar: float = SIMILAR, doc_id: str =
     it stay with it); rows without a doc_id all stay.
     """
     found = near_duplicates(docs, similar, doc_id=doc_id, text=text).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    marked = docs.withColumns({"_row_id": F.col(doc_id).cast("long"), "_row_key": text_key(F.col(text))})
-    return marked.join(found, (F.col("_row_id") == F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_anti").select(*docs.columns)
+    plain, name, back = shielded(docs)
+    same = (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(F.col(name(text))) == F.col("_key"))
+    return back(plain.join(found, same, "left_anti"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import annotate
+from deltaloom.llm.common import annotate, shielded
 
 #: Signals by name: what they are is in _measure().
 SIGNALS = ("symbols", "dup_lines", "repeats", "exclaims", "upper", "long_words")
@@ -175,3 +175,9 @@ def base_failed() -> Column:
 def judged(measured: DataFrame, rules: Rules) -> DataFrame:
     """Adds base_failed and kept. Documents with no words fail the base rules."""
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & rules.verdict())
+
+
+def passing(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
+    """The rows of docs that neither the base rules nor a cutoff rejects, with all their columns."""
+    plain, name, back = shielded(docs)
+    return back(judged(measure(plain, plain.columns, name(text)), rules).filter("kept"))

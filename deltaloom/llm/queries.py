@@ -9,7 +9,7 @@ from deltaloom.llm.common import crc_mod
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Labelled documents that a classifier is fitted on, at most.
-LANGUAGE_SAMPLE, TOXIC_SAMPLE_PER_CLASS = 6_000, 3_000
+LANGUAGE_SAMPLE, TOXIC_SAMPLE, CLEAN_SAMPLE = 6_000, 4_000, 8_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import toxicity
 
     docs = _documents(spark, sf_dir)
-    model = toxicity.fit(toxicity.sample_labelled(docs, _table(spark, sf_dir, "labels"), TOXIC_SAMPLE_PER_CLASS, held_out_mod=5))
+    model = toxicity.fit(toxicity.sample_labelled(docs, _table(spark, sf_dir, "labels"), TOXIC_SAMPLE, CLEAN_SAMPLE, held_out_mod=5))
     return toxicity.score(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

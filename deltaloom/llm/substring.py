@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import one_core, sha256_hex, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import one_core, sha256_hex, shielded, slices, stage, text_key, texts_of, unstage
 
 #: Words of a prefix, runs from which on it is lengthened, and words of the groups that are refined at a time.
 GRAM, HEAVY, GROUP_WORDS = 16, 4096, 1 << 19
@@ -296,6 +296,7 @@ def without_repeats(docs: DataFrame, window: int = 50, heavy: int = HEAVY, doc_i
     whole = measured.filter("whole").select("doc_id", "key", F.lit("").alias("_kept")).distinct()
     new = changed.select("doc_id", "key", F.col("kept").alias("_kept")).unionAll(whole)
     new = new.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    marked = docs.withColumns({"_row_id": F.col(doc_id).cast("long"), "_row_key": text_key(F.col(text))})
-    joined = marked.join(new, (F.col("_row_id") == F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left")
-    return joined.withColumn(text, F.coalesce(F.col("_kept"), F.col(text))).select(*docs.columns)
+    plain, name, back = shielded(docs)
+    own = F.col(name(text))
+    joined = plain.join(new, (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(own) == F.col("_key")), "left")
+    return back(joined.withColumn(name(text), F.coalesce(F.col("_kept"), own)))

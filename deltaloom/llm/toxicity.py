@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import annotate, crc_mod
+from deltaloom.llm.common import annotate, crc_mod, shielded
 
-BUCKETS, DIM, GRAMS, MIN_DOCS = 1 << 18, 2, (3, 4, 5), 3
+BUCKETS, DIM, GRAMS, MIN_DOCS, LEARNT_DOCS = 1 << 18, 2, (3, 4, 5), 3, 10
 #: Distinct words that a task remembers the contribution of.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -43,13 +44,6 @@ class ToxicModel:
     table: np.ndarray  # by bucket: its vector along the softmax's difference
 
 
-def _spread(starts: np.ndarray, lens: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Places of the features of each of `words` in the flat list of all words' features."""
-    n = lens[words].astype(np.int64)
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[words], n)
-
-
 def _line(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit of y on x, by damped Newton steps."""
     spread = float(x.std()) or 1.0
@@ -64,56 +58,68 @@ def _line(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float
     return slope / spread, offset
 
 
-def fit(samples: list[tuple[str, int]], epochs: int = 60, rate: float = 0.5, decay: float = 0.0, prior: float = 0.25) -> ToxicModel:
-    """Trains on (text, label) pairs; classes are weighted so that the toxic one has the share `prior`."""
-    bags = [(Counter(_WORD.findall(t.lower())), y) for t, y in samples]
-    bags = [(b, y) for b, y in bags if b]
-    y = np.array([v for _, v in bags], np.float32)
+def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3, prior: float = 0.06) -> ToxicModel:
+    """Trains on (text, label) pairs; classes are weighted so that the toxic one has the share `prior`.
+
+    Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
+    documents only count in their documents' lengths: on their own they would be learnt by heart.
+    """
+    number: dict[str, int] = {}
+    words_of, shares, y = [], [], []
+    for text, label in samples:
+        bag = Counter(_WORD.findall(text.lower()))
+        if bag:
+            words_of.append(np.array([number.setdefault(w, len(number)) for w in bag], np.int32))
+            shares.append(np.array(list(bag.values()), np.float32) / bag.total())
+            y.append(label)
+    y = np.array(y, np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicModel(-4.0 if not len(y) or y.max() < 1 else 4.0, np.zeros(BUCKETS, np.float32))
-    # A word of one document only counts in its document's length: on its own it would only be learnt by heart.
-    seen = Counter(w for b, _ in bags for w in b)
-    index = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c > MIN_DOCS - 1))}
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(w) for w in words_of])
+    doc_word, weight = np.concatenate(words_of), np.concatenate(shares)
+    common = np.bincount(doc_word, minlength=len(number)) >= MIN_DOCS
+    kept = common[doc_word]
+    doc_of, weight, doc_word = doc_of[kept], weight[kept], (np.cumsum(common, dtype=np.int32) - 1)[doc_word[kept]]
+    index = [w for w, c in zip(number, common.tolist(), strict=True) if c]
+    del number, words_of, shares
     if not index:
         return ToxicModel(-4.0, np.zeros(BUCKETS, np.float32))
-    flat, starts = [], []
-    for w in index:
-        starts.append(len(flat))
-        flat += features(w)
-    flat, starts = np.array(flat, np.int32), np.array(starts, np.int64)
-    lens = np.diff(np.append(starts, len(flat))).astype(np.float32)
-    entries = [(d, index[w], c / b.total()) for d, (b, _) in enumerate(bags) for w, c in b.items() if w in index]
-    doc_of, doc_word = np.array([e[0] for e in entries], np.int64), np.array([e[1] for e in entries], np.int64)
-    weight = np.array([e[2] for e in entries], np.float32)
+    parts = [np.array(features(w), np.int32) for w in index]
+    lens, flat = np.array([len(p) for p in parts], np.float32), np.concatenate(parts)
     share = np.where(y > 0, prior / (y > 0).sum(), (1 - prior) / (y < 1).sum()).astype(np.float32)
 
     used, flat = np.unique(flat, return_inverse=True)
-    word_of = np.repeat(np.arange(len(index)), lens.astype(np.int64))
+    flat = flat.astype(np.int32)
+    word_of = np.repeat(np.arange(len(index), dtype=np.int32), lens.astype(np.int64))
     vectors = np.zeros((len(used), DIM), np.float32)
     out = np.array([[-0.5] * DIM, [0.5] * DIM], np.float32)
-    # Start from what a feature's presence tells: its log odds, where they are beyond chance.
-    pairs = np.unique(np.repeat(doc_of, lens[doc_word].astype(np.int64)) * len(used) + flat[_spread(starts, lens, doc_word)])
-    toxic = np.bincount(pairs % len(used), y[pairs // len(used)], len(used))
-    clean = np.bincount(pairs % len(used), 1 - y[pairs // len(used)], len(used))
+    # Start from what a feature's presence in a document tells: its log odds, where they are beyond chance.
     n1, n0 = y.sum(), (1 - y).sum()
+    toxic, clean = np.zeros(len(used)), np.zeros(len(used))
+    numbered = np.split(flat, np.cumsum(lens.astype(np.int64))[:-1])
+    for label, words in zip(y, np.split(doc_word, np.searchsorted(doc_of, np.arange(1, len(y)))), strict=True):
+        if len(words):
+            (toxic if label > 0 else clean)[np.concatenate([numbered[w] for w in words])] += 1
     odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
     error = np.sqrt(1 / (toxic + 0.5) + 1 / (n1 - toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n0 - clean + 0.5))
-    vectors[:] = np.where(np.abs(odds) > 4 * error, odds, 0)[:, None] / DIM
-    start = np.bincount(doc_of, (np.bincount(word_of, vectors[flat].sum(1), len(index)) / lens)[doc_word] * weight, len(bags))
+    telling = np.abs(odds) > 4 * error
+    vectors[:] = np.where(telling, odds, 0)[:, None] / DIM
+    trained = (telling | (toxic + clean >= LEARNT_DOCS)).astype(np.float32)[:, None]
+    start = np.bincount(doc_of, (np.bincount(word_of, vectors[flat].sum(1), len(index)) / lens)[doc_word] * weight, len(y))
     scale, bias = _line(start, y, share)
     vectors *= scale
     bias = np.array([-bias / 2, bias / 2], np.float32)
     adam = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, out, bias)]
     for step in range(1, epochs + 1):
         words = np.stack([np.bincount(word_of, vectors[flat, d], len(index)) for d in range(DIM)], 1) / lens[:, None]
-        means = np.stack([np.bincount(doc_of, words[doc_word, d] * weight, len(bags)) for d in range(DIM)], 1)
+        means = np.stack([np.bincount(doc_of, words[doc_word, d] * weight, len(y)) for d in range(DIM)], 1)
         logits = means @ out.T + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - np.stack([1 - y, y], 1)) * share[:, None]
         g_mean = g @ out
         g_word = np.stack([np.bincount(doc_word, g_mean[doc_of, d] * weight, len(index)) for d in range(DIM)], 1) / lens[:, None]
-        g_vec = np.stack([np.bincount(flat, g_word[word_of, d], len(used)) for d in range(DIM)], 1) + decay * vectors
+        g_vec = np.stack([np.bincount(flat, g_word[word_of, d], len(used)) for d in range(DIM)], 1) * trained
         for param, grad, (m, v) in zip((vectors, out, bias), (g_vec, g.T @ means, g.sum(0)), adam, strict=True):
             m += 0.1 * (grad - m)
             v += 0.05 * (grad * grad - v)
@@ -123,8 +129,8 @@ def fit(samples: list[tuple[str, int]], epochs: int = 60, rate: float = 0.5, dec
     return ToxicModel(float(bias[1] - bias[0]), table)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_per_class: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """Labelled texts, at most about max_per_class of either label; chosen by a hash of the label's row.
+def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[str, int]]:
+    """Labelled texts, at most about most_toxic and most_clean of either label; chosen by a hash of the label's row.
 
     labels has doc_id and toxic; a document with both labels counts as toxic, nulls are left out. With
     held_out_mod, ids whose crc32 is divisible by it are never taken.
@@ -136,10 +142,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_per_class: int, held
     unit = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003
     chosen = F.lit(False)
     for label, n in sizes.items():
-        chosen = chosen | ((F.col("_y") == label) & (unit < min(1.0, max_per_class / n)))
+        chosen = chosen | ((F.col("_y") == label) & (unit < min(1.0, (most_toxic if label else most_clean) / n)))
     picked = known.filter(chosen)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
-    return [(r["_text"], int(r["_y"])) for r in rows.select("_text", "_y").toLocalIterator()]
+    return ((r["_text"], int(r["_y"])) for r in rows.select("_text", "_y").toLocalIterator())
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: list[str], text: str = "text") -> DataFrame:
@@ -171,3 +177,9 @@ def score(docs: DataFrame, model: ToxicModel, keep: list[str], text: str = "text
         return work
 
     return annotate(docs, text, keep, [("score", pa.float64()), ("predicted", pa.int32())], make)
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with all their columns."""
+    plain, name, back = shielded(docs)
+    return back(score(plain, model, plain.columns, name(text)).filter("predicted = 0"))
