@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,7 @@ class Index:
     old_symbols: DataFrame
     old_definitions: DataFrame
     diffs: DataFrame
+    keep: Callable[[DataFrame], DataFrame]
 
 
 def build_index(old: DataFrame, new: DataFrame, diffs: DataFrame | None = None, stage=None) -> Index:
@@ -85,7 +87,7 @@ def build_index(old: DataFrame, new: DataFrame, diffs: DataFrame | None = None,
     calls = P.table_of(parsed, "calls")
     edges = L.hierarchy(symbols, imports)
     linked, dropped = L.link(calls, symbols, imports, edges)
-    return Index(files, parsed, symbols, calls, P.table_of(parsed, "reads"), P.table_of(parsed, "shapes"), P.table_of(parsed, "definitions"), edges, keep(linked), dropped, L.symbols_with_names(P.table_of(parsed_old, "symbols")), P.table_of(parsed_old, "definitions"), diffs)
+    return Index(files, parsed, symbols, calls, P.table_of(parsed, "reads"), P.table_of(parsed, "shapes"), P.table_of(parsed, "definitions"), edges, keep(linked), dropped, L.symbols_with_names(P.table_of(parsed_old, "symbols")), P.table_of(parsed_old, "definitions"), diffs, keep)
 
 
 def touched_symbols(ix: Index) -> DataFrame:
@@ -255,7 +257,7 @@ def removed_units(ix: Index) -> DataFrame:
 
 def findings(ix: Index, floor: float = 0.45) -> DataFrame:
     """All provable findings, one of each (file, line, title), with `ord` as a stable order."""
-    changed = changed_symbols(ix)
+    changed = ix.keep(changed_symbols(ix))
     rows = call_findings(ix, changed).unionByName(override_findings(ix, changed)).unionByName(removed_findings(ix, removed_units(ix))).unionByName(field_findings(ix))
     rows = rows.withColumn("ord", F.xxhash64("repo", "file", "line", "title"))
     return first_wins(rows.filter(F.col("confidence") >= floor), ["repo", "file", "line", "title"], ["ord"]).select(*FINDING)
