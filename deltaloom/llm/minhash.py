@@ -11,8 +11,8 @@ Documents of equal words are collapsed first. Bands of ROWS slots with two or mo
    is paired with all members that the signatures don't rule out: one star, linear in the bucket.
    Pairs are verified exactly, and links become components.
 2. Members that are not in the main component of a bucket are then compared with all its members, in
-   blocks, and pairs that the signatures don't rule out are verified too. Links within a component
-   change nothing, so no link between different components is lost.
+   blocks, and pairs that the signatures don't rule out are verified in place: only links are emitted.
+   Links within a component change nothing, so no link between different components is lost.
 
 A bucket of more than CHUNK members is dealt to several tasks by a hash of the member; their centres get
 a star of their own, and the members of step 2 go to each of these tasks.
@@ -36,7 +36,12 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
 SLOTS = BANDS * ROWS
 #: Members of a bucket that a task takes at once; pairs whose signatures agree less aren't verified
 #: (three standard deviations below SIMILAR).
-CHUNK, RULED_OUT = 8192, 0.68
+CHUNK, RULED_OUT = 4096, 0.68
+#: Shingles of a document that are carried to its buckets in step 2; longer documents are verified by a join.
+CARRIED_SHINGLES = 4096
+
+#: Rows of ids (three numbers each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -178,28 +183,54 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node[c]]), pa.nulls(1, pa.int64()), pa.array([band]), pa.array([small[c].tobytes()], pa.binary())], names=["a", "b", "band", "small"])
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, sub, query, node, component, small), sorted: members of a part first, then queries, into pairs."""
-    one_core()
-    now, nodes, parts, smalls, own = None, [], [], [], None
-    for part in slices(batches, 1024):
-        found_a, found_b = [], []
-        for band, sub, query, node, component, small in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            if (band, sub) != now:
-                now, nodes, parts, smalls, own = (band, sub), [], [], [], None
-            if not query:
-                nodes.append(node), parts.append(component), smalls.append(small)
-                continue
-            if own is None:
-                own = np.array(nodes, np.int64), np.array(parts, np.int64), np.frombuffer(b"".join(smalls), np.uint8).reshape(len(smalls), SLOTS)
-            same = own[2] == np.frombuffer(small, np.uint8)
-            hit = np.flatnonzero((same.mean(axis=1) >= RULED_OUT) & (own[1] != component))
-            # Named once: in the first band that the two share.
-            first = same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            hit = hit[first == (band & 31)]
-            found_a += np.minimum(own[0][hit], node).tolist()
-            found_b += np.maximum(own[0][hit], node).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=_PAIR)
+def _bag(shingles: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(shingles, "<u8")
+    return h, np.frombuffer(counts, "<u4") if counts else np.ones(len(h), np.uint32)
+
+
+def _rest(similar: float):
+    """(band, sub, query, node, component, small, shingles, counts), sorted: members of a part first, then
+    queries, into (a, b, sure).
+
+    Pairs that the signatures don't rule out are verified at once, and only links go on (sure); a
+    component that a bucket has linked is not tried again there. Where a bag is too long to be carried,
+    the pair goes on unverified.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_core()
+        now, members, own, root = None, [], None, {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        for part in slices(batches, 256):
+            found = []
+            for band, sub, query, node, component, small, shingles, counts in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (band, sub) != now:
+                    now, members, own, root = (band, sub), [], None, {}
+                if not query:
+                    members.append((node, component, small, shingles, counts))
+                    continue
+                if own is None:
+                    own = np.array([m[1] for m in members], np.int64), np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), SLOTS)
+                same = own[1] == np.frombuffer(small, np.uint8)
+                hit = np.flatnonzero((same.mean(axis=1) >= RULED_OUT) & (own[0] != component))
+                # A pair is looked at once: in the first band that the two share.
+                hit = hit[same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1) == (band & 31)]
+                bag = _bag(shingles, counts) if shingles is not None and len(hit) else None
+                for i in hit.tolist():
+                    other, its, _, theirs, c = members[i]
+                    if bag is None or theirs is None:
+                        found.append((min(node, other), max(node, other), False))
+                    elif top(its) != top(component) and probability_jaccard(*bag, *_bag(theirs, c)) >= similar:
+                        root[top(its)] = top(component)
+                        found.append((min(node, other), max(node, other), True))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "sure"])
+
+    return run
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +252,7 @@ def _linked(similar: float):
             keep = []
             columns = [c.to_pylist() for c in part.columns]
             for i, (ha, ca, hb, cb) in enumerate(zip(*columns[2:], strict=True)):
-                ha, hb = np.frombuffer(ha, "<u8"), np.frombuffer(hb, "<u8")
-                ca = np.frombuffer(ca, "<u4") if ca else np.ones(len(ha), np.uint32)
-                cb = np.frombuffer(cb, "<u4") if cb else np.ones(len(hb), np.uint32)
-                if probability_jaccard(ha, ca, hb, cb) >= similar:
+                if probability_jaccard(*_bag(ha, ca), *_bag(hb, cb)) >= similar:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64()))], schema=_PAIR)
 
@@ -278,13 +306,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     known = measured.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     classes = stage(known.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
     firsts = known.filter(F.col("bands").isNotNull()).join(classes.withColumnRenamed("first_id", "doc_id"), ["node", "doc_id"], "left_semi")
-    banded = firsts.select("doc_id", "key", "node", "small", F.explode("bands").alias("band"))
+    # Names of bands are counted and joined without signatures; those go to the members of buckets only.
+    banded = firsts.select("doc_id", "key", "node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = stage(shared.select("band", F.ceil(F.col("members") / chunk).cast("int").alias("parts")), "buckets")
-    members = banded.join(shared, "band").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.hash("node"), F.col("parts"))))
-    members = stage(members, "members")
-    found = texts.join(members.select("doc_id", "key", "node").distinct(), ["doc_id", "key"]).select("node", "text")
-    bags = stage(found.dropDuplicates(["node"]).mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
+    bucketed = stage(banded.join(shared, "band").select("band", "parts", "doc_id", "key", "node"), "bucketed")
+    involved = stage(bucketed.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("at")).select("node", "at.*"), "involved")
+    small = firsts.select("node", "doc_id", "key", "small").join(involved, ["node", "doc_id", "key"]).dropDuplicates(["node"]).select("node", "small")
+    members = bucketed.join(small, "node").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.hash("node"), F.col("parts"))))
+    members = stage(members.select("band", "parts", "sub", "node", "small"), "members")
+    unstage(bucketed, shared)
+    # Texts of members only; a list of ids that is counted to be short is broadcast, so that no text is moved.
+    wanted = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
+    found = texts.join(wanted, ["doc_id", "key"]).select("node", "text")
+    bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
 
     stars = stage(members.select("band", "sub", "node", "small").repartition("band", "sub").sortWithinPartitions("band", "sub").mapInArrow(_stars, _STAR), "stars")
     pairs = stars.filter(F.col("b").isNotNull()).select("a", "b")
@@ -300,14 +335,21 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     sizes = label.groupBy("band", "component").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     main = stage(main.select("band", F.col("most.component").alias("main")), "mixed")
-    mixed = label.join(main, "band")
+    mixed = stage(label.join(main, "band"), "mixed-members")
+    nodes = mixed.select("node").distinct()
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    mixed = stage(mixed.join(carried, "node", "left"), "mixed-bags")
     queries = mixed.filter("component <> main").withColumn("sub", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
-    columns = ["band", "sub", "query", "node", "component", "small"]
+    columns = ["band", "sub", "query", "node", "component", "small", "shingles", "counts"]
     both = mixed.withColumn("query", F.lit(False)).select(columns).unionAll(queries.withColumn("query", F.lit(True)).select(columns))
-    more = both.repartition("band", "sub").sortWithinPartitions("band", "sub", "query").mapInArrow(_rest, "a long, b long")
-    added = stage(verified(more, bags, similar), "more-links")
+    more = stage(both.repartition("band", "sub").sortWithinPartitions("band", "sub", "query").mapInArrow(_rest(similar), "a long, b long, sure boolean"), "more")
+    added = more.filter("sure").select("a", "b")
+    open_ = more.filter("not sure").select("a", "b")
+    if open_.limit(1).count():
+        added = stage(added.unionAll(verified(open_, bags, similar)), "more-links")
     final = components(links.unionAll(added)) if added.limit(1).count() else first
-    unstage(members, label, bags, stars)
+    unstage(members, label, bags, stars, mixed, more)
 
     ids = classes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", F.col("node")).alias("component"))
     least = ids.groupBy("component").agg(F.min("first_id").alias("class_id"))
