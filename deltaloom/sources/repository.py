@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import re
 import subprocess
+from datetime import UTC, datetime
 from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +55,34 @@ def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), roo
     aren't UTF-8 are replaced. Read by Spark, so any file system that it knows will do."""
     where = [f"{root.rstrip('/')}/{r}" for r in roots] or [root]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(where)
-    # Spark's scan passes over empty files (such as most __init__.py): they are taken from its file listing.
     bare = F.regexp_replace("path", r"^[A-Za-z0-9]+:/+", "/")
-    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(bare.alias("full"))
-    read = files.select(bare.alias("full"), F.col("content").cast("string").alias("src"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    rows = listed.join(read, "full", "left").withColumn("src", F.coalesce("src", F.lit(""))).withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
+    rows = files.select(bare.alias("full"), F.col("content").cast("string").alias("src"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    rows = rows.unionByName(_underscored(spark, where))
     start = re.sub(r"^[A-Za-z0-9]+:/+", "/", root.rstrip("/")) + "/"
     rows = rows.select(F.lit(repo).alias("repo"), F.expr(f"substring(full, {len(start) + 1})").alias("path"), "src", "mtime", "size")
     return rows.filter(~F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda x: x.isin(*exclude, "") | x.startswith(".")))
 
 
+def _underscored(spark: SparkSession, where: list[str]) -> DataFrame:
+    """Python files whose names start with an underscore: Spark's scans take those for hidden, but every
+    package has one. They are listed and read by the same file system's client on the driver."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for root in where:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(conf)
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().getName()
+            if name.startswith("_") and name.endswith(".py"):
+                stream = fs.open(f.getPath())
+                data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                stream.close()
+                rows.append((f.getPath().toUri().getPath(), data.decode("utf-8", "replace"), datetime.fromtimestamp(f.getModificationTime() / 1000, tz=UTC), f.getLen()))
+    return spark.createDataFrame(rows, "full string, src string, mtime timestamp, size bigint")
+
+
 def files_at(spark: SparkSession, cwd: str, rev: str, paths: list[str], repo: str = "") -> DataFrame:
     """(repo, path, src) of some files at a revision; those that it doesn't have are left out."""
     rows = []
