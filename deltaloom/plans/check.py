@@ -44,7 +44,9 @@ def bind_problems(params: Column, is_method: Column, static: Column, resolution:
     by_name = F.when(strict, said(F.array_sort(F.array_intersect(given, names("posonly"))), "passes positional-only parameter `", "` as a keyword")).otherwise(none)
     needed = F.filter(ps, lambda p: p["kind"].isin("posonly", "arg", "kwonly") & ~p["has_default"] & ~F.array_contains(filled, p["name"]) & ~((p["kind"] != "posonly") & F.array_contains(given, p["name"])))
     missing = F.when(~star & ~double_star, said(F.transform(needed, lambda p: p["name"]), "is missing required argument `", "`")).otherwise(none)
-    twice = said(F.filter(filled, lambda x: F.array_contains(given, x)), "passes `", "` both positionally and as a keyword")
+    # A keyword of a positional-only parameter's name goes to **kwargs where there are any.
+    named = F.when(strict, filled).otherwise(F.filter(filled, lambda x: F.array_contains(names("arg"), x)))
+    twice = said(F.filter(named, lambda x: F.array_contains(given, x)), "passes `", "` both positionally and as a keyword")
     return F.when(implicit & ~bound, none).otherwise(F.concat(too_many, unknown, by_name, missing, twice))
 
 

@@ -57,7 +57,7 @@ def review(packets: DataFrame, reviewer: Reviewer, proven: DataFrame | None = No
         near = F.filter("callers", lambda c: (c["path"] == F.col("file")) & (F.abs(c["line"] - F.col("line")) <= 4))
         code = F.coalesce(F.get(near, F.lit(0))["snippet"], F.col("new_source"))
         ask = F.udf(verification_prompt, "string")("title", "detail", "file", "line", code)
-        judged = _asked(said.drop("callers", "new_source").withColumn("question", ask), "question", reviewer, workers).withColumn("v", verdict(F.col("content")))
+        judged = _asked(said.withColumn("question", ask).drop("callers", "new_source"), "question", reviewer, workers).withColumn("v", verdict(F.col("content")))
         judged = judged.filter(F.col("error").isNotNull() | F.col("v.real"))
         said = judged.withColumn("confidence", F.when(F.col("error").isNotNull(), F.col("confidence")).otherwise(F.least("confidence", F.coalesce("v.confidence", "confidence"))))
     columns = ["repo", "file", "line", "symbol", "severity", "category", "title", "detail", "confidence", "suggestion", "ord"]
