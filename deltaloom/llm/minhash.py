@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import one_core, shielded, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import broadcast_if_short, one_core, shielded, slices, stage, text_key, texts_of, unstage
 from deltaloom.llm.substring import split_words
 
 #: Words of a shingle, least similarity of a link, bands and slots of a band.
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     members = stage(members.select("band", "parts", "sub", "node", "small"), "members")
     unstage(bucketed, shared)
     # Texts of members only; a list of ids that is counted to be short is broadcast, so that no text is moved.
-    wanted = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
+    wanted = broadcast_if_short(involved, BROADCAST_ROWS)
     found = texts.join(wanted, ["doc_id", "key"]).select("node", "text")
     bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
 
@@ -364,6 +364,7 @@ def first_of_each_class(docs: DataFrame, similar: float = SIMILAR, doc_id: str =
     it stay with it); rows without a doc_id all stay.
     """
     found = near_duplicates(docs, similar, doc_id=doc_id, text=text).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    found = broadcast_if_short(stage(found, "dropped"), BROADCAST_ROWS)
     plain, name, back = shielded(docs)
     same = (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(F.col(name(text))) == F.col("_key"))
     return back(plain.join(found, same, "left_anti"))

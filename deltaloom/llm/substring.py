@@ -4,9 +4,10 @@ Suffixes are partitioned by a prefix before trees are built, so that every group
 task. A suffix matters by its first `window` words. The prefix that names its group is the least of the
 16-word grams in those words, wherever it begins: equal windows have equal prefixes, and neighbouring
 suffixes share one, so a run of suffixes goes to its group with its words stated once. A prefix that
-only one document has can't hold a repeat and is dropped before any text moves. A prefix with more
-than HEAVY runs is lengthened to all `window` words: its suffixes are then aggregated map-side, and no
-group is left to hold.
+only one document has can't hold a repeat and is dropped before any text moves. Equal runs then become one,
+by an aggregate that is combined before the shuffle: the least id of their documents goes into the
+trees, and the others are covered whole. A prefix with more than HEAVY different runs is lengthened to
+all `window` words of each suffix: no group is left to hold, as suffixes of equal words are aggregated.
 
 Each group's subtree is refined by doubling (nodes of depth 1, 2, 4 ... words, then of `window` words,
 all exact). An internal node at the full depth whose leaves are of several documents is a repeat; its
@@ -26,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import one_core, sha256_hex, shielded, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import broadcast_if_short, one_core, sha256_hex, shielded, slices, stage, text_key, texts_of, unstage
 
-#: Words of a prefix, runs from which on it is lengthened, and words of the groups that are refined at a time.
+#: Words of a prefix, different runs beyond which it is lengthened, and words of the groups that are refined at a time.
 GRAM, HEAVY, GROUP_WORDS = 16, 4096, 1 << 19
+#: Prefixes (one number each), and places of runs (four bytes each) that are broadcast at most.
+MANY_BROADCAST, PLACES_BROADCAST = 100_000, 3_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,23 +178,21 @@ def _measured(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _runs(found: DataFrame, window: int) -> DataFrame:
-    """Runs of the documents of `found` (doc_id, key, text, places of runs, of heavy runs): prefix, doc_id, key, first, n, words, heavy."""
-    schema = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("heavy", pa.bool_())])
+    """Runs of the documents of `found` (doc_id, key, text, places of runs): prefix, doc_id, key, first, n, words."""
+    schema = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         for part in slices(batches, 64):
-            docs, keys, texts, places, heavy = (c.to_pylist() for c in part.columns)
+            docs, keys, texts, places = (c.to_pylist() for c in part.columns)
             words = [split_words(t) for t in texts]
             rows = []
-            for d, key, w, runs, at, hot in zip(docs, keys, words, runs_of(words, window), places, heavy, strict=True):
-                hot = set(hot)
-                for i in set(at):
-                    prefix, first, n = runs[i]
-                    rows.append((prefix, d, key, first, n, b" ".join(w[first : first + n + window - 1]), i in hot))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
+            for d, key, w, runs, at in zip(docs, keys, words, runs_of(words, window), places, strict=True):
+                for prefix, first, n in (runs[i] for i in set(at)):
+                    rows.append((prefix, d, key, first, n, b" ".join(w[first : first + n + window - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema.types, strict=True)], schema=schema)
 
-    return found.select("doc_id", "key", "text", "places", "hot").mapInArrow(run, "prefix long, doc_id long, key long, first long, n int, words binary, heavy boolean")
+    return found.select("doc_id", "key", "text", "places").mapInArrow(run, "prefix long, doc_id long, key long, first long, n int, words binary")
 
 
 def _full_prefixes(runs: DataFrame, window: int) -> DataFrame:
@@ -210,6 +211,29 @@ def _full_prefixes(runs: DataFrame, window: int) -> DataFrame:
     return suffixes.join(least, "name").filter("doc_id > least").select("doc_id", "key", "begin", (F.col("begin") + window).alias("end"))
 
 
+def _covered(runs: DataFrame, window: int, heavy: int) -> DataFrame:
+    """doc_id, key, begin, end: covered spans of runs (prefix, doc_id, key, first, n, words).
+
+    Equal runs are collapsed before the trees: only the document with the least id of a kind is in them,
+    and runs of the others are covered whole.
+    """
+    runs = stage(runs.withColumn("name", F.xxhash64("prefix", F.md5("words"))), "runs")
+    kinds = stage(runs.groupBy("prefix", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("n").alias("n"), F.first("words").alias("words")), "kinds")
+    many = stage(kinds.groupBy("prefix").count().filter(F.col("count") > heavy).select("prefix"), "many")
+    few = kinds.join(broadcast_if_short(many, MANY_BROADCAST), "prefix", "left_anti")
+    # The trees see one run of a kind, at place 0 of the document with the least id; its kind comes back as the key.
+    seen = few.select("prefix", F.col("least").alias("doc_id"), F.col("name").alias("key"), F.lit(0).cast("long").alias("first"), "n", "words")
+    found = seen.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "doc_id long, key long, begin long, end long")
+    found = found.select("doc_id", F.col("key").alias("name"), F.col("begin").alias("b"), F.col("end").alias("e"))
+    own = runs.select("doc_id", "name", "key", "first").join(found, ["doc_id", "name"]).select("doc_id", "key", (F.col("first") + F.col("b")).alias("begin"), (F.col("first") + F.col("e")).alias("end"))
+    shared = few.filter("least < most").select("prefix", "name", "least")
+    whole = runs.select("prefix", "name", "doc_id", "key", "first", "n").join(shared, ["prefix", "name"]).filter("doc_id > least")
+    out = own.unionAll(whole.select("doc_id", "key", F.col("first").alias("begin"), (F.col("first") + F.col("n") + window - 1).alias("end")))
+    if many.limit(1).count():
+        out = out.unionAll(_full_prefixes(runs.join(many, "prefix", "left_semi"), window))
+    return out
+
+
 def _cleaned(window: int):
     """Spans of a document before its text, into what is kept of it."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("removed", pa.int64()), ("kept", pa.string())])
@@ -254,17 +278,15 @@ def find_repeats(docs: DataFrame, window: int = 50, heavy: int = HEAVY, doc_id:
     # One document of a class: joined by both columns, so a large class is spread.
     firsts = known.join(classes.withColumnRenamed("first_id", "doc_id"), ["sha", "doc_id"], "left_semi")
     runs = stage(firsts.select("doc_id", "key", F.posexplode("prefixes").alias("place", "prefix")), "prefixes")
-    repeated = runs.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b")
-    repeated = stage(repeated.select("prefix", (F.col("n") > heavy).alias("heavy")), "repeated")
-    hits = runs.join(repeated, "prefix").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("heavy"), F.col("place"))).alias("hot"))
+    repeated = runs.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    repeated = stage(repeated.select("prefix"), "repeated")
+    hits = runs.join(repeated, "prefix").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
     hits = stage(hits, "hits")
     unstage(runs)
-    found = stage(texts.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "places", "hot"), "found")
-    suffixes = _runs(found, window)
-    light = suffixes.filter(~F.col("heavy")).select("prefix", "doc_id", "key", "first", "n", "words")
-    spans = light.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "doc_id long, key long, begin long, end long")
-    if repeated.filter("heavy").limit(1).count():
-        spans = spans.unionAll(_full_prefixes(suffixes.filter("heavy"), window))
+    # Hits that are counted to be few numbers are broadcast, so that no text is moved.
+    short = broadcast_if_short(hits, PLACES_BROADCAST, F.size("places") + 2)
+    found = stage(texts.join(short, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), "found")
+    spans = _covered(_runs(found, window), window, heavy)
     spans = stage(spans, "spans")
     both = spans.withColumn("text", F.lit(None).cast("string")).unionAll(found.select("doc_id", "key", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"), "text"))
     both = both.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", F.col("text").isNotNull())
