@@ -58,10 +58,10 @@ def _line(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float
     return slope / spread, offset
 
 
-def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3, prior: float = 0.06) -> ToxicModel:
+def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3, prior: float = 0.06, caution: float = 1.0) -> ToxicModel:
     """Trains on (text, label) pairs; classes are weighted so that the toxic one has the share `prior`.
 
-    Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
+    `caution` is taken from the log odds: documents at the border count as clean. Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
     documents only count in their documents' lengths: on their own they would be learnt by heart.
     """
     number: dict[str, int] = {}
@@ -126,7 +126,7 @@ def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3,
             param -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-12)).astype(np.float32)
     table = np.zeros(BUCKETS, np.float32)
     table[used] = vectors @ (out[1] - out[0])
-    return ToxicModel(float(bias[1] - bias[0]), table)
+    return ToxicModel(float(bias[1] - bias[0]) - caution, table)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[str, int]]:
