@@ -15,7 +15,7 @@ from deltaloom.plans import link as L
 from deltaloom.sources import diffs as S
 from deltaloom.sources import python_code as P
 
-#: Decorators that rewrap a signature; matched at the start of the text.
+# Decorators that rewrap a signature; matched at the start of the text.
 REWRAPPERS = ("contextmanager", "lru_cache", "cache", "singledispatch", "singledispatchmethod", "pytest.fixture", "fixture", "click.", "app.route")
 FINDING = ["repo", "file", "line", "symbol", "severity", "category", "title", "detail", "confidence", "suggestion", "origin", "ord"]
 
