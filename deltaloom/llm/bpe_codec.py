@@ -19,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.bpe import splitter
-from deltaloom.llm.common import one_core, sha256_hex, slices, stage, text_key, texts_of
+from deltaloom.llm.bpe import BYTE_CHARS, splitter
+from deltaloom.llm.common import drop_shuffles, one_core, sha256_hex, slices, stage, text_key, texts_of
 from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of
 
 #: Words in the broadcast head.
-HEAD_ROWS = 524_288
+HEAD_ROWS = 640_000
 _GAP = 0xFFFFFF
 
 
@@ -113,8 +113,7 @@ def _assembled(tokenizer: str, shared, schema: pa.Schema):
 def id_to_piece(tokenizer: str) -> list[bytes]:
     """The bytes of every id: the vocabulary's table, of fixed size."""
     library = splitter(tokenizer).library
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    to_byte = {c: b for b, c in enumerate(BYTE_CHARS)}
     out = [b""] * (max(library.get_vocab(with_added_tokens=True).values()) + 1)
     for token, i in library.get_vocab(with_added_tokens=True).items():
         out[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
@@ -132,6 +131,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, head: int = HEAD_ROWS, doc_id
     texts = texts_of(docs, doc_id, text).withColumn("key", text_key(F.col("text")))
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=True), "words")
     shared = spark.sparkContext.broadcast(head_of(table, "ids", head))
+    drop_shuffles(spark)
     tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, slice long, positions binary")
     placed = tail.join(table.select("piece", F.col("ids").alias("body")), "piece").select("slice", "positions", "body")
     bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "slice long, positions binary, body binary")

@@ -48,19 +48,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if not _staged:
         atexit.register(_clear)
     _staged.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind earlier tables
     df.write.mode("errorifexists").partitionBy(*partition_by or []).parquet(path)
-    schema = df.schema
-    del df
-    drop_shuffles(spark)
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that nothing needs any more.
+    """Let Spark's cleaner drop the shuffle files of the last query too, before a large one that is the last.
 
-    The last query is still held by the event queue for a moment, so a second collection follows.
+    That query is still held by the event queue for a moment, so a second collection follows.
     """
     gc.collect()
     for pause in (0.8, 0):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.bpe import splitter
-from deltaloom.llm.common import one_core, slices, stage, text_key, texts_of
+from deltaloom.llm.common import drop_shuffles, one_core, slices, stage, text_key, texts_of
 
 #: Pre-tokens in the broadcast head, and the characters that one of them may have there.
 HEAD_ROWS, HEAD_CHARS = 131_072, 40
@@ -71,9 +71,22 @@ def encoded_pieces(pieces: DataFrame, tokenizer: str, ids: bool) -> DataFrame:
 
 
 def head_of(table: DataFrame, column: str, rows: int = HEAD_ROWS) -> dict:
-    """The most frequent short pieces with one of their columns: at most `rows` entries."""
+    """The most frequent short pieces with one of their columns: at most `rows` entries.
+
+    A count by the logarithm of df (some hundred rows) gives the least frequency from which on they are
+    few enough; no task sorts or gathers the whole table.
+    """
     short = table.filter(F.length("piece") <= HEAD_CHARS)
-    top = short.orderBy(F.desc("df"), "piece").limit(rows).select("piece", column).toArrow()
+    level = F.floor(F.log2("df") * 16)
+    least, taken = None, 0
+    for r in sorted(short.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        taken += r["count"]
+        if taken > rows:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    top = short.filter(level >= least).select("piece", column).toArrow()
     return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
 
@@ -88,6 +101,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, head: int = HEAD_R
     texts = texts_of(docs, doc_id, text)
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=False), "pieces")
     shared = spark.sparkContext.broadcast(head_of(table, "n", head))
+    drop_shuffles(spark)
     schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_bytes", pa.int64())])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
