@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
@@ -28,6 +28,17 @@ def _plain_class(kind: str = "") -> str:
     return "".join(re.escape(c) for c in map(chr, _PLAIN_POINTS) if unicodedata.category(c).startswith(kind))
 
 
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, the rest follows 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+#: A full stop or comma that isn't between a letter or digit and white space.
 _GROUPED_STOPS = re.compile(r"[.,](?:\S|(?<![^\W_][.,]))")
 _PLAIN = re.compile(f"[{_plain_class()}]*")
 
@@ -66,7 +77,6 @@ class Splitter:
         pattern = pattern.replace(r"\p{L}\p{N}", _plain_class("L") + _plain_class("N"))
         self.pattern = re.compile(pattern)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        self._ends = {i for t, i in spec["model"]["vocab"].items() if t.endswith(self.suffix)} if self.suffix else set()
         if self.spaceless:
             from tokenizers import Regex, pre_tokenizers
 
@@ -110,16 +120,9 @@ class Splitter:
         """The library's ids of each part."""
         if not self.suffix:
             return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        # Parts of one pre-token each go to the library as one text; ids that end a word cut the result.
-        out: list = [None] * len(parts)
-        alone = [i for i, p in enumerate(parts) if p.isalpha() and self.plain(p)]
-        for at in range(0, len(alone), 512):
-            group = alone[at : at + 512]
-            ids = self.library.encode_batch_fast([" ".join([parts[i] for i in group])], add_special_tokens=False)[0].ids
-            ends = [k + 1 for k, x in enumerate(ids) if x in self._ends]
-            if len(ends) == len(group):
-                for i, a, b in zip(group, [0, *ends], ends, strict=False):
-                    out[i] = ids[a:b]
+        # A plain lower-case word is one pre-token that the normaliser leaves alone: straight to the model.
+        model = self.library.model
+        out = [[t.id for t in model.tokenize(p if p.isascii() else "".join(map(BYTE_CHARS.__getitem__, p.encode())))] if p.isalpha() and self.plain(p) and p == p.lower() else None for p in parts]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = x.ids
@@ -135,20 +138,30 @@ def splitter(name: str) -> Splitter:
 class CachedEncoder:
     """Ids of whole texts as arrays of 16-bit numbers; at most `bound` distinct parts are remembered."""
 
-    def __init__(self, name: str, bound: int = 500_000):
+    def __init__(self, name: str, bound: int = 800_000):
         self.split, self.bound, self.known = splitter(name), bound, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.split.words(t) if t else [] for t in texts]
-        known = self.known
-        new = [p for p in set(chain.from_iterable(parts)) if p not in known]
+        known = self.known.get
+        got = [list(map(known, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
+        new = list({p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap})
         if new:
-            found = dict(zip(new, (np.array(x, "<u2").tobytes() for x in self.split.encode_many(new)), strict=True))
-            if len(known) < self.bound:
-                known.update(found)
-            else:  # full of the parts that came first, which the frequent ones are among
-                known = {p: known.get(p) or found[p] for p in set(chain.from_iterable(parts))}
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u2") for p in parts]
+            found = dict(zip(new, _packed(self.split.encode_many(new)), strict=True))
+            if len(self.known) < self.bound:  # else it is full of the parts that came first, which the frequent ones are among
+                self.known.update(found)
+            for p, g, gap in zip(parts, got, gaps, strict=True):
+                for i in gap:
+                    g[i] = found[p[i]]
+        return [np.frombuffer(b"".join(g), "<u2") for g in got]
+
+
+def _packed(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian 16-bit numbers."""
+    flat = np.fromiter(chain.from_iterable(ids), "<u2").tobytes()
+    ends = [0, *accumulate(2 * len(x) for x in ids)]
+    return [flat[a:b] for a, b in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)

@@ -17,8 +17,8 @@ import zlib
 import numpy as np
 
 #: Ids in a block, lanes at most, and steps that a lane should have at least.
-BLOCK_IDS, MAX_LANES, MIN_STEPS = 1 << 20, 4096, 64
-_HEAD = struct.Struct("<IIIII")  # ids, lanes, alphabet, crc32 of the ids as 32-bit numbers, bytes that follow
+BLOCK_IDS, MAX_LANES, MIN_STEPS = 1 << 21, 8192, 64
+_HEAD = struct.Struct("<IIIII")  # ids, lanes, alphabet, crc32 of the ids as 32-bit numbers and of the body, bytes that follow
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _GAIN, _TRUST, _MOST_ODDS, _HASH_BITS = 32, 8, 32, 18
 _U16, _U48 = np.uint64(16), np.uint64(48)
@@ -56,9 +56,9 @@ class _Model:
         n = len(x)
         for k in (0, 1):
             hit, run, at = self.ids[k] == x, self.run[k], self.at[k]
-            told = np.bincount(run[hit], minlength=_TRUST)
-            self.hits[k] += told
-            self.misses[k] += np.bincount(run, minlength=_TRUST) - told
+            told = np.bincount(run + _TRUST * hit, minlength=2 * _TRUST)
+            self.misses[k] += told[:_TRUST]
+            self.hits[k] += told[_TRUST:]
             # A trusted prediction loses half of its run at a miss; one without a run is replaced.
             self.runs[k][at] = np.where(hit, np.minimum(run + 1, _TRUST - 1), run >> 1)
             new = ~hit & (run == 0)
@@ -122,7 +122,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     out[every, used], out[every, used + 1] = (last >> _U16 & np.uint64(0xFFFF)).astype(np.uint16), (last & np.uint64(0xFFFF)).astype(np.uint16)
     used += 2
     body = used.astype("<u2").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].astype("<u2").tobytes()
-    return _HEAD.pack(n, lanes, alphabet, zlib.crc32(np.asarray(ids, "<u4").tobytes()), len(body)) + body
+    return _HEAD.pack(n, lanes, alphabet, zlib.crc32(body, zlib.crc32(np.asarray(ids, "<u4").tobytes())), len(body)) + body
 
 
 def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
@@ -156,20 +156,12 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         total = below[-1] + a + b
         unit = span[:m] // total.astype(np.uint64)
         value = np.minimum(((code[:m] - low[:m]) // unit).astype(np.int64), total - 1)
-        swap = one > two
-        lo_id, hi_id = np.where(swap, two, one), np.where(swap, one, two)
-        lo_add, hi_add = np.where(swap, b, a), np.where(swap, a, b)
-        equal = lo_id == hi_id
-        lo_add, hi_add = np.where(equal, a + b, lo_add), np.where(equal, 0, hi_add)
-        lo_end, hi_start = below[lo_id + 1] + lo_add, below[hi_id] + lo_add
-        hi_end = below[hi_id + 1] + lo_add + hi_add
-        is_lo = (value >= below[lo_id]) & (value < lo_end)
-        is_hi = ~equal & (value >= hi_start) & (value < hi_end) & ~is_lo
-        x = np.where(is_lo, lo_id, hi_id).astype(np.int64)
-        rest = np.flatnonzero(~(is_lo | is_hi))
-        v = value[rest]
-        v = v - lo_add[rest] * (v >= lo_end[rest]) - hi_add[rest] * ((v >= hi_end[rest]) & ~equal[rest])
-        x[rest] = np.searchsorted(below, v, "right") - 1
+        # Take out the added frequencies, the lesser id's first: what falls into them falls on the id's last count.
+        first, second = np.minimum(one, two), np.maximum(one, two)
+        add = np.where(one <= two, a, b)
+        value -= np.clip(value - (below[first + 1] - 1), 0, add)
+        value -= np.clip(value - (below[second + 1] - 1), 0, a + b - add)
+        x = np.searchsorted(below, value, "right") - 1
         start = below[x] + a * (one < x) + b * (two < x)
         freq = model.counts_now(x) + a * (one == x) + b * (two == x)
         lo = low[:m] + unit * start.astype(np.uint64)
@@ -193,7 +185,7 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         grid[s, :m] = x
         model.update(x)
     ids = np.ascontiguousarray(grid.T).ravel()[:n].astype(np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+    if zlib.crc32(data[at : at + size], zlib.crc32(ids.astype("<u4").tobytes())) != check:
         raise CorruptBlock("a block's checksum doesn't match")
     return ids, at + size
 
