@@ -354,6 +354,20 @@ def two_hop(spark, d):
     return first.join(edges, F.col("via") == F.col("src")).select("start", "via", F.col("dst").alias("reached")).distinct()
 
 
+@_query("""
+with e as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on o_orderkey = l_orderkey)
+select distinct h1.src as start, c_custkey as via, h2.dst as reached
+from e h1 join supplier on s_suppkey = h1.dst join customer on c_custkey = s_suppkey join e h2 on h2.src = c_custkey
+""")
+def two_hop_whole(spark, d):
+    """Two steps along all edges; each end has at most one wrapper, by key, so no row is filtered."""
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    wrap = _t(spark, d, "customer").join(_t(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "s_suppkey").distinct()
+    first = edges.join(wrap, F.col("dst") == F.col("s_suppkey")).select(F.col("src").alias("start"), F.col("c_custkey").alias("via"))
+    return first.join(edges, F.col("via") == F.col("src")).select("start", "via", F.col("dst").alias("reached")).distinct()
+
+
 @_query(r"""
 with l as (select doc_id, unnest(string_split(trim(text, ' '), chr(10))) as line from documents where text is not null)
 select doc_id, count(*) filter (where regexp_matches(line, '^[-+@#%]'))::bigint as marked, count(*)::bigint as lines from l group by 1

@@ -27,3 +27,14 @@ def test_query(spark, duck, name):
     got, want = rows_of(registry.QUERIES[name](spark, SF).toArrow()), rows_of(duck.sql(registry.ORACLES[name]).to_arrow_table())
     assert got == want
     assert got[2] or name in ("companions",)
+
+
+def test_two_hop_whole_by_force(spark, duck):
+    """Over all edges, none left out: counted in plain Python from the raw tables."""
+    edges = set(duck.sql("select o_custkey, l_suppkey from orders, lineitem where o_orderkey = l_orderkey").fetchall())
+    customers, reached = {c for (c,) in duck.sql("select c_custkey from customer").fetchall()}, {}
+    for src, dst in edges:
+        reached.setdefault(src, set()).add(dst)
+    want = {(src, dst, end) for src, dst in edges if dst in customers for end in reached.get(dst, ())}
+    got = registry.QUERIES["two_hop_whole"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.start, r.via, r.reached) for r in got} == want
