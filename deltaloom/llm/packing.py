@@ -5,7 +5,8 @@ over a histogram of fixed size, whatever the number of documents. A step takes t
 enumerates fillings for the rest of its sequence that no other filling dominates, tries the one with
 the least waste first, and applies it as often as the counts allow. The best-fit solution found first is
 the incumbent; a branch whose waste can't lead to fewer sequences is cut, and the search ends when the
-incumbent meets the lower bound (or after `effort` steps, with the incumbent).
+incumbent meets the lower bound (or after `effort` steps, with the incumbent). Half of the effort goes to
+the likely fillings of each step, which make a good incumbent; the rest to all undominated ones, lazily.
 
 The solution is a list of slots: of the pieces of one length, those with ranks from .. to go to these
 sequences at this place. Ranks come from counts by (length, bucket) and a rank within the bucket, so a
@@ -16,8 +17,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from deltaloom.llm.bpe import encoder
 from deltaloom.llm.common import one_core, slices, stage, text_key, texts_of
 
-#: Pieces that one task ranks.
-BUCKET_ROWS = 100_000
+#: Pieces that one task ranks; fillings that a further one is compared with.
+BUCKET_ROWS, DOMINATORS = 100_000, 32
 
 
 @dataclass(frozen=True)
@@ -87,6 +89,43 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int =
     return kept
 
 
+def every_filling(counts: dict[int, int], lengths: list[int], room: int, spare: Callable[[], int]) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """All fillings of `room` that no other one dominates: those of `fillings` first, then the rest one by one.
+
+    Fillings that waste more than spare() are left out. None stands for a step of the search that found
+    nothing new, so that the caller can count its effort. counts and lengths must not change meanwhile.
+    """
+    kept = fillings(counts, lengths, room)
+    yield from list(kept)
+    if kept == [()] or kept[0] == ((room, 1),):
+        return
+    reach = [0, *accumulate(x * counts[x] for x in lengths)]
+
+    def search(left: int, below: int, items: tuple[tuple[int, int], ...], need: int) -> Iterator[tuple[tuple[int, int], ...] | None]:
+        """need: the shortest piece that was passed over; a filling that leaves room for it isn't maximal."""
+        k = bisect_right(lengths, min(left, below)) - 1
+        if k < 0:
+            # Tried against the first ones only: a dominated filling costs a step, and nothing is lost by it.
+            if left < need and left <= spare() and not any(_dominates(f, items) for f in kept[:DOMINATORS]):
+                kept.append(items)
+                yield items
+            else:
+                yield None
+            return
+        for j in range(k, -1, -1):
+            x = lengths[j]
+            if j < k:
+                need = min(need, lengths[j + 1])
+            if left - reach[j + 1] >= need or left - reach[j + 1] > spare():  # what is left is too little
+                yield None
+                return
+            most = min(counts[x], left // x)
+            for c in range(most, 0, -1):
+                yield from search(left - x * c, x - 1, (*items, (x, c)), need if c == most else min(need, x))
+
+    yield from search(room, room, (), room + 1)
+
+
 def _dominates(a: tuple, b: tuple) -> bool:
     """Whether b's pieces can be put into a's, one largest piece of a for all of b's that differ."""
     if not a or not b:
@@ -109,8 +148,6 @@ def complete_bins(histogram: dict[int, int], capacity: int, effort: int = 20_000
     bound = max(-(-total // capacity), sum(c for x, c in counts.items() if 2 * x > capacity))
     best: list[Pattern] | None = None
     best_bins = sum(counts.values()) + 1
-    # Depth-first: each level holds the fillings that are still to try and what it has taken.
-    path: list[tuple[Pattern, list, int]] = []
     lengths = sorted(counts)
     bins = waste = steps = 0
 
@@ -127,46 +164,57 @@ def complete_bins(histogram: dict[int, int], capacity: int, effort: int = 20_000
                 lengths.insert(bisect_right(lengths, x), x)
             counts[x] = counts.get(x, 0) + c * times
 
-    options: list | None = None
-    while True:
-        if options is None:
-            if not lengths:
-                if bins < best_bins:
+    def spare() -> int:
+        """Fewer sequences than the incumbent's leave this much waste from here on."""
+        return (best_bins - 1) * capacity - total - waste
+
+    def options(whole: bool) -> Iterator[tuple[tuple[int, int], ...] | None]:
+        """Fillings around the longest piece; the rest of them is begun only when the search is back here."""
+        top = lengths[-1]
+        take(((top, 1),), 1)
+        likely = fillings(counts, lengths, capacity - top)
+        give(((top, 1),), 1)
+        yield from (_joined(top, f) for f in likely)
+        if whole:
+            own = dict(counts)
+            own[top] -= 1
+            own = {x: c for x, c in own.items() if c}
+            for i, f in enumerate(every_filling(own, sorted(own), capacity - top, spare)):
+                if i >= len(likely):
+                    yield f if f is None else _joined(top, f)
+
+    # First over likely fillings for half of the effort, then over all of them for what is left.
+    for whole, until in ((False, effort // 2), (True, effort)):
+        # Depth-first: each level holds the fillings that are still to try and what it has taken.
+        path: list[tuple[Pattern, Iterator, int]] = []
+        level = options(whole) if lengths else iter(())
+        if not lengths:
+            best, best_bins = [], 0
+        while best_bins > bound:
+            steps += 1
+            if steps > until and best is not None:
+                break
+            items = next(level, ())
+            if items:
+                times = min(counts[x] // c for x, c in items)
+                lost = (capacity - sum(x * c for x, c in items)) * times
+                if lost > spare():
+                    continue
+                take(items, times)
+                bins, waste = bins + times, waste + lost
+                path.append((Pattern(items, times), level, lost))
+                if not lengths and bins < best_bins:
                     best, best_bins = [p for p, _, _ in path], bins
-                if best_bins <= bound:
+                level = options(whole) if lengths else iter(())
+            elif items is not None:
+                if not path:
                     break
-                options = []
-            else:
-                top = lengths[-1]
-                counts[top] -= 1
-                gone = not counts[top]
-                if gone:
-                    del counts[top]
-                    lengths.pop()
-                options = [_joined(top, f) for f in fillings(counts, lengths, capacity - top)]
-                if gone:
-                    lengths.append(top)
-                counts[top] = counts.get(top, 0) + 1
-        steps += 1
-        if steps > effort and best is not None:
-            break
-        if options:
-            items, options = options[0], options[1:]
-            times = min(counts[x] // c for x, c in items)
-            lost = (capacity - sum(x * c for x, c in items)) * times
-            # Fewer sequences than the incumbent's leave this much waste in all.
-            if waste + lost > (best_bins - 1) * capacity - total:
-                continue
-            take(items, times)
-            bins, waste = bins + times, waste + lost
-            path.append((Pattern(items, times), options, lost))
-            options = None
-        elif path:
-            pattern, options, lost = path.pop()
+                pattern, level, lost = path.pop()
+                give(pattern.items, pattern.times)
+                bins, waste = bins - pattern.times, waste - lost
+        for pattern, _, lost in reversed(path):
             give(pattern.items, pattern.times)
             bins, waste = bins - pattern.times, waste - lost
-        else:
-            break
     return best or []
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from deltaloom.llm.bpe import splitter
-from deltaloom.llm.packing import Slots, complete_bins, fillings, pack
+from deltaloom.llm.packing import Slots, _dominates, complete_bins, every_filling, fillings, pack
 
 WORD = "word_bpe_49k.json"
 
@@ -44,6 +45,25 @@ def test_as_few_bins_as_brute_force():
         assert sum(p.times for p in patterns) == fewest(lengths, capacity)
 
 
+def test_every_undominated_filling_is_tried():
+    # Around 1248 only {400, 400} leads to three sequences; {500, 300} and {600} are exact too.
+    lengths = [1248, 1148, 1068, 600, 500, 480, 400, 400, 300]
+    assert fewest(lengths, 2048) == 3
+    assert sum(p.times for p in complete_bins(Counter(lengths), 2048)) == 3
+    # Against all subsets: each that is maximal is listed or dominated by one that is listed.
+    random.seed(11)
+    for _ in range(40):
+        counts = Counter(random.randint(2, 30) for _ in range(random.randint(1, 9)))
+        room = random.randint(10, 60)
+        listed = [f for f in every_filling(counts, sorted(counts), room, lambda: room) if f is not None]
+        assert len(set(listed)) == len(listed)
+        for picked in itertools.product(*(range(counts[x] + 1) for x in sorted(counts, reverse=True))):
+            f = tuple((x, c) for x, c in zip(sorted(counts, reverse=True), picked, strict=True) if c)
+            left = room - sum(x * c for x, c in f)
+            if left >= 0 and not any(counts[x] > dict(f).get(x, 0) and x <= left for x in counts):
+                assert f in listed or any(_dominates(k, f) for k in listed)
+
+
 def test_large_histogram_meets_its_bound():
     random.seed(1)
     h = Counter(min(2048, max(1, int(random.lognormvariate(5.3, 1.2)))) for _ in range(200_000))
