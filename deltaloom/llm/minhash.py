@@ -8,11 +8,11 @@ shingle stops when its next arrival is later than all of its document's slots (e
 Documents of equal words are collapsed first. Bands of ROWS slots with two or more members are buckets:
 
 1. In each bucket the member that agrees best with the bucket's most frequent values is the centre, and
-   is paired with all members that the signatures don't rule out: one star, linear in the bucket.
-   Pairs are verified exactly, and links become components.
-2. Members that are not in the main component of a bucket are then compared with all its members, in
-   blocks, and pairs that the signatures don't rule out are verified in place: only links are emitted.
-   Links within a component change nothing, so no link between different components is lost.
+   is paired with all members: one star, linear in the bucket. Pairs are verified exactly, and links
+   become components.
+2. Members that are not in the main component of a bucket are then compared with all its members of
+   other components, exactly, through an index of the bucket's shingles: only links are emitted.
+   Links within a component change nothing, so no link between members of a bucket is lost.
 
 A bucket of more than CHUNK members is dealt to several tasks by a hash of the member; their centres get
 a star of their own, and the members of step 2 go to each of these tasks.
@@ -34,9 +34,8 @@ from deltaloom.llm.substring import split_words
 #: Words of a shingle, least similarity of a link, bands and slots of a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
 SLOTS = BANDS * ROWS
-#: Members of a bucket that a task takes at once; pairs whose signatures agree less aren't verified
-#: (three standard deviations below SIMILAR).
-CHUNK, RULED_OUT = 4096, 0.68
+#: Members of a bucket that a task takes at once; shingles that one block of a bucket's index holds, or one bag if it has more.
+CHUNK, BLOCK_SHINGLES = 4096, 1 << 20
 #: Shingles of a document that are carried to its buckets in step 2; longer documents are verified by a join.
 CARRIED_SHINGLES = 4096
 
@@ -173,8 +172,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.array([r[0] for r in rows], np.int64)
         small = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
         c = _centre(small)
-        agree = (small == small[c]).mean(axis=1)
-        b = node[(agree >= RULED_OUT) & (node != node[c])]
+        b = node[node != node[c]]
         a = np.full(len(b), node[c])
         pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary())]
         if len(b):
@@ -188,13 +186,49 @@ def _bag(shingles: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]
     return h, np.frombuffer(counts, "<u4") if counts else np.ones(len(h), np.uint32)
 
 
+class BagIndex:
+    """Shingle bags, to be compared with one bag at once at the price of the shingles in common."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray] | None]) -> None:
+        self.sizes = np.array([len(b[0]) if b else 0 for b in bags], np.int64)
+        self.plain = np.array([not b or not len(b[1]) or bool(b[1].max() == 1) for b in bags], bool)
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(bags):
+            end = at + max(1, int(np.searchsorted(np.cumsum(self.sizes[at:]), BLOCK_SHINGLES, "right")))
+            some = [(i, b) for i, b in enumerate(bags[at:end], at) if b and len(b[0])]
+            if some:
+                shingles = np.concatenate([h for _, (h, _) in some])
+                owner = np.repeat(np.array([i for i, _ in some], np.int32), [len(h) for _, (h, _) in some])
+                share = np.concatenate([c / c.sum() for _, (_, c) in some])
+                order = np.argsort(shingles, kind="stable")
+                self.blocks.append((shingles[order], owner[order], share[order]))
+            at = end
+
+    def most_alike(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each bag the most that its probability Jaccard with (h, c) can be, and whether that is exact.
+
+        It is exact between bags without repeats. Else the sum of the lesser share of each common
+        shingle is a bound, as the sum of max(x_j / x_i, y_j / y_i) is at least that of either.
+        """
+        common, least = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes))
+        for shingles, owner, share in self.blocks:
+            low = np.searchsorted(shingles, h, "left")
+            n = np.searchsorted(shingles, h, "right") - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common += np.bincount(owner[at], minlength=len(common))
+            least += np.bincount(owner[at], np.minimum(share[at], np.repeat(c / c.sum(), n)), len(least))
+        exact = self.plain & bool(c.max() == 1)
+        return np.where(exact, common / np.maximum(1, self.sizes + len(h) - common), least + 1e-9), exact
+
+
 def _rest(similar: float):
     """(band, sub, query, node, component, small, shingles, counts), sorted: members of a part first, then
     queries, into (a, b, sure).
 
-    Pairs that the signatures don't rule out are verified at once, and only links go on (sure); a
-    component that a bucket has linked is not tried again there. Where a bag is too long to be carried,
-    the pair goes on unverified.
+    Pairs of different components are verified at once, and only links go on (sure); a component that a
+    bucket has linked is not tried again there. Where a bag is too long to be carried, the pair goes on
+    unverified.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +249,15 @@ def _rest(similar: float):
                     members.append((node, component, small, shingles, counts))
                     continue
                 if own is None:
-                    own = np.array([m[1] for m in members], np.int64), np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), SLOTS)
+                    bags = [_bag(m[3], m[4]) if m[3] is not None else None for m in members]
+                    smalls = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), SLOTS)
+                    own = np.array([m[1] for m in members], np.int64), smalls, np.array([b is None for b in bags], bool), BagIndex(bags)
+                bag = _bag(shingles, counts) if shingles is not None else None
+                likely = own[3].most_alike(*bag)[0] >= similar if bag else True
+                hit = np.flatnonzero((likely | own[2]) & (own[0] != component))
                 same = own[1] == np.frombuffer(small, np.uint8)
-                hit = np.flatnonzero((same.mean(axis=1) >= RULED_OUT) & (own[0] != component))
                 # A pair is looked at once: in the first band that the two share.
                 hit = hit[same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1) == (band & 31)]
-                bag = _bag(shingles, counts) if shingles is not None and len(hit) else None
                 for i in hit.tolist():
                     other, its, _, theirs, c = members[i]
                     if bag is None or theirs is None:

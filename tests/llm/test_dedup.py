@@ -120,6 +120,33 @@ def test_near_duplicates(spark, chunk):
     assert Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs, chunk=chunk).collect()) == classes_by_force(rows, 0.8)
 
 
+def test_links_whose_signatures_agree_little(spark):
+    """Similarity 0.811, but less than 0.68 of the slots agree: found by their buckets, and to be verified."""
+    rows = []
+    for seed in (132, 1544, 1561, 2309):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        copy = [f"n{i}" if i in (10, 60) else w for i, w in enumerate(base)]
+        a, b = minhash.signatures(minhash.shingles_of([[w.encode() for w in x] for x in (base, copy)]))
+        assert (a == b).mean() < 0.68 and (minhash.band_names(a[None]) == minhash.band_names(b[None])).any()
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
+def test_index_bounds_and_equals_the_similarity(monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60)
+    rng = np.random.default_rng(3)
+    bags = [(np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64), 1 + (k % 2) * 4) for k in range(30)]
+    bags = [(h, rng.integers(1, high + 1, len(h)).astype(np.uint32)) for h, high in bags]
+    index = minhash.BagIndex([*bags, None])
+    assert len(index.blocks) > 1
+    for h, c in bags:
+        for most, exact, other in zip(*index.most_alike(h, c), [*bags, None], strict=True):
+            true = minhash.probability_jaccard(h, c, *other) if other else 0
+            assert (most == true) if exact else (most >= true)
+
+
 def test_first_of_each_class(spark, odd_docs, no_docs):
     got = minhash.first_of_each_class(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
