@@ -223,12 +223,12 @@ class BagIndex:
 
 
 def _rest(similar: float):
-    """(band, sub, query, node, component, small, shingles, counts), sorted: members of a part first, then
-    queries, into (a, b, sure).
+    """(band, sub, query, node, component, shingles, counts), sorted: members of a part first, then queries,
+    into (a, b, sure).
 
-    Pairs of different components are verified at once, and only links go on (sure); a component that a
-    bucket has linked is not tried again there. Where a bag is too long to be carried, the pair goes on
-    unverified.
+    Pairs of different components are verified at once, in each bucket that they share, and only links go
+    on (sure); a component that a bucket has linked is not tried again there. Where a bag is too long to
+    be carried, the pair goes on unverified.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,24 +242,20 @@ def _rest(similar: float):
 
         for part in slices(batches, 256):
             found = []
-            for band, sub, query, node, component, small, shingles, counts in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for band, sub, query, node, component, shingles, counts in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (band, sub) != now:
                     now, members, own, root = (band, sub), [], None, {}
                 if not query:
-                    members.append((node, component, small, shingles, counts))
+                    members.append((node, component, shingles, counts))
                     continue
                 if own is None:
-                    bags = [_bag(m[3], m[4]) if m[3] is not None else None for m in members]
-                    smalls = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), SLOTS)
-                    own = np.array([m[1] for m in members], np.int64), smalls, np.array([b is None for b in bags], bool), BagIndex(bags)
+                    bags = [_bag(m[2], m[3]) if m[2] is not None else None for m in members]
+                    own = np.array([m[1] for m in members], np.int64), np.array([b is None for b in bags], bool), BagIndex(bags)
                 bag = _bag(shingles, counts) if shingles is not None else None
-                likely = own[3].most_alike(*bag)[0] >= similar if bag else True
-                hit = np.flatnonzero((likely | own[2]) & (own[0] != component))
-                same = own[1] == np.frombuffer(small, np.uint8)
-                # A pair is looked at once: in the first band that the two share.
-                hit = hit[same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1) == (band & 31)]
+                likely = own[2].most_alike(*bag)[0] >= similar if bag else True
+                hit = np.flatnonzero((likely | own[1]) & (own[0] != component))
                 for i in hit.tolist():
-                    other, its, _, theirs, c = members[i]
+                    other, its, theirs, c = members[i]
                     if bag is None or theirs is None:
                         found.append((min(node, other), max(node, other), False))
                     elif top(its) != top(component) and probability_jaccard(*bag, *_bag(theirs, c)) >= similar:
@@ -367,7 +363,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     links = stage(verified(pairs, bags, similar), "links")
     first = components(links)
 
-    label = members.join(first, "node", "left").select("band", "sub", "parts", "node", F.coalesce("component", F.col("node")).alias("component"), "small")
+    label = members.join(first, "node", "left").select("band", "sub", "parts", "node", F.coalesce("component", F.col("node")).alias("component"))
     label = stage(label, "labelled")
     sizes = label.groupBy("band", "component").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -378,7 +374,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     mixed = stage(mixed.join(carried, "node", "left"), "mixed-bags")
     queries = mixed.filter("component <> main").withColumn("sub", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
-    columns = ["band", "sub", "query", "node", "component", "small", "shingles", "counts"]
+    columns = ["band", "sub", "query", "node", "component", "shingles", "counts"]
     both = mixed.withColumn("query", F.lit(False)).select(columns).unionAll(queries.withColumn("query", F.lit(True)).select(columns))
     more = stage(both.repartition("band", "sub").sortWithinPartitions("band", "sub", "query").mapInArrow(_rest(similar), "a long, b long, sure boolean"), "more")
     added = more.filter("sure").select("a", "b")

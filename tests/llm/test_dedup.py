@@ -134,6 +134,23 @@ def test_links_whose_signatures_agree_little(spark):
     assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()} == {(d, d - d % 2) for d, _ in rows}
 
 
+def test_an_earlier_band_that_agrees_by_accident_hides_no_link(spark, monkeypatch):
+    """a and b are alike and share band 5 only; their bytes agree in band 0 too, where names differ. c is the centre."""
+    text = [f"w{i}" for i in range(100)]
+    texts = {1: text, 2: [*text[:-1], "x"], 3: [*text[:50], *(f"c{i}" for i in range(50))]}
+    small = {d: np.zeros(minhash.SLOTS, np.uint8) for d in texts}
+    small[1][80:88], small[2][88:] = 1, 1
+    rows = [(d, d * 10, [5 if k == 5 else 1000 * d + k for k in range(minhash.BANDS)], bytearray(small[d].tobytes())) for d in texts]
+
+    def measured(docs):
+        made = spark.createDataFrame(rows, "doc_id long, node long, bands array<long>, small binary")
+        return docs.select("doc_id", "key").join(made, "doc_id").select("doc_id", "key", "node", "bands", "small")
+
+    monkeypatch.setattr(minhash, "_measured", measured)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_index_bounds_and_equals_the_similarity(monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60)
     rng = np.random.default_rng(3)
