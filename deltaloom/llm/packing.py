@@ -3,8 +3,8 @@
 Only the lengths of pieces matter, and there are at most `capacity` different ones, so the search runs
 over a histogram of fixed size, whatever the number of documents. A step takes the longest piece left,
 enumerates fillings for the rest of its sequence that no other filling dominates, tries the one with
-the least waste first, and applies it as often as the counts allow. The best-fit solution found first is
-the incumbent; a branch whose waste can't lead to fewer sequences is cut, and the search ends when the
+the least waste first, and applies it as often as the counts allow, then once, so that any number of times
+is tried. The best-fit solution by decreasing length is the first incumbent; a branch whose waste can't lead to fewer sequences is cut, and the search ends when the
 incumbent meets the lower bound (or after `effort` steps, with the incumbent). Half of the effort goes to
 the likely fillings of each step, which make a good incumbent; the rest to all undominated ones, lazily.
 
@@ -139,6 +139,33 @@ def _dominates(a: tuple, b: tuple) -> bool:
     return only_b <= max((x for x, c in rest_a.items() if c), default=0)
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best fit by decreasing length: each piece goes where the least room is left; equal sequences are one group."""
+    rooms: list[int] = []
+    groups: dict[int, list[Pattern]] = {}
+
+    def add(room: int, pattern: Pattern) -> None:
+        if room not in groups:
+            groups[room] = []
+            rooms.insert(bisect_right(rooms, room), room)
+        groups[room].append(pattern)
+
+    for x, n in sorted(histogram.items(), reverse=True):
+        while n > 0:
+            k = bisect_right(rooms, x - 1)
+            room = rooms[k] if k < len(rooms) else capacity
+            old = groups[room].pop() if k < len(rooms) else Pattern((), n)
+            copies = min(n, room // x)
+            times = min(old.times, n // copies)
+            if k < len(rooms) and times < old.times:
+                groups[room].append(Pattern(old.items, old.times - times))
+            elif k < len(rooms) and not groups[room]:
+                del groups[room], rooms[k]
+            add(room - copies * x, Pattern((*old.items, (x, copies)), times))
+            n -= copies * times
+    return [p for group in groups.values() for p in group]
+
+
 def complete_bins(histogram: dict[int, int], capacity: int, effort: int = 20_000) -> list[Pattern]:
     """Patterns that use every piece of the histogram (length -> pieces) exactly once."""
     counts = {x: c for x, c in histogram.items() if c > 0}
@@ -146,8 +173,8 @@ def complete_bins(histogram: dict[int, int], capacity: int, effort: int = 20_000
         raise ValueError("a piece doesn't fit a sequence")
     total = sum(x * c for x, c in counts.items())
     bound = max(-(-total // capacity), sum(c for x, c in counts.items() if 2 * x > capacity))
-    best: list[Pattern] | None = None
-    best_bins = sum(counts.values()) + 1
+    best = best_fit(counts, capacity)
+    best_bins = sum(p.times for p in best)
     lengths = sorted(counts)
     bins = waste = steps = 0
 
@@ -186,36 +213,45 @@ def complete_bins(histogram: dict[int, int], capacity: int, effort: int = 20_000
     # First over likely fillings for half of the effort, then over all of them for what is left.
     for whole, until in ((False, effort // 2), (True, effort)):
         # Depth-first: each level holds the fillings that are still to try and what it has taken.
-        path: list[tuple[Pattern, Iterator, int]] = []
-        level = options(whole) if lengths else iter(())
-        if not lengths:
-            best, best_bins = [], 0
+        path: list[tuple[Pattern, Iterator, int, bool, tuple | None]] = []
+        level = options(whole)
+        again: tuple | None = None  # a filling to be taken once more, singly: then its next repetitions may differ
+        diving = True  # the first descent ends, whatever the effort
         while best_bins > bound:
             steps += 1
-            if steps > until and best is not None:
+            if steps > until and not diving:
                 break
-            items = next(level, ())
+            single = again is not None
+            items, again = again or next(level, ()), None
             if items:
-                times = min(counts[x] // c for x, c in items)
+                most = min(counts[x] // c for x, c in items)
+                times = 1 if single else most
+                if whole and not single and most > 1:
+                    again = items
+                # Taken singly before, all that are left would be what was tried first.
+                repeated = whole and not single and path and path[-1][3] and path[-1][0].items == items
                 lost = (capacity - sum(x * c for x, c in items)) * times
-                if lost > spare():
+                if lost > spare() or repeated:
+                    diving = False
                     continue
                 take(items, times)
                 bins, waste = bins + times, waste + lost
-                path.append((Pattern(items, times), level, lost))
+                path.append((Pattern(items, times), level, lost, single, again))
+                again = None
                 if not lengths and bins < best_bins:
-                    best, best_bins = [p for p, _, _ in path], bins
+                    best, best_bins = [p for p, *_ in path], bins
                 level = options(whole) if lengths else iter(())
             elif items is not None:
+                diving = False
                 if not path:
                     break
-                pattern, level, lost = path.pop()
+                pattern, level, lost, _, again = path.pop()
                 give(pattern.items, pattern.times)
                 bins, waste = bins - pattern.times, waste - lost
-        for pattern, _, lost in reversed(path):
+        for pattern, _, lost, *_ in reversed(path):
             give(pattern.items, pattern.times)
             bins, waste = bins - pattern.times, waste - lost
-    return best or []
+    return best
 
 
 def _joined(top: int, filling: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:

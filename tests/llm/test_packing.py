@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from deltaloom.llm.bpe import splitter
-from deltaloom.llm.packing import Slots, _dominates, complete_bins, every_filling, fillings, pack
+from deltaloom.llm.packing import Slots, _dominates, best_fit, complete_bins, every_filling, fillings, pack
 
 WORD = "word_bpe_49k.json"
 
@@ -64,6 +64,27 @@ def test_every_undominated_filling_is_tried():
                 assert f in listed or any(_dominates(k, f) for k in listed)
 
 
+def test_a_filling_may_be_used_fewer_times_than_counts_allow():
+    cases = [(20, [12, 12, 12, 11, 11, 5, 5, 5, 5, 4, 4, 4, 4], 5), (20, [12, 12, 11, 6, 6, 5, 5, 5, 4, 4, 4, 4], 4)]
+    for capacity, lengths, least in cases:
+        assert fewest(lengths, capacity) == least == sum(p.times for p in complete_bins(Counter(lengths), capacity))
+
+
+def test_best_fit_and_a_result_that_is_never_worse():
+    random.seed(6)
+    for _ in range(100):
+        capacity = random.choice([20, 100])
+        lengths = sorted((random.randint(1, capacity) for _ in range(random.randint(1, 60))), reverse=True)
+        rooms = []
+        for x in lengths:
+            room = min((r for r in rooms if r >= x), default=None)
+            if room is not None:
+                rooms.remove(room)
+            rooms.append((capacity if room is None else room) - x)
+        assert sum(p.times for p in best_fit(Counter(lengths), capacity)) == len(rooms)
+        assert sum(p.times for p in complete_bins(Counter(lengths), capacity, effort=0)) <= len(rooms)
+
+
 def test_large_histogram_meets_its_bound():
     random.seed(1)
     h = Counter(min(2048, max(1, int(random.lognormvariate(5.3, 1.2)))) for _ in range(200_000))
