@@ -1,8 +1,11 @@
 """Exact byte-pair encoding by parts: split a text as the tokenizer does, encode distinct parts once.
 
-The library's own encode() of a part gives its ids, so a text's ids are those of its parts in order.
-Texts whose characters are all in a plain Latin set are split by an equal pattern here; any other
-text is split by the library's own normaliser and pre-tokeniser.
+The library's own model encodes the parts, so a text's ids are those of its parts in order. Texts whose
+characters are all in a plain Latin set are split by an equal pattern here; any other text is split by
+the library's own normaliser and pre-tokeniser.
+
+Special strings are found in the text as it is, before any normaliser: `<|endoftext|>` is one id, and
+`<|ENDOFTEXT|>` is ordinary text, whatever it spells in lower case.
 """
 
 from __future__ import annotations
@@ -10,14 +13,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The patterns of the two public vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Ids that are put together at once.
+GATHERED_IDS = 1 << 20
 #: Code points on which Python's and the library's classes and case rules agree, and that NFC leaves alone:
 #: Latin without controls, no-break space, soft hyphen and the dotted capital I.
 _PLAIN_POINTS = [*range(9, 14), *range(32, 127), *range(161, 173), *range(174, 304), *range(305, 592)]
@@ -29,7 +36,6 @@ def _plain_class(kind: str = "") -> str:
 
 
 
-
 def _byte_chars() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, the rest follows 255."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -38,6 +44,8 @@ def _byte_chars() -> list[str]:
 
 
 BYTE_CHARS = _byte_chars()
+#: Code points of the vocabulary's characters by byte; 255, which no UTF-8 has, parts the parts.
+_SPELL = np.array([*map(ord, BYTE_CHARS[:255]), 32], "<u4")
 #: A full stop or comma that isn't between a letter or digit and white space.
 _GROUPED_STOPS = re.compile(r"[.,](?:\S|(?<![^\W_][.,]))")
 _PLAIN = re.compile(f"[{_plain_class()}]*")
@@ -83,6 +91,20 @@ class Splitter:
             self._split = pre_tokenizers.Split(Regex(WORD_PATTERN), "removed", invert=True)
         else:
             self._split = self.library.pre_tokenizer
+        self._prepare_parts(Tokenizer)
+
+    def _prepare_parts(self, kind: type) -> None:
+        """The library's model behind a plain white-space split, for parts in the vocabulary's characters, and what its ids spell."""
+        from tokenizers import pre_tokenizers
+
+        self._model = kind(self.library.model)
+        self._model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: One more than the greatest id, and the least type that holds all ids.
+        self.vocabulary_size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
+        self.id_type = "<u2" if self.vocabulary_size <= 1 << 16 else "<u4"
+        self._spelt = np.zeros(self.vocabulary_size, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self._spelt[i] = len(token.removesuffix(self.suffix)) if self.suffix else len(token)
 
     def plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None
@@ -103,30 +125,62 @@ class Splitter:
             return self._segment(text)
         return list(chain.from_iterable([x] if x in self.special else self._segment(x) for x in self._specials.split(text) if x))
 
-    def words(self, text: str) -> list[str]:
-        """Parts whose ids, in order, are the text's: white-space words where white space is dropped.
+    def spaced(self, text: str) -> str | None:
+        """The text in lower case, with white space between parts whose ids, in order, are the text's; None where
+        it takes `pieces` to split it.
 
-        A full stop or comma between a letter or digit and white space is a pre-token of its own, so it
-        is cut off: the distinct parts are then about the distinct pre-tokens.
+        White space is dropped by the vocabulary, so words will do. A full stop or comma between a letter
+        or digit and white space is a pre-token of its own, so it is cut off: the distinct parts are then
+        about the distinct pre-tokens. A text that spells a special string, or would in lower case, is
+        left to `pieces`.
         """
-        if self.spaceless and not self.has_special(text) and self.plain(text):
-            text = text.lower()
-            if not _GROUPED_STOPS.search(text):
-                text = text.replace(",", " ,").replace(".", " .")
-            return text.split()
-        return self.pieces(text)
-
-    def encode_many(self, parts: list[str]) -> list[list[int]]:
-        """The library's ids of each part."""
-        if not self.suffix:
-            return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        # A plain lower-case word is one pre-token that the normaliser leaves alone: straight to the model.
-        model = self.library.model
-        out = [[t.id for t in model.tokenize(p if p.isascii() else "".join(map(BYTE_CHARS.__getitem__, p.encode())))] if p.isalpha() and self.plain(p) and p == p.lower() else None for p in parts]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = x.ids
-        return out
+        if not self.spaceless or not self.plain(text):
+            return None
+        low = text.lower()
+        if self.has_special(low) or self.has_special(text):
+            return None
+        return low if _GROUPED_STOPS.search(low) else low.replace(",", " ,").replace(".", " .")
+
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all parts in order, and where each part's end; parts come from `spaced` or `pieces`.
+
+        Pre-tokens go to the library's model as one text, in the vocabulary's own characters; what each
+        id spells tells where parts end.
+        """
+        known = self.special
+        if not any(p in known for p in parts):
+            return self._ordinary(parts)
+        # Special strings have one id each; what lies between them is encoded as one run.
+        ids, ends, run, at = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal at
+            if run:
+                own, stops = self._ordinary(run)
+                ids.append(own), ends.append(stops + at)
+                at += len(own)
+                run.clear()
+
+        for p in parts:
+            if p in known:
+                flush()
+                at += 1
+                ids.append(np.array([known[p]])), ends.append(np.array([at]))
+            else:
+                run.append(p)
+        flush()
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _ordinary(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = pc.binary_length(pa.array(parts, pa.string())).to_numpy()
+        if self.spaceless and self.plain(text := " ".join(parts)):
+            parts = self.pattern.findall(text)  # a plain part may be several pre-tokens; any other one is a pre-token
+        data = np.frombuffer(b"\xff".join(map(str.encode, parts)), np.uint8)
+        text = _SPELL[data].tobytes().decode("utf-32-le")
+        ids = np.array(self._model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        return ids, np.searchsorted(np.cumsum(self._spelt[ids]), np.cumsum(sizes), "left") + 1
 
 
 @lru_cache(maxsize=4)
@@ -136,32 +190,61 @@ def splitter(name: str) -> Splitter:
 
 
 class CachedEncoder:
-    """Ids of whole texts as arrays of 16-bit numbers; at most `bound` distinct parts are remembered."""
+    """Ids of whole texts; at most `bound` distinct parts are remembered, as places in one array of ids."""
 
     def __init__(self, name: str, bound: int = 800_000):
-        self.split, self.bound, self.known = splitter(name), bound, {}
+        self.split, self.bound, self.known = splitter(name), bound, {"": 0}  # nothing has no ids
+        self.ids, self.ends = np.zeros(1 << 16, self.split.id_type), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Numbers new parts after those that are known, and stores their ids after theirs."""
+        ids, ends = self.split.ids_of(new)
+        at = len(self.known)
+        used = int(self.ends[at - 1])
+        self.ids, self.ends = (x if need <= len(x) else np.concatenate([x, np.zeros(max(len(x), need - len(x)), x.dtype)]) for x, need in ((self.ids, used + len(ids)), (self.ends, at + len(new))))
+        self.ids[used : used + len(ids)] = ids
+        self.ends[at : at + len(new)] = ends + used
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def _gathered(self, distinct: list[str], place: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts that have so many parts each; place: of each part among the distinct ones."""
+        known = list(map(self.known.get, distinct))
+        if None in known:
+            gaps = [i for i, x in enumerate(known) if x is None]
+            new, kept = [distinct[i] for i in gaps], len(self.known)
+            self._learn(new)
+            for i, at in enumerate(gaps):
+                known[at] = kept + i
+            for p in new[max(0, self.bound - kept) :]:  # the parts that came first stay, and the frequent ones are among them
+                del self.known[p]
+        at = np.array(known, np.int64)
+        end = self.ends[at]
+        n, end = (end - np.where(at > 0, self.ends[at - 1], 0))[place], end[place]
+        after = np.cumsum(n)
+        words = np.concatenate([[0], np.cumsum(sizes)])
+        stops = np.concatenate([[0], after])[words]
+        # About GATHERED_IDS at once, which bounds the places that are in memory.
+        cuts = np.unique([0, *np.searchsorted(stops, np.arange(GATHERED_IDS, stops[-1], GATHERED_IDS)), len(sizes)]).tolist()
+        out: list[np.ndarray] = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            w = slice(words[x], words[y])
+            ids = self.ids[np.repeat(end[w] - after[w], n[w]) + np.arange(stops[x], stops[y])]
+            edges = (stops[x : y + 1] - stops[x]).tolist()
+            out += [ids[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.split.words(t) if t else [] for t in texts]
-        known = self.known.get
-        got = [list(map(known, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
-        new = list({p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap})
-        if new:
-            found = dict(zip(new, _packed(self.split.encode_many(new)), strict=True))
-            if len(self.known) < self.bound:  # else it is full of the parts that came first, which the frequent ones are among
-                self.known.update(found)
-            for p, g, gap in zip(parts, got, gaps, strict=True):
-                for i in gap:
-                    g[i] = found[p[i]]
-        return [np.frombuffer(b"".join(g), "<u2") for g in got]
-
-
-def _packed(ids: list[list[int]]) -> list[bytes]:
-    """Each list as little-endian 16-bit numbers."""
-    flat = np.fromiter(chain.from_iterable(ids), "<u2").tobytes()
-    ends = [0, *accumulate(2 * len(x) for x in ids)]
-    return [flat[a:b] for a, b in pairwise(ends)]
+        """The ids of each text (null: none)."""
+        spaced = [self.split.spaced(t) if t else "" for t in texts]
+        words = pc.ascii_split_whitespace(pa.array([x or "" for x in spaced], pa.string()))
+        found = words.flatten().dictionary_encode()
+        out = self._gathered(found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), words.value_lengths().to_numpy())
+        for i, x in enumerate(spaced):
+            if x is None:
+                parts = self.split.pieces(texts[i])
+                number = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+                out[i] = self._gathered(list(number), np.array([number[p] for p in parts], np.int64), np.array([len(parts)]))[0]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -4,12 +4,17 @@ Plan: the distinct pre-tokens are encoded once (see token_counts). Each slice of
 becomes a skeleton that holds its words in order, as ranks in the broadcast head of bounded size; words
 outside of the head leave a gap, and go with their positions through a shuffle join with the table of
 distinct words. Skeletons and joined words meet again by slice, where ids are put in place by position.
-A skeleton is about a third of its texts, so less is moved than by texts or ids.
+A skeleton is about a third of its texts, so less is moved than by texts or ids. Both passes have to
+cut the same slices, whichever task runs again: a table that isn't read straight from files is written
+first (see common.scanned).
+
+Decoding joins ids with the table of ids and pieces, which has a row for each id of the vocabulary and
+is held by each task: a join without a shuffle.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.bpe import BYTE_CHARS, splitter
-from deltaloom.llm.common import drop_shuffles, one_core, sha256_hex, slices, stage, text_key, texts_of
-from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of
+from deltaloom.llm.common import drop_shuffles, listed, one_core, scanned, sha256_hex, slices, stage, text_key, texts_of
+from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of, named
 
-#: Words in the broadcast head.
-HEAD_ROWS = 640_000
+#: Words in the broadcast head, and bytes of their names and ids.
+HEAD_ROWS, HEAD_BYTES = 640_000, 24 << 20
 _GAP = 0xFFFFFF
 
 
@@ -34,8 +39,8 @@ def _slice_key(doc_ids: list, keys: list) -> int:
 
 
 def _tail_rows(tokenizer: str, shared):
-    """(piece, slice, positions) of the words outside of the head; positions count through the slice's words."""
-    schema = pa.schema([("piece", pa.string()), ("slice", pa.int64()), ("positions", pa.binary())])
+    """(name, slice, positions) of the words outside of the head; positions count through the slice's words."""
+    schema = pa.schema([("name", pa.string()), ("slice", pa.int64()), ("positions", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
@@ -45,12 +50,12 @@ def _tail_rows(tokenizer: str, shared):
             gaps: dict[str, list[int]] = {}
             at = 0
             for t in texts:
-                found = split.pieces(t) if t else []
+                found = named(split.pieces(t)) if t else []
                 for i, own in enumerate(map(known.get, found), at):
                     if own is None:
                         gaps.setdefault(found[i - at], []).append(i)
                 at += len(found)
-            places = [np.array(where, "<u4").tobytes() for where in gaps.values()]
+            places = [struct.pack(f"<{len(where)}I", *where) for where in gaps.values()]
             yield pa.RecordBatch.from_arrays([pa.array(gaps.keys(), pa.string()), pa.array([_slice_key(docs, keys)] * len(gaps), pa.int64()), pa.array(places, pa.binary())], schema=schema)
 
     return run
@@ -65,11 +70,12 @@ def _skeletons(tokenizer: str, shared):
         split, rank, pack = splitter(tokenizer), {p: i for i, p in enumerate(shared.value)}, zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
             docs, texts, keys = (c.to_pylist() for c in part.columns)
-            found = [split.pieces(t) if t else [] for t in texts]
+            found = [named(split.pieces(t)) if t else [] for t in texts]
             r = np.array([_GAP if x is None else x for p in found for x in map(rank.get, p)], np.uint32)
-            # planes of equal bytes compress better than interleaved ones
-            head = pickle.dumps((docs, [len(p) for p in found]))
-            body = pack.compress(len(head).to_bytes(8, "little") + head + np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8).tobytes())
+            none, ids, lengths = np.array([d is None for d in docs], np.uint8), np.array([d or 0 for d in docs], "<i8"), np.array([len(p) for p in found], "<u8")
+            # Planes of equal bytes compress better than interleaved ones.
+            ranks = np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8)
+            body = pack.compress(len(docs).to_bytes(8, "little") + none.tobytes() + ids.tobytes() + lengths.tobytes() + ranks.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([_slice_key(docs, keys)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([body], pa.binary())], schema=schema)
 
     return run
@@ -84,27 +90,31 @@ def _assembled(tokenizer: str, shared, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         heads = list(shared.value.values())
-        pieces, unpack = id_to_piece(tokenizer), zstandard.ZstdDecompressor()
+        pieces, kind, unpack = id_to_piece(tokenizer), splitter(tokenizer).id_type, zstandard.ZstdDecompressor()
         now, gaps = None, {}
         for part in slices(batches, 4096):
-            for key, at, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for key, at, body in zip(*map(listed, part.columns), strict=True):
                 if key != now:
                     now, gaps = key, {}
                 if at is not None:
-                    gaps.update(dict.fromkeys(np.frombuffer(at, "<u4").tolist(), body))
+                    if len(at) == 4:
+                        gaps[int.from_bytes(at, "little")] = body
+                    else:
+                        gaps.update(dict.fromkeys(np.frombuffer(at, "<u4").tolist(), body))
                     continue
                 raw = unpack.decompress(body)
-                begin = 8 + int.from_bytes(raw[:8], "little")
-                docs, lengths = pickle.loads(raw[8:begin])
-                low, mid, high = np.frombuffer(raw, np.uint8, offset=begin).astype(np.uint32).reshape(3, -1)
+                n = int.from_bytes(raw[:8], "little")
+                none, ids, lengths = (np.frombuffer(raw, t, n, 8 + k * n).tolist() for t, k in ((np.uint8, 0), ("<i8", 1), ("<u8", 9)))
+                low, mid, high = np.frombuffer(raw, np.uint8, offset=8 + 17 * n).astype(np.uint32).reshape(3, -1)
                 ranks = (low | mid << 8 | high << 16).tolist()
                 words = [heads[r] if r != _GAP else gaps[i] for i, r in enumerate(ranks)]
                 count, ids_sha, text_sha, start = [], [], [], 0
-                for n in lengths:
-                    ids = np.frombuffer(b"".join(words[start : start + n]), "<u2")
-                    start += n
-                    count.append(len(ids)), ids_sha.append(sha256_hex(ids.astype("<u4").tobytes()))
-                    text_sha.append(sha256_hex(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()))
+                for size in lengths:
+                    found = np.frombuffer(b"".join(words[start : start + size]), kind)
+                    start += size
+                    count.append(len(found)), ids_sha.append(sha256_hex(found.astype("<u4").tobytes()))
+                    text_sha.append(sha256_hex(b"".join(map(pieces.__getitem__, found.tolist())).decode("utf-8", "replace").encode()))
+                docs = [None if x else d for x, d in zip(none, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs, count, ids_sha, text_sha), schema, strict=True)], schema=schema)
 
     return run
@@ -114,7 +124,7 @@ def id_to_piece(tokenizer: str) -> list[bytes]:
     """The bytes of every id: the vocabulary's table, of fixed size."""
     library = splitter(tokenizer).library
     to_byte = {c: b for b, c in enumerate(BYTE_CHARS)}
-    out = [b""] * (max(library.get_vocab(with_added_tokens=True).values()) + 1)
+    out = [b""] * splitter(tokenizer).vocabulary_size
     for token, i in library.get_vocab(with_added_tokens=True).items():
         out[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
     return out
@@ -125,15 +135,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, head: int = HEAD_ROWS, doc_id
 
     A null text counts as empty: no ids, and the digests of no bytes. Repeated rows come out as often
     as they came in; rows of one doc_id with different texts are encoded apart; other columns are
-    ignored. An empty table gives an empty result.
+    ignored. An empty table gives an empty result. The digests are of ids as 32-bit numbers, whatever
+    the vocabulary's size.
     """
     spark = docs.sparkSession
-    texts = texts_of(docs, doc_id, text).withColumn("key", text_key(F.col("text")))
+    texts = scanned(texts_of(docs, doc_id, text)).withColumn("key", text_key(F.col("text")))
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=True), "words")
-    shared = spark.sparkContext.broadcast(head_of(table, "ids", head))
+    shared = spark.sparkContext.broadcast(head_of(table, "ids", head, HEAD_BYTES, F.octet_length("ids")))
     drop_shuffles(spark)
-    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "piece string, slice long, positions binary")
-    placed = tail.join(table.select("piece", F.col("ids").alias("body")), "piece").select("slice", "positions", "body")
+    tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "name string, slice long, positions binary")
+    placed = tail.join(table.select("name", F.col("ids").alias("body")), "name").select("slice", "positions", "body")
     bodies = texts.mapInArrow(_skeletons(tokenizer, shared), "slice long, positions binary, body binary")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     met = placed.unionAll(bodies).repartition("slice").sortWithinPartitions("slice", F.col("positions").isNull())

@@ -56,6 +56,19 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return out
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """df if its plan only reads files, selects and filters, so that rows come in one order whenever it is run;
+    else df as a written table. For operators that read a table twice and number what they read."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "LocalRelation") and not node.nodeName().startswith("Relation"):
+            return stage(df, "scanned")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of the last query too, before a large one that is the last.
 
@@ -115,6 +128,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def listed(column: pa.Array) -> list:
+    """The values of an Arrow column as Python objects, by way of numpy where that keeps them as they are."""
+    if column.null_count and not (pa.types.is_binary(column.type) or pa.types.is_string(column.type)):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def annotate(docs: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.DataType]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The columns `keep` of docs, unchanged, and new columns that are made from whole texts.
 
