@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.bpe import BYTE_CHARS, splitter
 from deltaloom.llm.common import drop_shuffles, listed, one_core, scanned, sha256_hex, slices, stage, text_key, texts_of
-from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of, named
+from deltaloom.llm.token_counts import distinct_pieces, encoded_pieces, head_of, name_of
 
 #: Words in the broadcast head, and bytes of their names and ids.
 HEAD_ROWS, HEAD_BYTES = 640_000, 24 << 20
@@ -38,25 +39,36 @@ def _slice_key(doc_ids: list, keys: list) -> int:
     return xxhash.xxh3_64_intdigest(repr((doc_ids, keys)).encode()) - (1 << 63)
 
 
+def _ranked(split, ranks: dict[str, int], texts: list[str | None]) -> tuple[list[int], np.ndarray, list[int], list[str]]:
+    """Words of each text, the ranks of all words in order, and the places and names of those without a rank."""
+    found = [split.pieces(t) if t else [] for t in texts]
+    flat = list(chain.from_iterable(found))
+    own = np.array(list(map(ranks.get, flat, repeat(_GAP))), np.uint32)
+    places, names = [], []
+    for i in np.flatnonzero(own == _GAP).tolist():
+        # Long words have their names by digest, so they are looked up once more.
+        name = name_of(flat[i])
+        own[i] = ranks.get(name, _GAP)
+        if own[i] == _GAP:
+            places.append(i), names.append(name)
+    return list(map(len, found)), own, places, names
+
+
 def _tail_rows(tokenizer: str, shared):
     """(name, slice, positions) of the words outside of the head; positions count through the slice's words."""
     schema = pa.schema([("name", pa.string()), ("slice", pa.int64()), ("positions", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
-        split, known = splitter(tokenizer), shared.value
+        split, ranks = splitter(tokenizer), shared.value[0]
         for part in slices(batches):
             docs, texts, keys = (c.to_pylist() for c in part.columns)
             gaps: dict[str, list[int]] = {}
-            at = 0
-            for t in texts:
-                found = named(split.pieces(t)) if t else []
-                for i, own in enumerate(map(known.get, found), at):
-                    if own is None:
-                        gaps.setdefault(found[i - at], []).append(i)
-                at += len(found)
-            places = [struct.pack(f"<{len(where)}I", *where) for where in gaps.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(gaps.keys(), pa.string()), pa.array([_slice_key(docs, keys)] * len(gaps), pa.int64()), pa.array(places, pa.binary())], schema=schema)
+            _, _, places, names = _ranked(split, ranks, texts)
+            for i, name in zip(places, names, strict=True):
+                gaps.setdefault(name, []).append(i)
+            packed = [struct.pack(f"<{len(where)}I", *where) for where in gaps.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(gaps.keys(), pa.string()), pa.array([_slice_key(docs, keys)] * len(gaps), pa.int64()), pa.array(packed, pa.binary())], schema=schema)
 
     return run
 
@@ -67,20 +79,37 @@ def _skeletons(tokenizer: str, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
-        split, rank, pack = splitter(tokenizer), {p: i for i, p in enumerate(shared.value)}, zstandard.ZstdCompressor(level=3)
+        split, ranks, pack = splitter(tokenizer), shared.value[0], zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
             docs, texts, keys = (c.to_pylist() for c in part.columns)
-            found = [named(split.pieces(t)) if t else [] for t in texts]
-            r = np.array([_GAP if x is None else x for p in found for x in map(rank.get, p)], np.uint32)
-            none, ids, lengths = np.array([d is None for d in docs], np.uint8), np.array([d or 0 for d in docs], "<i8"), np.array([len(p) for p in found], "<u8")
+            sizes, r, _, _ = _ranked(split, ranks, texts)
+            none, ids, lengths = np.array([d is None for d in docs], np.uint8), np.array([d or 0 for d in docs], "<i8"), np.array(sizes, "<u8")
             # Planes of equal bytes compress better than interleaved ones.
-            ranks = np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8)
-            body = pack.compress(len(docs).to_bytes(8, "little") + none.tobytes() + ids.tobytes() + lengths.tobytes() + ranks.tobytes())
+            planes = np.concatenate([r & 255, r >> 8 & 255, r >> 16]).astype(np.uint8)
+            body = pack.compress(len(docs).to_bytes(8, "little") + none.tobytes() + ids.tobytes() + lengths.tobytes() + planes.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([_slice_key(docs, keys)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([body], pa.binary())], schema=schema)
 
     return run
 
 
+class Decoder:
+    """Joins ids with the table of ids and pieces, many at once."""
+
+    def __init__(self, tokenizer: str):
+        table = id_to_piece(tokenizer)
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.array([len(x) for x in table], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's end."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.begins[ids] - (ends - n), n)
+        at += np.arange(len(at))
+        return self.bytes[at], ends
+
+
 def _assembled(tokenizer: str, shared, schema: pa.Schema):
     """Slices of one task, each with its joined words before its skeleton, into ids and digests.
 
@@ -89,8 +118,8 @@ def _assembled(tokenizer: str, shared, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
-        heads = list(shared.value.values())
-        pieces, kind, unpack = id_to_piece(tokenizer), splitter(tokenizer).id_type, zstandard.ZstdDecompressor()
+        heads = shared.value[1]
+        decoder, kind, unpack = Decoder(tokenizer), np.dtype(splitter(tokenizer).id_type), zstandard.ZstdDecompressor()
         now, gaps = None, {}
         for part in slices(batches, 4096):
             for key, at, body in zip(*map(listed, part.columns), strict=True):
@@ -104,18 +133,24 @@ def _assembled(tokenizer: str, shared, schema: pa.Schema):
                     continue
                 raw = unpack.decompress(body)
                 n = int.from_bytes(raw[:8], "little")
-                none, ids, lengths = (np.frombuffer(raw, t, n, 8 + k * n).tolist() for t, k in ((np.uint8, 0), ("<i8", 1), ("<u8", 9)))
+                none, docs, sizes = (np.frombuffer(raw, t, n, 8 + k * n) for t, k in ((np.uint8, 0), ("<i8", 1), ("<u8", 9)))
                 low, mid, high = np.frombuffer(raw, np.uint8, offset=8 + 17 * n).astype(np.uint32).reshape(3, -1)
-                ranks = (low | mid << 8 | high << 16).tolist()
-                words = [heads[r] if r != _GAP else gaps[i] for i, r in enumerate(ranks)]
-                count, ids_sha, text_sha, start = [], [], [], 0
-                for size in lengths:
-                    found = np.frombuffer(b"".join(words[start : start + size]), kind)
-                    start += size
-                    count.append(len(found)), ids_sha.append(sha256_hex(found.astype("<u4").tobytes()))
-                    text_sha.append(sha256_hex(b"".join(map(pieces.__getitem__, found.tolist())).decode("utf-8", "replace").encode()))
-                docs = [None if x else d for x, d in zip(none, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs, count, ids_sha, text_sha), schema, strict=True)], schema=schema)
+                ranks = low | mid << 8 | high << 16
+                open_ = np.flatnonzero(ranks == _GAP)
+                ranks[open_] = len(heads) - 1  # nothing, until the joined word takes its place
+                words = list(map(heads.__getitem__, ranks.tolist()))
+                for i in open_.tolist():
+                    words[i] = gaps[i]
+                ids = np.frombuffer(b"".join(words), kind)
+                ends = np.concatenate([[0], np.cumsum(np.array(list(map(len, words)), np.int64) // kind.itemsize)])
+                stops = ends[np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])]
+                text, text_ends = decoder.decode(ids)
+                text_stops = np.concatenate([[0], text_ends])[stops].tolist()
+                wide, stops = ids.astype("<u4"), stops.tolist()
+                ids_sha = [sha256_hex(wide[a:b].tobytes()) for a, b in pairwise(stops)]
+                text_sha = [sha256_hex(text[a:b].tobytes().decode("utf-8", "replace").encode()) for a, b in pairwise(text_stops)]
+                rows = [None if x else d for x, d in zip(none.tolist(), docs.tolist(), strict=True)], [b - a for a, b in pairwise(stops)], ids_sha, text_sha
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
     return run
 
@@ -141,7 +176,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, head: int = HEAD_ROWS, doc_id
     spark = docs.sparkSession
     texts = scanned(texts_of(docs, doc_id, text)).withColumn("key", text_key(F.col("text")))
     table = stage(encoded_pieces(distinct_pieces(texts, tokenizer), tokenizer, ids=True), "words")
-    shared = spark.sparkContext.broadcast(head_of(table, "ids", head, HEAD_BYTES, F.octet_length("ids")))
+    top = head_of(table, "ids", head, HEAD_BYTES, F.octet_length("ids"))
+    # Ranks by name, and ids by rank; after them nothing, for words that are joined.
+    shared = spark.sparkContext.broadcast(({p: i for i, p in enumerate(top)}, [*top.values(), b""]))
     drop_shuffles(spark)
     tail = texts.mapInArrow(_tail_rows(tokenizer, shared), "name string, slice long, positions binary")
     placed = tail.join(table.select("name", F.col("ids").alias("body")), "name").select("slice", "positions", "body")
