@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ STRATA = (50, 200, 1000)
 BINS = 64
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_BINS = "quality_bins"
+_BINS, _KEY = "quality_bins", "quality_key"
 _SYMBOLS, _SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -83,16 +84,16 @@ def _measure(texts: list[str | None]) -> list:
         upper = len(data) - len(data.translate(None, _UPPER))
         signals = (symbols / some, dup / max(lines, 1), repeats / some, text.count("!") / some, upper / max(chars, 1), chars / some)
         halves = (0.2, 0.2, 0.2, 0.2, 0.2, 8.0)
-        rows.append((n, chars, symbols, dup, repeats, bytes(_binned(v, h) for v, h in zip(signals, halves, strict=True))))
-    return list(zip(*rows, strict=True)) if rows else [[]] * 6
+        rows.append((n, chars, symbols, dup, repeats, bytes(_binned(v, h) for v, h in zip(signals, halves, strict=True)), xxhash.xxh3_64_intdigest(data) - (1 << 63)))
+    return list(zip(*rows, strict=True)) if rows else [[]] * 7
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep`, the five counts, and the bins of the signals (one byte each).
+    """The columns `keep`, the five counts, the bins of the signals (one byte each), and a hash of the text.
 
     A null text counts as one without words: all counts are 0.
     """
-    return annotate(docs, text, keep, [*((c, pa.int64()) for c in _COUNTS), (_BINS, pa.binary())], lambda: _measure)
+    return annotate(docs, text, keep, [*((c, pa.int64()) for c in _COUNTS), (_BINS, pa.binary()), (_KEY, pa.int64())], lambda: _measure)
 
 
 def stratum() -> Column:
@@ -120,12 +121,32 @@ class Rules:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of X ~ Binomial(n, p), exactly as far as floats go."""
+    """P(X <= k) of X ~ Binomial(n, p): the regularised incomplete beta function at 1 - p, exactly as far as floats go.
+
+    Its continued fraction (modified Lentz) takes about as many terms as the square root of n, so a
+    billion labels cost no more than a moment.
+    """
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x >= (a + 1) / (a + b + 2):  # the fraction converges fast on the other side only
+        return max(0.0, 1.0 - front * _beta_fraction(b, a, 1 - x) / b)
+    return min(1.0, front * _beta_fraction(a, b, x) / a)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 1_000_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return out
 
 
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
@@ -148,13 +169,17 @@ def learn_rules(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delt
     """Cutoffs from all labelled documents: at most `risk` of the good ones of a stratum are rejected, with confidence 1 - delta.
 
     labels has doc_id and quality (1 good, 0 bad); rows with a null in either are left out, and a
-    document with both labels counts as good. An empty table certifies nothing.
+    document with both labels counts as good. An empty table certifies nothing, nor do labels that all
+    agree. The test needs independent draws: rows of one document, and copies of one text, are one draw,
+    and a good one if any of them is.
     """
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality")).filter(F.col("_quality").isNotNull())
     rows = measured.join(known, F.col(doc_id) == F.col("_labelled"))
     signals = F.array(*(F.struct(F.lit(i).alias("signal"), bin_of(i).alias("bin")) for i in range(len(SIGNALS))))
     table = (
-        rows.select(stratum().alias("stratum"), "_quality", F.explode(signals).alias("x"))
+        rows.groupBy("n_words", _BINS, _KEY)
+        .agg(F.max("_quality").alias("_quality"))
+        .select(stratum().alias("stratum"), "_quality", F.explode(signals).alias("x"))
         .groupBy("stratum", "x.signal", "x.bin")
         .agg(F.sum((F.col("_quality") > 0).cast("long")).alias("good"), F.sum((F.col("_quality") <= 0).cast("long")).alias("bad"))
         .collect()  # at most strata * signals * BINS rows
