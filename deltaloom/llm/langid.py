@@ -1,25 +1,30 @@
 """Language identification, words first: known words by their log frequency in each language, unseen
 words by their longest known character n-grams, from ORDERS[0] letters down to one.
 
-The tables are counted on a bounded sample of labelled documents (`max_docs`) and cut to the most
-frequent MAX_WORDS words and MAX_GRAMS n-grams of each order, so the broadcast model has a fixed bound.
+Frequencies are counted by tasks over a bounded sample of labelled documents (`max_docs`, or LEAST_DOCS a
+language if that is more); only the most frequent MAX_WORDS words of each language come to the driver.
+The model keeps MAX_WORDS words and MAX_GRAMS n-grams of each order, so what is broadcast has a fixed
+bound for each language; words beyond it are told by their n-grams, like unseen ones. Every language
+that has a label is learnt.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import annotate
+from deltaloom.llm.common import annotate, listed, one_core, slices, stage
 
 ORDERS = (5, 4, 3, 2, 1)
-MAX_LANGS, MAX_WORDS, MAX_GRAMS = 64, 60_000, 40_000
+MAX_WORDS, MAX_GRAMS, LEAST_DOCS = 60_000, 40_000, 20
 #: Distinct words that a task remembers the scores of.
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,11 +60,16 @@ def _log_table(counts: dict[str, Counter], langs: list[str], most: int) -> dict[
     return {x: (np.log(np.array([counts[lang][x] for lang in langs], float) + _SMOOTH) - below).astype(np.float32) for x in kept}
 
 
-def fit(samples: list[tuple[str, str]]) -> LanguageModel:
-    """A model from (language, text) pairs."""
+def counted(samples: Iterable[tuple[str, str]]) -> dict[str, Counter]:
+    """By language, how often each word occurs in its (language, text) pairs."""
     words: dict[str, Counter] = {}
     for lang, text in samples:
         words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+    return words
+
+
+def fit(words: dict[str, Counter]) -> LanguageModel:
+    """A model from counts of words by language."""
     langs = sorted(words)
     grams: dict[str, np.ndarray] = {}
     for n in ORDERS:
@@ -74,18 +84,43 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(langs, _log_table(words, langs, MAX_WORDS), grams)
 
 
-def sample_labelled(docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most about max_docs labelled texts, shared evenly by the languages; chosen by a hash of the text."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
-    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
-    if not sizes:
-        return []
-    share = max_docs / len(sizes)
-    unit = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("l") == r["l"]) & (unit < min(1.0, share / r["count"])))
-    return [(r.l, r.t) for r in known.filter(chosen).toLocalIterator()]
+def sample_labelled(docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """l, t: at most max_docs labelled texts (LEAST_DOCS a language if that is more), shared evenly by the languages.
+
+    Copies of a text count once in a language, so a group of copies is neither the whole sample nor all
+    that comes to one task. Texts are chosen by a hash of theirs, ranked within the few that pass it.
+    """
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("key"))
+    sizes = known.groupBy("l").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()  # one row a language
+    share = max(LEAST_DOCS, max_docs // max(1, len(sizes)))
+    # A few more than the share pass the hash; the rank within them makes the bound exact.
+    most = F.create_map(*(F.lit(x) for r in sizes for x in (r["l"], min(1.0, 1.2 * share / max(1, r["n"]))))) if sizes else None
+    unit = F.pmod("key", F.lit(1_000_003)) / 1_000_003
+    some = known.filter(unit < most[F.col("l")]) if sizes else known.limit(0)
+    once = some.dropDuplicates(["l", "key"])
+    rank = F.row_number().over(W.partitionBy("l").orderBy(unit, "key"))
+    return stage(once.withColumn("rank", rank).filter(F.col("rank") <= share).select("l", "t"), "labelled-sample")
+
+
+def word_counts(samples: DataFrame) -> dict[str, Counter]:
+    """Counts of the words of sampled texts (l, t), by tasks; at most MAX_WORDS of each language are collected."""
+    schema = pa.schema([("l", pa.string()), ("w", pa.string()), ("c", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_core()
+        for part in slices(batches):
+            rows = [(lang, w, c) for lang, found in counted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)).items() for w, c in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
+
+    summed = samples.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
+    top = summed.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy(F.desc("c"), "w"))).filter(F.col("rank") <= MAX_WORDS)
+    table = top.select("l", "w", "c").toArrow()
+    out: dict[str, Counter] = {}
+    for lang, w, c in zip(*(listed(x.combine_chunks()) for x in table.columns), strict=True):
+        out.setdefault(lang, Counter())[w] = c
+    for lang in {r["l"] for r in samples.select("l").distinct().collect()} - set(out):
+        out[lang] = Counter()  # texts without a letter still have a language
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.llm import toxicity
 
     docs = _documents(spark, sf_dir)
-    model = toxicity.fit(toxicity.sample_labelled(docs, _table(spark, sf_dir, "labels"), TOXIC_SAMPLE, CLEAN_SAMPLE, held_out_mod=5))
+    model = toxicity.fit(*toxicity.sample_labelled(docs, _table(spark, sf_dir, "labels"), TOXIC_SAMPLE, CLEAN_SAMPLE, held_out_mod=5))
     return toxicity.score(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -51,7 +51,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     known = docs.filter(crc_mod(F.col("doc_id"), 4) != 2)
-    model = langid.fit(langid.sample_labelled(known, LANGUAGE_SAMPLE))
+    model = langid.fit(langid.word_counts(langid.sample_labelled(known, LANGUAGE_SAMPLE)))
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

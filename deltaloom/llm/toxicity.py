@@ -1,10 +1,16 @@
 """Toxicity by a bag of subwords: word vectors are means of hashed word and character n-gram vectors,
 a document is the mean of its words, and a linear softmax reads that mean. Vectors and softmax are
-trained jointly in numpy on a bounded sample of labelled documents, so a misspelling that was never
-seen still gets the vectors of its n-grams.
+trained jointly in numpy, from a random start, on a bounded sample of labelled documents, so a
+misspelling that was never seen still gets the vectors of its n-grams.
 
-The vectors' differences along the softmax are summed up once per bucket after training; scoring needs
-only that table (`buckets` floats, broadcast) and one number per distinct word.
+All averaging is linear, and the softmax has two classes, so a step needs only one number per bucket,
+word and document: forwards the vectors' products with the difference of the two rows of the softmax,
+backwards the sums of the documents' errors. Gradients are exact for any number of dimensions.
+
+Only buckets that toxic and clean documents have unlike often are trained. How unlike, when to stop, and
+where the border lies is told by every fifth of the learning documents, which the vectors don't see; labels outside of the sample are never looked at. After training the vectors'
+products are the whole model: scoring needs that table (`buckets` floats, broadcast) and one number per
+distinct word.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -22,7 +29,10 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import annotate, crc_mod, shielded
 
-BUCKETS, DIM, GRAMS, MIN_DOCS, LEARNT_DOCS = 1 << 18, 2, (3, 4, 5), 3, 10
+#: Hashed vectors, their dimensions, sizes of n-grams, documents that a word needs, standard errors that a bucket needs to be trained (all are tried).
+BUCKETS, DIM, GRAMS, MIN_DOCS, TELLING = 1 << 18, 16, (3, 4, 5), 3, (6, 4, 3)
+#: One in so many learning documents tells when to stop and where the border is.
+CHECKED = 5
 #: Distinct words that a task remembers the contribution of.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -44,25 +54,68 @@ class ToxicModel:
     table: np.ndarray  # by bucket: its vector along the softmax's difference
 
 
-def _line(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of y on x, by damped Newton steps."""
-    spread = float(x.std()) or 1.0
-    x, slope, offset = x / spread, 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        w = share * p * (1 - p)
-        g = np.array([(share * (y - p) * x).sum() - 1e-4 * slope, (share * (y - p)).sum()])
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        slope, offset = slope + float(np.clip(step[0], -3, 3)), offset + float(np.clip(step[1], -3, 3))
-    return slope / spread, offset
-
-
-def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3, prior: float = 0.06, caution: float = 1.0) -> ToxicModel:
-    """Trains on (text, label) pairs; classes are weighted so that the toxic one has the share `prior`.
-
-    `caution` is taken from the log odds: documents at the border count as clean. Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
-    documents only count in their documents' lengths: on their own they would be learnt by heart.
+def _border(logits: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """(F1, border): the middle of the gap between two log odds that tells toxic (y = 1) from clean documents best."""
+    order = np.argsort(-logits, kind="stable")
+    hit, flagged = np.cumsum((share * y)[order]), np.cumsum(share[order])
+    f1 = 2 * hit / (flagged + (share * y).sum())
+    x = logits[order]
+    last = np.append(x[1:] < x[:-1], True)  # a border lies between different log odds only
+    k = int(np.flatnonzero(last)[f1[last].argmax()])
+    return float(f1[k]), float((x[k] + x[k + 1]) / 2 if k + 1 < len(x) else x[k] - 1)
+
+
+class _Bags:
+    """Documents as bags of words, and words as bags of buckets, for sums in both directions."""
+
+    def __init__(self, doc_of: np.ndarray, word_of: np.ndarray, weight: np.ndarray, parts: list[list[int]], docs: int):
+        self.doc_of, self.word_of, self.weight, self.docs = doc_of, word_of, weight, docs
+        self.used, flat = np.unique(np.fromiter((x for p in parts for x in p), np.int64), return_inverse=True)
+        self.flat, self.lens = flat.astype(np.int32), np.array(list(map(len, parts)), np.float64)
+        self.part_of = np.repeat(np.arange(len(parts), dtype=np.int32), self.lens.astype(np.int64))
+
+    def down(self, per_bucket: np.ndarray) -> np.ndarray:
+        """By document, the mean over its words of the means over their buckets."""
+        words = np.bincount(self.part_of, per_bucket[self.flat], len(self.lens)) / self.lens
+        return np.bincount(self.doc_of, words[self.word_of] * self.weight, self.docs)
+
+    def up(self, per_doc: np.ndarray) -> np.ndarray:
+        """By bucket, what a number for each document sums up to: the adjoint of `down`."""
+        words = np.bincount(self.word_of, per_doc[self.doc_of] * self.weight, len(self.lens)) / self.lens
+        return np.bincount(self.flat, words[self.part_of], len(self.used))
+
+    def evidence(self, y: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+        """By bucket, how unlike often toxic and clean learning documents have it, in standard errors of the log odds."""
+        seen = np.zeros((2, len(self.used)))
+        bucket_at = np.concatenate([[0], np.cumsum(self.lens)]).astype(np.int64)
+        word_at = np.searchsorted(self.doc_of, np.arange(self.docs + 1))
+        for d in np.flatnonzero(learnt).tolist():
+            words = self.word_of[word_at[d] : word_at[d + 1]]
+            if len(words):
+                seen[int(y[d] > 0)][np.concatenate([self.flat[bucket_at[w] : bucket_at[w + 1]] for w in words.tolist()])] += 1
+        many = np.array([[(learnt & (y < 1)).sum()], [(learnt & (y > 0)).sum()]])
+        odds = np.log((seen + 0.5) / (many - seen + 0.5))
+        error = np.sqrt((1 / (seen + 0.5) + 1 / (many - seen + 0.5)).sum(axis=0))
+        return np.abs(odds[1] - odds[0]) / error
+
+    def only(self, trained: np.ndarray) -> _Bags:
+        """The same bags with these buckets; the others still count in the means."""
+        out = copy(self)
+        at = trained[self.flat]
+        number = np.cumsum(trained) - 1
+        out.used, out.flat, out.part_of = self.used[trained], number[self.flat[at]].astype(np.int32), self.part_of[at]
+        some = np.bincount(out.part_of, minlength=len(self.lens))[self.word_of] > 0
+        out.doc_of, out.word_of, out.weight = self.doc_of[some], self.word_of[some], self.weight[some]
+        return out
+
+
+def fit(samples: Iterable[tuple[str, int]], prior: float | None = None, epochs: int = 200, rate: float = 0.2, seed: int = 1) -> ToxicModel:
+    """Trains on (text, label) pairs, weighted so that the toxic class has the share `prior` (its share of the pairs if None).
+
+    Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
+    documents only count in their documents' lengths: on their own they would be learnt by heart. The
+    model of the step that did best on the documents left out is kept, with the border that told them
+    apart best. Labels that all agree give a model that says so of every document.
     """
     number: dict[str, int] = {}
     words_of, shares, y = [], [], []
@@ -72,7 +125,7 @@ def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3,
             words_of.append(np.array([number.setdefault(w, len(number)) for w in bag], np.int32))
             shares.append(np.array(list(bag.values()), np.float32) / bag.total())
             y.append(label)
-    y = np.array(y, np.float32)
+    y = np.array(y, np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicModel(-4.0 if not len(y) or y.max() < 1 else 4.0, np.zeros(BUCKETS, np.float32))
     doc_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(w) for w in words_of])
@@ -84,53 +137,53 @@ def fit(samples: Iterable[tuple[str, int]], epochs: int = 60, rate: float = 0.3,
     del number, words_of, shares
     if not index:
         return ToxicModel(-4.0, np.zeros(BUCKETS, np.float32))
-    parts = [np.array(features(w), np.int32) for w in index]
-    lens, flat = np.array([len(p) for p in parts], np.float32), np.concatenate(parts)
-    share = np.where(y > 0, prior / (y > 0).sum(), (1 - prior) / (y < 1).sum()).astype(np.float32)
-
-    used, flat = np.unique(flat, return_inverse=True)
-    flat = flat.astype(np.int32)
-    word_of = np.repeat(np.arange(len(index), dtype=np.int32), lens.astype(np.int64))
-    vectors = np.zeros((len(used), DIM), np.float32)
-    out = np.array([[-0.5] * DIM, [0.5] * DIM], np.float32)
-    # Start from what a feature's presence in a document tells: its log odds, where they are beyond chance.
-    n1, n0 = y.sum(), (1 - y).sum()
-    toxic, clean = np.zeros(len(used)), np.zeros(len(used))
-    numbered = np.split(flat, np.cumsum(lens.astype(np.int64))[:-1])
-    for label, words in zip(y, np.split(doc_word, np.searchsorted(doc_of, np.arange(1, len(y)))), strict=True):
-        if len(words):
-            (toxic if label > 0 else clean)[np.concatenate([numbered[w] for w in words])] += 1
-    odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (n1 - toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n0 - clean + 0.5))
-    telling = np.abs(odds) > 4 * error
-    vectors[:] = np.where(telling, odds, 0)[:, None] / DIM
-    trained = (telling | (toxic + clean >= LEARNT_DOCS)).astype(np.float32)[:, None]
-    start = np.bincount(doc_of, (np.bincount(word_of, vectors[flat].sum(1), len(index)) / lens)[doc_word] * weight, len(y))
-    scale, bias = _line(start, y, share)
-    vectors *= scale
-    bias = np.array([-bias / 2, bias / 2], np.float32)
-    adam = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, out, bias)]
-    for step in range(1, epochs + 1):
-        words = np.stack([np.bincount(word_of, vectors[flat, d], len(index)) for d in range(DIM)], 1) / lens[:, None]
-        means = np.stack([np.bincount(doc_of, words[doc_word, d] * weight, len(y)) for d in range(DIM)], 1)
-        logits = means @ out.T + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - np.stack([1 - y, y], 1)) * share[:, None]
-        g_mean = g @ out
-        g_word = np.stack([np.bincount(doc_word, g_mean[doc_of, d] * weight, len(index)) for d in range(DIM)], 1) / lens[:, None]
-        g_vec = np.stack([np.bincount(flat, g_word[word_of, d], len(used)) for d in range(DIM)], 1) * trained
-        for param, grad, (m, v) in zip((vectors, out, bias), (g_vec, g.T @ means, g.sum(0)), adam, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.05 * (grad * grad - v)
-            param -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-12)).astype(np.float32)
+    bags = _Bags(doc_of, doc_word, weight, [features(w) for w in index], len(y))
+    prior = float(y.mean()) if prior is None else prior
+    share = np.where(y > 0, prior / (y > 0).sum(), (1 - prior) / (y < 1).sum())
+    # Every CHECKED-th document of either label is left out, where that leaves some to learn from.
+    nth = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y < 1))
+    out = (nth % CHECKED == 0) if min((y > 0).sum(), (y < 1).sum()) >= CHECKED else np.zeros(len(y), bool)
+    told = out if out.any() else ~out
+    learnt = share * ~out / (share * ~out).sum()
+
+    evidence = bags.evidence(y, ~out)
+    best = (-1.0, bags, np.zeros(0), 0.0)
+    for errors in TELLING:
+        own = bags.only(evidence > errors)
+        for step, along, offset, logits in _steps(own, y, learnt, prior, epochs, rate, seed):
+            if step % 4 == 0:
+                f1, border = _border(logits[told], y[told], share[told])
+                if f1 > best[0]:
+                    best = (f1, own, along.copy(), offset - border)
+    _, own, along, bias = best
     table = np.zeros(BUCKETS, np.float32)
-    table[used] = vectors @ (out[1] - out[0])
-    return ToxicModel(float(bias[1] - bias[0]) - caution, table)
+    table[own.used] = along
+    return ToxicModel(bias, table)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[str, int]]:
-    """Labelled texts, at most about most_toxic and most_clean of either label; chosen by a hash of the label's row.
+def _steps(bags: _Bags, y: np.ndarray, learnt: np.ndarray, prior: float, epochs: int, rate: float, seed: int) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
+    """Steps of Adam from a random start: the number, the buckets' products, the bias and all documents' log odds."""
+    random = np.random.default_rng(seed)
+    vectors, softmax, bias = random.normal(0, 1 / DIM, (len(bags.used), DIM)), random.normal(0, 1, (2, DIM)), np.array([0.0, np.log(prior / (1 - prior))])
+    params = [vectors, softmax, bias]
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    for step in range(1, epochs + 1):
+        difference = softmax[1] - softmax[0]
+        along = vectors @ difference
+        logits = bags.down(along) + bias[1] - bias[0]
+        yield step, along, float(bias[1] - bias[0]), logits
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y) * learnt
+        by_bucket = bags.up(error)
+        toward = by_bucket @ vectors
+        for p, g, (m, v) in zip(params, (np.outer(by_bucket, difference), np.stack([-toward, toward]), np.array([-error.sum(), error.sum()])), moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.05 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-12)
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[Iterator[tuple[str, int]], float | None]:
+    """(pairs, share): labelled texts, at most about most_toxic and most_clean of either label, chosen by a hash of
+    the label's row, and the share of toxic ones among all labels that may be learnt from (None: there are none).
 
     labels has doc_id and toxic; a document with both labels counts as toxic, nulls are left out. With
     held_out_mod, ids whose crc32 is divisible by it are never taken.
@@ -139,13 +192,14 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_cl
     if held_out_mod:
         known = known.filter(crc_mod(F.col("_id"), held_out_mod) != 0)
     sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect() if r["_y"] in (0, 1)}
+    share = sizes.get(1, 0) / sum(sizes.values()) if sizes else None
     unit = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003
     chosen = F.lit(False)
     for label, n in sizes.items():
         chosen = chosen | ((F.col("_y") == label) & (unit < min(1.0, (most_toxic if label else most_clean) / n)))
     picked = known.filter(chosen)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
-    return ((r["_text"], int(r["_y"])) for r in rows.select("_text", "_y").toLocalIterator())
+    return ((r["_text"], int(r["_y"])) for r in rows.select("_text", "_y").toLocalIterator()), share
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: list[str], text: str = "text") -> DataFrame:
