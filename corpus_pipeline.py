@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
-    model = toxicity.fit(toxicity.sample_labelled(docs, _labels(spark, sf_dir), TOXIC_SAMPLE, CLEAN_SAMPLE))
+    model = toxicity.fit(*toxicity.sample_labelled(docs, _labels(spark, sf_dir), TOXIC_SAMPLE, CLEAN_SAMPLE))
     return toxicity.without_toxic(docs, model)
 
 
