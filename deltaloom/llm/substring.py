@@ -1,18 +1,21 @@
 """Substring dedup: words covered by a window that also starts in a document with a smaller id go.
 
-Suffixes are partitioned by a prefix before trees are built, so that every group of suffixes fits a
-task. A suffix matters by its first `window` words. The prefix that names its group is the least of the
-16-word grams in those words, wherever it begins: equal windows have equal prefixes, and neighbouring
-suffixes share one, so a run of suffixes goes to its group with its words stated once. A prefix that
-only one document has can't hold a repeat and is dropped before any text moves. Equal runs then become one,
-by an aggregate that is combined before the shuffle: the least id of their documents goes into the
-trees, and the others are covered whole. A prefix with more than HEAVY different runs is lengthened to
-all `window` words of each suffix: no group is left to hold, as suffixes of equal words are aggregated.
-
-Each group's subtree is refined by doubling (nodes of depth 1, 2, 4 ... words, then of `window` words,
-all exact). An internal node at the full depth whose leaves are of several documents is a repeat; its
-leaves in documents beyond the smallest id are covered. Runs of covered suffixes are the maximal
-repeats' spans.
+Suffixes are partitioned by prefixes, and each group gets a suffix tree of its own. A suffix matters by
+its first `window` words. Sampled suffixes name the groups: those that begin with the least 16-word gram
+of some window, and that gram is their prefix. Equal windows hold the same sampled suffix at the same
+place, and neighbouring windows share one, so a run of suffixes goes to its group with its words stated
+once. A prefix that only one document has can't hold a repeat and is dropped before any text moves. Equal
+runs then become one, by an aggregate that is combined before the shuffle: the least id of their
+documents goes into the trees, and the others are covered whole.
+
+A prefix with more than `heavy` different runs is too large for a group. Its suffixes are then dealt by
+prefixes of their own, which are lengthened along LADDER until a group fits, up to all `window` words:
+suffixes that agree in all of them are one node, and are aggregated.
+
+A group's tree (SuffixTree) has the suffixes in order as leaves, and an internal node wherever neighbours
+agree in more words than those around them. The uppermost internal nodes of at least `window` words are
+the repeats: the leaves of one in documents beyond its smallest id are covered, each as far as the node
+is deep. Overlapping spans of a document are joined.
 
 Documents of equal words are one class: only the first is searched, the others are covered whole.
 """
@@ -27,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import broadcast_if_short, one_core, sha256_hex, shielded, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import listed, one_core, sha256_hex, shielded, slices, stage, text_key, texts_of, unstage
 
-#: Words of a prefix, different runs beyond which it is lengthened, and words of the groups that are refined at a time.
+#: Words of a prefix, different runs (or suffixes) beyond which it is lengthened, and words of the groups that a task has at a time.
 GRAM, HEAVY, GROUP_WORDS = 16, 4096, 1 << 19
-#: Prefixes (one number each), and places of runs (four bytes each) that are broadcast at most.
-MANY_BROADCAST, PLACES_BROADCAST = 100_000, 3_000_000
+#: Words of lengthened prefixes, as shares of the window in fiftieths.
+LADDER = (4, 12, 20, 32, 50)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,33 +91,69 @@ def runs_of(words: list[list[bytes]], window: int) -> list[list[tuple[int, int,
     return out
 
 
-def subtree_nodes(words: np.ndarray, leaves: np.ndarray, window: int) -> np.ndarray:
-    """The node of depth `window` above each leaf: equal numbers for suffixes of equal first words.
+class SuffixTree:
+    """The suffix tree of some suffixes of texts: leaves in order, and how many words neighbours agree in.
 
-    words: numbers of words; leaves: where suffixes start. Each level refines the one before.
+    words: numbers of words, texts one after another, each ended by a number of its own. leaves: where
+    suffixes start. Ranks of 1, 2, 4 ... words order the suffixes by doubling; the same ranks tell how
+    far two of them agree.
     """
-    node, depth = words.astype(np.int64), 1
-    while depth < window:
-        step = min(depth, window - depth)
-        if depth + step == window:
-            pair = node[leaves] * (int(node.max(initial=0)) + 1) + node[leaves + step]
-            return np.unique(pair, return_inverse=True)[1]
-        pair = node[: len(node) - step] * (int(node.max(initial=0)) + 1) + node[step:]
-        node = np.unique(pair, return_inverse=True)[1]
-        # Positions at the very end have no pair; no window reaches them.
-        node = np.append(node, np.zeros(step, np.int64))
-        depth += step
-    return node[leaves]
-
-
-def _spans(first: int, covered: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word spans of the covered suffixes of a run, joined where they touch."""
-    at = np.flatnonzero(covered)
-    if not len(at):
+
+    def __init__(self, words: np.ndarray, leaves: np.ndarray, longest: int):
+        rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+        ranks, size = [rank], 1
+        while size < longest:
+            # Beyond the end nothing matters: a text's end is unlike any other word.
+            far = np.append(rank[size:], np.zeros(min(size, len(rank)), np.int64))
+            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + far, return_inverse=True)[1].astype(np.int64)
+            ranks.append(rank)
+            size *= 2
+        self.order = np.argsort(rank[leaves], kind="stable")
+        at = leaves[self.order]
+        agreed = np.zeros(max(0, len(at) - 1), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = np.minimum(at[:-1] + agreed, len(words) - 1), np.minimum(at[1:] + agreed, len(words) - 1)
+            agreed += (ranks[k][x] == ranks[k][y]).astype(np.int64) << k
+        #: Words that leaf i (in order) and the one before agree in; the first one has none before.
+        self.agreed = np.concatenate([[0], agreed]) if len(at) else np.zeros(0, np.int64)
+
+    def nodes(self, least: int) -> list[tuple[int, int, int, int]]:
+        """Internal nodes of at least so many words as (depth, first leaf, last leaf, parent), parents by their place
+        in the list (-1: the parent has fewer words, or is the root); leaves by their place in `order`."""
+        deep = np.flatnonzero(self.agreed >= least)
+        if not len(deep):
+            return []
+        done: list[list[int]] = []
+        open_: list[list[int]] = []  # [depth, first leaf, children's places]
+        ends = np.append(np.flatnonzero(np.diff(deep) > 1), len(deep) - 1)
+        start = 0
+        for end in ends.tolist():
+            block = deep[start : end + 1]
+            start = end + 1
+            for i, h in [*zip(block.tolist(), self.agreed[block].tolist(), strict=True), (int(block[-1]) + 1, 0)]:
+                first, child = i - 1, None
+                while open_ and open_[-1][0] > h:
+                    depth, first, children = open_.pop()
+                    if child is not None:
+                        children.append(child)
+                    child = len(done)
+                    done.append([depth, first, i - 1, -1])
+                    for c in children:
+                        done[c][3] = child
+                if h and (not open_ or open_[-1][0] < h):
+                    open_.append([h, first, []])
+                if child is not None and open_:
+                    open_[-1][2].append(child)
+        return [tuple(x) for x in done]
+
+
+def _spans(first: int, begin: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Word spans of some suffixes of a run, in order, joined where they touch."""
+    if not len(begin):
         return []
-    cut = np.flatnonzero(np.diff(at) > window)
-    begin, end = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
-    return [(first + int(a), first + int(b) + window) for a, b in zip(begin, end, strict=True)]
+    reach = np.maximum.accumulate(begin + size)
+    cut = np.flatnonzero(begin[1:] > reach[:-1])
+    return [(first + int(a), first + int(b)) for a, b in zip(begin[np.append(0, cut + 1)], reach[np.append(cut, len(begin) - 1)], strict=True)]
 
 
 _SPAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -125,30 +164,36 @@ def _trees(window: int):
 
     def solve(held: list) -> pa.RecordBatch | None:
         number: dict[bytes, int] = {}
-        ids, leaves, owner, at = [], [], [], 0
-        for i, (_, _, _, n, text) in enumerate(held):
-            w = text.split()
-            ids.append(np.array([number.setdefault(x, len(number)) for x in w], np.int64))
-            leaves.append(np.arange(at, at + n))
-            owner.append(np.full(n, i))
-            at += len(w)
-        leaves, owner = np.concatenate(leaves), np.concatenate(owner)
-        node = subtree_nodes(np.concatenate(ids), leaves, window)
-        doc = np.array([d for d, *_ in held], np.int64)[owner]
-        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, doc)
-        covered = doc > least[node]
-        rows, edge = [], np.searchsorted(owner, np.arange(len(held) + 1))
-        for i in np.unique(owner[covered]).tolist():
+        texts = [[number.setdefault(x, len(number)) for x in text.split()] for *_, text in held]
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        words = np.fromiter((x for i, t in enumerate(texts) for x in (*t, len(number) + i)), np.int64, int(sizes.sum()))
+        n = np.array([h[3] for h in held], np.int64)
+        owner = np.repeat(np.arange(len(held)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        tree = SuffixTree(words, begins[owner] + place, int(sizes.max()))
+        doc = np.array([h[0] for h in held], np.int64)[owner][tree.order]
+        covered = np.zeros(len(owner), np.int64)  # words, by leaf in order
+        for depth, first, last, parent in tree.nodes(window):
+            if parent < 0:
+                own = doc[first : last + 1]
+                covered[first : last + 1] = np.where(own > own.min(), depth, 0)
+        some = np.flatnonzero(covered)
+        leaf = tree.order[some]
+        by_place = np.argsort(leaf)
+        leaf, size = leaf[by_place], covered[some][by_place]
+        rows, edge = [], np.searchsorted(owner[leaf], np.arange(len(held) + 1))
+        for i in np.unique(owner[leaf]).tolist():
             d, key, first, _, _ = held[i]
-            rows += [(d, key, a, b) for a, b in _spans(first, covered[edge[i] : edge[i + 1]], window)]
+            own = slice(edge[i], edge[i + 1])
+            rows += [(d, key, a, b) for a, b in _spans(first, place[leaf[own]], size[own])]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SPAN.types, strict=True)], schema=_SPAN) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         held, size, now = [], 0, None
         for part in slices(batches, 2048):
-            for prefix, d, key, first, n, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for prefix, d, key, first, n, text in zip(*map(listed, part.columns), strict=True):
                 if prefix != now and size > GROUP_WORDS:
                     if (out := solve(held)) is not None:
                         yield out
@@ -195,20 +240,39 @@ def _runs(found: DataFrame, window: int) -> DataFrame:
     return found.select("doc_id", "key", "text", "places").mapInArrow(run, "prefix long, doc_id long, key long, first long, n int, words binary")
 
 
-def _full_prefixes(runs: DataFrame, window: int) -> DataFrame:
-    """Spans for heavy prefixes: each suffix is named by all of its words, and the least id of a name is aggregated."""
+def _lengthened(runs: DataFrame, window: int, heavy: int) -> DataFrame:
+    """Covered spans of the runs of heavy prefixes: every suffix goes to a group by a prefix of its own, the shortest
+    of LADDER that at most `heavy` suffixes share. A prefix of all `window` words is one node, whatever its leaves."""
+    steps = sorted({max(1, window * x // 50) for x in LADDER[:-1]} | {window})
+    schema = pa.schema([("names", pa.list_(pa.int64())), ("whole", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
+        for part in slices(batches, 64):
             rows = []
-            for d, key, first, n, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for d, key, first, n, text in zip(*map(listed, part.columns), strict=True):
                 w = text.split()
-                rows += [(xxhash.xxh3_128_digest(b" ".join(w[i : i + window])), d, key, first + i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["name", "doc_id", "key", "begin"])
-
-    suffixes = stage(runs.select("doc_id", "key", "first", "n", "words").mapInArrow(explode, "name binary, doc_id long, key long, begin long"), "suffixes")
-    least = stage(suffixes.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("name", "least"), "names")
-    return suffixes.join(least, "name").filter("doc_id > least").select("doc_id", "key", "begin", (F.col("begin") + window).alias("end"))
+                for i in range(n):
+                    names = [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + k])) - (1 << 63) for k in steps[:-1]]
+                    own = b" ".join(w[i : i + window])
+                    rows.append((names, xxhash.xxh3_128_digest(own), d, key, first + i, 1, own))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
+
+    made = runs.select("doc_id", "key", "first", "n", "words").mapInArrow(explode, "names array<long>, whole binary, doc_id long, key long, first long, n int, words binary")
+    rest, out = stage(made, "suffixes"), []
+    for k in range(len(steps) - 1):
+        here = rest.withColumn("prefix", F.col("names")[k])
+        large = stage(here.groupBy("prefix").count().filter(F.col("count") > heavy).select("prefix"), "large")
+        fits = here.join(large, "prefix", "left_anti").select("prefix", "doc_id", "key", "first", "n", "words")
+        out.append(fits.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "doc_id long, key long, begin long, end long"))
+        rest = stage(here.join(large, "prefix", "left_semi").drop("prefix"), "suffixes")
+        if rest.isEmpty():
+            break
+    node = rest.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("whole", "least")
+    out.append(rest.select("whole", "doc_id", "key", "first").join(node, "whole").filter("doc_id > least").select("doc_id", "key", F.col("first").alias("begin"), (F.col("first") + window).alias("end")))
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.unionAll(more)
+    return spans
 
 
 def _covered(runs: DataFrame, window: int, heavy: int) -> DataFrame:
@@ -220,7 +284,7 @@ def _covered(runs: DataFrame, window: int, heavy: int) -> DataFrame:
     runs = stage(runs.withColumn("name", F.xxhash64("prefix", F.md5("words"))), "runs")
     kinds = stage(runs.groupBy("prefix", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("n").alias("n"), F.first("words").alias("words")), "kinds")
     many = stage(kinds.groupBy("prefix").count().filter(F.col("count") > heavy).select("prefix"), "many")
-    few = kinds.join(broadcast_if_short(many, MANY_BROADCAST), "prefix", "left_anti")
+    few = kinds.join(many, "prefix", "left_anti")
     # The trees see one run of a kind, at place 0 of the document with the least id; its kind comes back as the key.
     seen = few.select("prefix", F.col("least").alias("doc_id"), F.col("name").alias("key"), F.lit(0).cast("long").alias("first"), "n", "words")
     found = seen.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "doc_id long, key long, begin long, end long")
@@ -230,7 +294,7 @@ def _covered(runs: DataFrame, window: int, heavy: int) -> DataFrame:
     whole = runs.select("prefix", "name", "doc_id", "key", "first", "n").join(shared, ["prefix", "name"]).filter("doc_id > least")
     out = own.unionAll(whole.select("doc_id", "key", F.col("first").alias("begin"), (F.col("first") + F.col("n") + window - 1).alias("end")))
     if many.limit(1).count():
-        out = out.unionAll(_full_prefixes(runs.join(many, "prefix", "left_semi"), window))
+        out = out.unionAll(_lengthened(runs.join(many, "prefix", "left_semi"), window, heavy))
     return out
 
 
@@ -283,9 +347,7 @@ def find_repeats(docs: DataFrame, window: int = 50, heavy: int = HEAVY, doc_id:
     hits = runs.join(repeated, "prefix").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
     hits = stage(hits, "hits")
     unstage(runs)
-    # Hits that are counted to be few numbers are broadcast, so that no text is moved.
-    short = broadcast_if_short(hits, PLACES_BROADCAST, F.size("places") + 2)
-    found = stage(texts.join(short, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), "found")
+    found = stage(texts.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), "found")
     spans = _covered(_runs(found, window), window, heavy)
     spans = stage(spans, "spans")
     both = spans.withColumn("text", F.lit(None).cast("string")).unionAll(found.select("doc_id", "key", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"), "text"))

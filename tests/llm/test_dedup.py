@@ -47,7 +47,7 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("window", "heavy"), [(3, 4096), (20, 4096), (20, 1), (8, 2)])
+@pytest.mark.parametrize(("window", "heavy"), [(3, 4096), (20, 4096), (20, 1), (8, 2), (50, 3)])
 def test_substring(spark, window, heavy):
     rows = corpus(window)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -65,16 +65,30 @@ def test_without_repeats_keeps_rows_and_columns(spark, odd_docs, no_docs):
     assert substring.repeat_report(no_docs).count() == 0
 
 
-def test_nodes_are_equal_windows():
-    rng = np.random.default_rng(1)
-    w = rng.integers(0, 3, 400)
-    for window in (1, 2, 5, 8, 13):
-        leaves = np.arange(400 - window + 1)
-        nodes = substring.subtree_nodes(w, leaves, window)
-        seen = {}
-        for i in leaves:
-            assert seen.setdefault(tuple(w[i : i + window]), nodes[i]) == nodes[i]
-        assert len(set(seen.values())) == len(seen)
+def test_tree_has_the_nodes_of_all_common_prefixes():
+    """Against the definition: a node is a set of all suffixes that agree in so many words, and in no word more."""
+    rng = random.Random(1)
+    for _ in range(30):
+        texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 6))]
+        words = np.array([x for i, t in enumerate(texts) for x in (*t, 100 + i)])
+        leaves = np.flatnonzero(words < 100)
+        tree = substring.SuffixTree(words, leaves, max(map(len, texts)) + 1)
+        suffixes = [tuple(words[i:].tolist()) for i in leaves.tolist()]
+        assert [suffixes[i] for i in tree.order] == sorted(suffixes)
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for least in (1, 2, 4):
+            want = {}
+            for a, b in itertools.combinations(suffixes, 2):
+                if (k := common(a, b)) >= least:
+                    want[a[:k]] = {i for i, s in enumerate(suffixes) if s[:k] == a[:k]}
+            nodes = tree.nodes(least)
+            got = {suffixes[tree.order[first]][:depth]: {int(i) for i in tree.order[first : last + 1]} for depth, first, last, _ in nodes}
+            assert got == want and len(nodes) == len(want)
+            for depth, first, last, parent in nodes:
+                name = suffixes[tree.order[first]][:depth]
+                above = max((n for n in want if len(n) < depth and name[: len(n)] == n), key=len, default=None)
+                assert (parent < 0) == (above is None)
+                assert parent < 0 or suffixes[tree.order[nodes[parent][1]]][: nodes[parent][0]] == above
 
 
 def near_corpus(seed):
