@@ -97,13 +97,6 @@ def _clear() -> None:
             return
 
 
-def broadcast_if_short(table: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
-    """A broadcast of a staged table if its rows (or the sum of `weight`) are counted to be at most `most`; else the
-    table itself, to be joined by a shuffle."""
-    n = table.agg(F.sum(weight) if weight is not None else F.count(F.lit(1))).first()[0] or 0
-    return F.broadcast(table) if n <= most else table
-
-
 def text_key(text: Column) -> Column:
     """A 64-bit key of a text (null counts as empty), to tell rows of one doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -10,12 +10,21 @@ Documents of equal words are collapsed first. Bands of ROWS slots with two or mo
 1. In each bucket the member that agrees best with the bucket's most frequent values is the centre, and
    is paired with all members: one star, linear in the bucket. Pairs are verified exactly, and links
    become components.
-2. Members that are not in the main component of a bucket are then compared with all its members of
-   other components, exactly, through an index of the bucket's shingles: only links are emitted.
-   Links within a component change nothing, so no link between members of a bucket is lost.
+2. Members that are not in the main component of a bucket are then held against all its members of other
+   components, through an index of the bucket's rarest shingles: bags that are alike enough share one of
+   the rarest that make up more than 1 - `similar` of each, so what a whole bucket shares (a common passage)
+   makes no candidates. Candidates are verified exactly, and only links are emitted. Links within a
+   component change nothing, so no link between members of a bucket is lost.
+
+What is lost are pairs that share no band at all: (1 - s^ROWS)^BANDS of the pairs of similarity s, about
+3 in a million at 0.8 and fewer above.
 
 A bucket of more than CHUNK members is dealt to several tasks by a hash of the member; their centres get
-a star of their own, and the members of step 2 go to each of these tasks.
+a star of their own, and the members of step 2 go to each of these tasks. Centres with very many links
+are hot keys of the joins that verify them, which adaptive execution splits.
+
+A document's node is a 64-bit hash of its words; where two texts have one (told by 64 bits more), they
+get new ones, so only texts that agree in 128 bits count as equal.
 """
 
 from __future__ import annotations
@@ -28,20 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import broadcast_if_short, one_core, shielded, slices, stage, text_key, texts_of, unstage
+from deltaloom.llm.common import listed, one_core, shielded, slices, stage, text_key, texts_of, unstage
 from deltaloom.llm.substring import split_words
 
 #: Words of a shingle, least similarity of a link, bands and slots of a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
 SLOTS = BANDS * ROWS
-#: Members of a bucket that a task takes at once; shingles that one block of a bucket's index holds, or one bag if it has more.
-CHUNK, BLOCK_SHINGLES = 4096, 1 << 20
+#: Members of a bucket that a task takes at once.
+CHUNK = 4096
 #: Shingles of a document that are carried to its buckets in step 2; longer documents are verified by a join.
 CARRIED_SHINGLES = 4096
 
-#: Rows of ids (three numbers each) that are broadcast at most.
-BROADCAST_ROWS = 500_000
-
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -122,20 +128,31 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _measured(texts: DataFrame) -> DataFrame:
-    """doc_id, key, node (of the words), bands, small (a byte of each slot); without words node is null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("small", pa.binary())])
+    """doc_id, key, node and more (128 bits of the words), bands, small (a byte of each slot); without words node is null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("more", pa.int64()), ("bands", pa.list_(pa.int64())), ("small", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         for part in slices(batches, 1024):
             words = [split_words(t) for t in part.column(1).to_pylist()]
-            node = [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None for w in words]
+            node = [divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) if w else None for w in words]
+            high, low = ([x[k] - (1 << 63) if x else None for x in node] for k in (0, 1))
             bags = shingles_of(words)
             found = signatures(bags)
             bands = [b if len(h) else None for b, (h, _) in zip(band_names(found).tolist(), bags, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([r.tobytes() for r in found.astype(np.uint8)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([r.tobytes() for r in found.astype(np.uint8)], pa.binary())], schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, key long, node long, more long, bands array<long>, small binary")
 
-    return texts.mapInArrow(run, "doc_id long, key long, node long, bands array<long>, small binary")
+
+def _told_apart(measured: DataFrame) -> DataFrame:
+    """measured with new nodes for texts that share one and differ in `more`: hardly any, whatever the input's size."""
+    twins = measured.filter("node is not null").groupBy("node").agg(F.min("more").alias("_a"), F.max("more").alias("_b")).filter("_a <> _b").select("node", F.lit(True).alias("_twin"))
+    twins = stage(twins, "twins")
+    if twins.isEmpty():
+        return measured.drop("more")
+    node = F.when(F.col("_twin"), F.xxhash64("more", "node")).otherwise(F.col("node"))
+    return measured.join(twins, "node", "left").withColumn("node", node).drop("_twin", "more")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -187,39 +204,42 @@ def _bag(shingles: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]
 
 
 class BagIndex:
-    """Shingle bags, to be compared with one bag at once at the price of the shingles in common."""
-
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray] | None]) -> None:
-        self.sizes = np.array([len(b[0]) if b else 0 for b in bags], np.int64)
-        self.plain = np.array([not b or not len(b[1]) or bool(b[1].max() == 1) for b in bags], bool)
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = 0
-        while at < len(bags):
-            end = at + max(1, int(np.searchsorted(np.cumsum(self.sizes[at:]), BLOCK_SHINGLES, "right")))
-            some = [(i, b) for i, b in enumerate(bags[at:end], at) if b and len(b[0])]
-            if some:
-                shingles = np.concatenate([h for _, (h, _) in some])
-                owner = np.repeat(np.array([i for i, _ in some], np.int32), [len(h) for _, (h, _) in some])
-                share = np.concatenate([c / c.sum() for _, (_, c) in some])
-                order = np.argsort(shingles, kind="stable")
-                self.blocks.append((shingles[order], owner[order], share[order]))
-            at = end
-
-    def most_alike(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each bag the most that its probability Jaccard with (h, c) can be, and whether that is exact.
-
-        It is exact between bags without repeats. Else the sum of the lesser share of each common
-        shingle is a bound, as the sum of max(x_j / x_i, y_j / y_i) is at least that of either.
-        """
-        common, least = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes))
-        for shingles, owner, share in self.blocks:
-            low = np.searchsorted(shingles, h, "left")
-            n = np.searchsorted(shingles, h, "right") - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common += np.bincount(owner[at], minlength=len(common))
-            least += np.bincount(owner[at], np.minimum(share[at], np.repeat(c / c.sum(), n)), len(least))
-        exact = self.plain & bool(c.max() == 1)
-        return np.where(exact, common / np.maximum(1, self.sizes + len(h) - common), least + 1e-9), exact
+    """Shingle bags, to find those that may be alike to one bag at the price of the rare shingles in common.
+
+    Shingles are ordered by how many bags have them. Of each bag the rarest are indexed until they make up more
+    than 1 - similar of it. Bags that share none of those have less than `similar` in common: all that the
+    one whose rarest end first could share lies beyond them. The sum of the lesser shares of common
+    shingles is at least the probability Jaccard, as the sum of max(x_j / x_i, y_j / y_i) is at least
+    that of either.
+    """
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray] | None], similar: float) -> None:
+        self.similar, self.n = similar, len(bags)
+        some = [(i, b) for i, b in enumerate(bags) if b and len(b[0])]
+        every = np.concatenate([h for _, (h, _) in some]) if some else np.zeros(0, np.uint64)
+        self.known, self.often = np.unique(every, return_counts=True)
+        rare = [(i, self._rarest(h, c)) for i, (h, c) in some]
+        shingles = np.concatenate([h for _, h in rare]) if rare else np.zeros(0, np.uint64)
+        owner = np.repeat(np.array([i for i, _ in rare], np.int64), [len(h) for _, h in rare])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owner = shingles[order], owner[order]
+
+    def _rarest(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        often = np.where(self.known[at] == h, self.often[at], 0)  # what no bag has comes first
+        order = np.lexsort((h, often))
+        mass = np.cumsum(c[order]) / c.sum()
+        return h[order[: int(np.searchsorted(mass, 1 - self.similar + 1e-9, "right")) + 1]]
+
+    def candidates(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether each bag may have a probability Jaccard of `similar` or more with (h, c)."""
+        out = np.zeros(self.n, bool)
+        if len(h) and len(self.shingles):
+            rare = self._rarest(h, c)
+            low, high = (np.searchsorted(self.shingles, rare, side) for side in ("left", "right"))
+            n = high - low
+            out[self.owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return out
 
 
 def _rest(similar: float):
@@ -250,9 +270,9 @@ def _rest(similar: float):
                     continue
                 if own is None:
                     bags = [_bag(m[2], m[3]) if m[2] is not None else None for m in members]
-                    own = np.array([m[1] for m in members], np.int64), np.array([b is None for b in bags], bool), BagIndex(bags)
+                    own = np.array([m[1] for m in members], np.int64), np.array([b is None for b in bags], bool), BagIndex(bags, similar)
                 bag = _bag(shingles, counts) if shingles is not None else None
-                likely = own[2].most_alike(*bag)[0] >= similar if bag else True
+                likely = own[2].candidates(*bag) if bag else True
                 hit = np.flatnonzero((likely | own[1]) & (own[0] != component))
                 for i in hit.tolist():
                     other, its, theirs, c = members[i]
@@ -335,7 +355,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     and different texts are documents of their own with the same id.
     """
     texts = texts_of(docs, doc_id, text).withColumn("key", text_key(F.col("text")))
-    measured = stage(_measured(texts), "signatures")
+    measured = _told_apart(stage(_measured(texts), "signatures"))
     known = measured.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     classes = stage(known.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
     firsts = known.filter(F.col("bands").isNotNull()).join(classes.withColumnRenamed("first_id", "doc_id"), ["node", "doc_id"], "left_semi")
@@ -349,9 +369,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     members = bucketed.join(small, "node").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.hash("node"), F.col("parts"))))
     members = stage(members.select("band", "parts", "sub", "node", "small"), "members")
     unstage(bucketed, shared)
-    # Texts of members only; a list of ids that is counted to be short is broadcast, so that no text is moved.
-    wanted = broadcast_if_short(involved, BROADCAST_ROWS)
-    found = texts.join(wanted, ["doc_id", "key"]).select("node", "text")
+    # Texts of members only.
+    found = texts.join(involved, ["doc_id", "key"]).select("node", "text")
     bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
 
     stars = stage(members.select("band", "sub", "node", "small").repartition("band", "sub").sortWithinPartitions("band", "sub").mapInArrow(_stars, _STAR), "stars")
@@ -369,9 +388,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     main = stage(main.select("band", F.col("most.component").alias("main")), "mixed")
     mixed = stage(label.join(main, "band"), "mixed-members")
-    nodes = mixed.select("node").distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(mixed.select("node"), "node", "left_semi").dropDuplicates(["node"])
     mixed = stage(mixed.join(carried, "node", "left"), "mixed-bags")
     queries = mixed.filter("component <> main").withColumn("sub", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
     columns = ["band", "sub", "query", "node", "component", "shingles", "counts"]
@@ -381,7 +398,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     open_ = more.filter("not sure").select("a", "b")
     if open_.limit(1).count():
         added = stage(added.unionAll(verified(open_, bags, similar)), "more-links")
-    final = components(links.unionAll(added)) if added.limit(1).count() else first
+    final = first
+    if added.limit(1).count():
+        # New links lie between components: those are joined, and the first labels follow.
+        of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        between = added.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+        second = components(between).toDF("component", "joined")
+        moved = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+        alone = second.join(first.select(F.col("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+        final = stage(moved.unionAll(alone), "components")
     unstage(members, label, bags, stars, mixed, more)
 
     ids = classes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", F.col("node")).alias("component"))
@@ -397,7 +422,7 @@ def first_of_each_class(docs: DataFrame, similar: float = SIMILAR, doc_id: str =
     it stay with it); rows without a doc_id all stay.
     """
     found = near_duplicates(docs, similar, doc_id=doc_id, text=text).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    found = broadcast_if_short(stage(found, "dropped"), BROADCAST_ROWS)
+    found = stage(found, "dropped")
     plain, name, back = shielded(docs)
     same = (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(F.col(name(text))) == F.col("_key"))
     return back(plain.join(found, same, "left_anti"))

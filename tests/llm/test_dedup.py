@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deltaloom.llm import minhash, substring
 
@@ -158,24 +159,68 @@ def test_an_earlier_band_that_agrees_by_accident_hides_no_link(spark, monkeypatc
 
     def measured(docs):
         made = spark.createDataFrame(rows, "doc_id long, node long, bands array<long>, small binary")
-        return docs.select("doc_id", "key").join(made, "doc_id").select("doc_id", "key", "node", "bands", "small")
+        return docs.select("doc_id", "key").join(made, "doc_id").select("doc_id", "key", "node", F.lit(0).cast("long").alias("more"), "bands", "small")
 
     monkeypatch.setattr(minhash, "_measured", measured)
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
-def test_index_bounds_and_equals_the_similarity(monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60)
+def test_index_finds_all_that_are_alike():
     rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 400, 60)).astype(np.uint64)
     bags = [(np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64), 1 + (k % 2) * 4) for k in range(30)]
+    bags += [(np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 400, 3).astype(np.uint64)])), 1 + (k % 2) * 2) for k in range(30)]
     bags = [(h, rng.integers(1, high + 1, len(h)).astype(np.uint32)) for h, high in bags]
-    index = minhash.BagIndex([*bags, None])
-    assert len(index.blocks) > 1
-    for h, c in bags:
-        for most, exact, other in zip(*index.most_alike(h, c), [*bags, None], strict=True):
-            true = minhash.probability_jaccard(h, c, *other) if other else 0
-            assert (most == true) if exact else (most >= true)
+    found = 0
+    for similar in (0.5, 0.8, 0.9):
+        index = minhash.BagIndex([*bags, None, (np.zeros(0, np.uint64), np.zeros(0, np.uint32))], similar)
+        for h, c in [*bags, (base, np.ones(len(base), np.uint32))]:
+            for may, (x, y) in zip(index.candidates(h, c), bags, strict=False):
+                alike = minhash.probability_jaccard(h, c, x, y) >= similar
+                found += alike
+                assert may or not alike
+    assert found > 200
+    # What all bags share makes no candidates.
+    common = np.arange(1000, 1070, dtype=np.uint64)
+    bags = [(np.concatenate([common, np.arange(30, dtype=np.uint64) + 10_000 * (k + 1)]), np.ones(100, np.uint32)) for k in range(50)]
+    index = minhash.BagIndex(bags, 0.8)
+    assert sum(index.candidates(*b).sum() for b in bags) == 50
+
+
+def test_one_node_for_two_texts_is_two_nodes(spark, monkeypatch):
+    made = minhash._measured
+    monkeypatch.setattr(minhash, "_measured", lambda docs: made(docs).withColumn("node", F.col("node") % 2))
+    rows = near_corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()) == classes_by_force(rows, 0.8)
+
+
+def test_recall_of_planted_pairs(spark):
+    """6,000 documents, pairs of every similarity from 0.7 to 1, and a passage that a third of all share; against all pairs."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(2800):
+        base = [f"w{rng.randrange(200_000)}" for _ in range(rng.randrange(60, 120))] + (shared if k % 3 == 0 else [])
+        rows.append(base)
+        if k % 7 < 6:
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**9)}"
+            rows.append(copy)
+    rows += [[f"u{rng.randrange(10**9)}" for _ in range(50)] for _ in range(6000 - len(rows))]
+    bags = [minhash.shingles_of([[w.encode() for w in r]])[0] for r in rows]
+    where = defaultdict(list)
+    for i, (h, _) in enumerate(bags):
+        for x in h.tolist():
+            where[x].append(i)
+    met = {(a, b) for held in where.values() if len(held) < 100 for a, b in itertools.combinations(held, 2)}
+    links = {p: j for p in met if (j := minhash.probability_jaccard(*bags[p[0]], *bags[p[1]])) >= 0.8}
+    assert len(links) > 1200 and min(links.values()) < 0.81 and max(links.values()) > 0.95
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4)
+    label = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert {i: c for i, c in label.items() if i != c} == {b: a for a, b in links}
 
 
 def test_first_of_each_class(spark, odd_docs, no_docs):
