@@ -1,14 +1,20 @@
-"""Small packages with a change each and the places where it provably breaks: the checker's golden corpus.
+"""Small packages, each with a few changes at once, and the places where they provably break: the checker's golden corpus.
 
-Controls have no such place: whatever is said about them is wrong. Lines are those of the new files.
+A scenario is a text: `== path` begins a file as it was, `=> path` the same file after the change, `=x path`
+says that it is gone. Where the change breaks something, the line says so itself: `#! severity word`; the
+word is in the finding's text. Everything else in a scenario is a control: a finding there is wrong.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+_HEAD = re.compile(r"^=([=>x]) (\S+)\n", re.MULTILINE)
+_MARK = re.compile(r"#! (\w+) ?(\w*)$")
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -17,77 +23,318 @@ class Scenario:
     files: dict[str, str]
     change: dict[str, str | None]
     golden: list[tuple[str, int, str, str]] = field(default_factory=list)
-    breaking_delta: bool = False
 
+    @staticmethod
+    def of(text: str) -> Scenario:
+        parts = _HEAD.split(text.lstrip("\n"))[1:]
+        files, change = {}, {}
+        for kind, path, body in zip(parts[::3], parts[1::3], parts[2::3], strict=True):
+            if kind == "=":
+                files[path] = body
+            else:
+                change[path] = body if kind == ">" else None
+        after = {p: src for p, src in (files | change).items() if src is not None}
+        marks = [(p, n, _MARK.search(line)) for p, src in after.items() for n, line in enumerate(src.splitlines(), 1)]
+        return Scenario(files, change, [(p, n, m[2], m[1]) for p, n, m in marks if m])
 
-_FREIGHT = "def quote(weight, rate):\n    return weight * rate\n"
-_DESK = "from depot.freight import quote\n\n\ndef ship(parcel):\n    heavy = parcel.weight > 30\n    return quote(parcel.weight, 2 if heavy else 1)\n\n\ndef resend(parcel):\n    return quote(parcel.weight, 0)\n"
 
+SCENARIOS: dict[str, Scenario] = {
+    # A parameter that is asked for now, in three styles of call, and a function that is gone.
+    "ledger_posting": Scenario.of("""
+== ledger/__init__.py
+== ledger/core.py
+import datetime
 
-def _pair(base: str, changed: str | None, user: str, golden=(), breaking: bool = False, names: tuple[str, str] = ("depot/freight.py", "depot/desk.py")) -> Scenario:
-    """A package of one changed and one using module."""
-    return Scenario({"depot/__init__.py": "", names[0]: base, names[1]: user}, {names[0]: changed}, list(golden), breaking)
 
+def post(entry, account):
+    return datetime.date.today(), entry, account
 
-_SHELF = "class Shelf:\n    def __init__(self):\n        self.boxes = []\n\n    def place(self, box):\n        self.boxes.append(box)\n\n    def fill(self):\n        self.place('spare')\n        return self.boxes\n"
-_LOADER = "from depot.shelf import Shelf\n\n\ndef load(boxes):\n    shelf = Shelf()\n    for box in boxes:\n        shelf.place(box)\n    return shelf.fill()\n"
 
-SCENARIOS: dict[str, Scenario] = {
-    "required_param_added": _pair(_FREIGHT, _FREIGHT.replace("rate)", "rate, zone)", 1), _DESK, [("depot/desk.py", 6, "zone", "high"), ("depot/desk.py", 10, "zone", "high")]),
-    "param_removed": _pair(_FREIGHT, "def quote(weight):\n    return weight\n", "from depot.freight import quote\n\n\ndef ship(p):\n    return quote(p, 3)\n", [("depot/desk.py", 5, "positional", "high")]),
-    "kwarg_renamed": _pair(
-        "def fetch(url, *, tries=3):\n    return url, tries\n",
-        "def fetch(url, *, attempts=3):\n    return url, attempts\n",
-        "from depot.freight import fetch\n\n\ndef track(p):\n    return fetch(p, tries=5)\n",
-        [("depot/desk.py", 5, "tries", "high")],
-    ),
-    "function_deleted": _pair(
-        "def stamp(p):\n    return p\n\n\ndef seal(p):\n    return [p]\n",
-        "def seal(p):\n    return [p]\n",
-        "from depot.freight import stamp\n\n\ndef ship(p):\n    return stamp(p)\n",
-        [("depot/desk.py", 5, "removed", "critical")],
-    ),
-    "sync_to_async": _pair(
-        "def locate(p):\n    return p\n", "async def locate(p):\n    return p\n", "from depot.freight import locate\n\n\ndef where(p):\n    return locate(p)\n\n\nasync def ok(p):\n    return await locate(p)\n", [("depot/desk.py", 5, "await", "high")]
-    ),
-    "default_removed": _pair("def pack(box, fragile=False):\n    return box\n", "def pack(box, fragile):\n    return box\n", "from depot.freight import pack\n\n\ndef ship(b):\n    return pack(b)\n", [("depot/desk.py", 5, "fragile", "high")]),
-    "posonly_migration": _pair("def tag(code, colour):\n    return code\n", "def tag(code, colour, /):\n    return code\n", "from depot.freight import tag\n\n\ndef mark(c):\n    return tag(c, colour='red')\n", [("depot/desk.py", 5, "", "high")]),
-    "method_signature_changed": _pair(
-        _SHELF, _SHELF.replace("place(self, box)", "place(self, box, row)"), _LOADER, [("depot/shelf.py", 9, "row", "high"), ("depot/desk.py", 7, "row", "high")], names=("depot/shelf.py", "depot/desk.py")
-    ),
-    "inherited_method_call": Scenario(
-        {
-            "depot/__init__.py": "",
-            "depot/label.py": "class Label:\n    def draw(self, text):\n        return text\n",
-            "depot/barcode.py": "from depot.label import Label\n\n\nclass Barcode(Label):\n    pass\n",
-            "depot/desk.py": "from depot.barcode import Barcode\n\n\ndef ship(p):\n    code = Barcode()\n    return code.draw(p)\n",
-        },
-        {"depot/label.py": "class Label:\n    def draw(self, text, size):\n        return text * size\n"},
-        [("depot/desk.py", 6, "size", "high")],
-    ),
-    "override_divergence": _pair(
-        "class Step:\n    def run(self, parcel):\n        return parcel\n",
-        "class Step:\n    def run(self, parcel, clock):\n        return parcel, clock\n",
-        "from depot.freight import Step\n\n\nclass Weigh(Step):\n    def run(self, parcel):\n        return len(parcel)\n",
-        [("depot/desk.py", 5, "diverges", "high")],
-    ),
-    "generator_toggle": _pair("def queue(ps):\n    return [p for p in ps]\n", "def queue(ps):\n    for p in ps:\n        yield p\n", "from depot.freight import queue\n\n\ndef size(ps):\n    return len(queue(ps))\n", breaking=True),
-    "field_removed": _pair(
-        "class Parcel:\n    def __init__(self, weight, insured):\n        self.weight = weight\n        self.insured = insured\n",
-        "class Parcel:\n    def __init__(self, weight):\n        self.weight = weight\n",
-        "from depot.freight import Parcel\n\n\ndef fee(p: Parcel):\n    return p.weight + p.insured\n",
-        [("depot/desk.py", 5, "insured", "high")],
-    ),
-    "control_field_renamed_with_property": _pair(
-        "class Parcel:\n    def __init__(self, weight):\n        self.weight = weight\n",
-        "class Parcel:\n    def __init__(self, grams):\n        self.grams = grams\n\n    @property\n    def weight(self):\n        return self.grams\n",
-        "from depot.freight import Parcel\n\n\ndef fee(p: Parcel):\n    return p.weight\n",
-    ),
-    "control_removed_shadows_stdlib": _pair("def dumps(p):\n    return p\n\n\ndef seal(p):\n    return p\n", "def seal(p):\n    return p\n", "from json import dumps\n\n\ndef report(p):\n    return dumps(p)\n"),
-    "control_body_only": _pair(_FREIGHT, "def quote(weight, rate):\n    return rate * weight + 1\n", _DESK),
-    "control_optional_added": _pair(_FREIGHT, "def quote(weight, rate, *, zone=None):\n    return weight * rate\n", _DESK),
-    "control_kwargs_wrapper": _pair("def wrap(box, size):\n    return box\n", "def wrap(box, size, paper):\n    return box\n", "from depot.freight import wrap\n\n\ndef gift(**options):\n    return wrap(**options)\n"),
-    "control_star_args": _pair("def wrap(box, size):\n    return box\n", "def wrap(box, size, paper):\n    return box\n", "from depot.freight import wrap\n\n\ndef gift(parts):\n    return wrap(*parts)\n"),
+def void(entry):
+    return post(entry, "void")
+
+
+def close_month(entries):
+    return sum(entries)
+=> ledger/core.py
+import datetime
+
+
+def post(entry, account, currency):
+    return datetime.date.today(), entry, account, currency
+
+
+def void(entry):
+    return post(entry, "void", "EUR")
+== ledger/books.py
+from ledger.core import close_month, post
+
+
+class Book:
+    def __init__(self, owner):
+        self.owner = owner
+        self.entries = []
+
+    def write(self, *amounts):
+        for amount in amounts:
+            self.entries.append(amount)
+            post(amount, self.owner)  #! high currency
+
+    def total(self):
+        return close_month(self.entries)  #! critical removed
+== ledger/audit.py
+import ledger.core as core
+
+LIMIT = 100
+
+
+def suspicious(entries):
+    return [core.post(e, "audit") for e in entries if e > LIMIT]  #! high currency
+
+
+def replay(rows):
+    return [core.post(*row) for row in rows]
+"""),
+    # Two modules change at once: a keyword has a new name, and a parameter goes by place only, without its default.
+    "mail_options": Scenario.of("""
+== mail/__init__.py
+== mail/smtp.py
+def send(to, body, *, retries=2):
+    return to, body, retries
+=> mail/smtp.py
+def send(to, body, *, attempts=2):
+    return to, body, attempts
+== mail/page.py
+PAGES = {}
+
+
+def render(template, values=None):
+    return PAGES[template], values
+=> mail/page.py
+PAGES = {}
+
+
+def render(template, values, /):
+    return PAGES[template], values
+== mail/clerk.py
+from mail.page import render
+from mail.smtp import send
+
+
+def remind(users, **options):
+    for user in users:
+        text = render("due", values=user)  #! high values
+        send(user, text, retries=1)  #! high retries
+        late = render("late")  #! high values
+        send(user, late)
+        send(user, late, **options)
+"""),
+    # A method asks for more: its callers through instances and subclasses, and an override that stays behind.
+    "probe_family": Scenario.of("""
+== probes/__init__.py
+== probes/base.py
+class Probe:
+    unit = ""
+
+    def read(self, channel):
+        return channel
+
+    def twice(self):
+        return self.read(0), self.read(1)
+=> probes/base.py
+class Probe:
+    unit = ""
+
+    def read(self, channel, scale):
+        return channel * scale
+
+    def twice(self):
+        return self.read(0, 1), self.read(1, 1)
+== probes/thermo.py
+from probes.base import Probe
+
+
+class Thermo(Probe):
+    unit = "K"
+
+    def is_warm(self):
+        return self.read(3) > 290  #! high scale
+== probes/hygro.py
+from probes.base import Probe
+
+
+class Hygro(Probe):
+    unit = "%"
+
+    def read(self, channel):  #! high diverges
+        return channel / 100
+== probes/station.py
+from probes.hygro import Hygro
+from probes.thermo import Thermo
+
+
+def report(damp: Hygro):
+    warm = Thermo()
+    return warm.read(1), damp.read(2)  #! high scale
+"""),
+    # A call has to be awaited now; a list became a generator, which no call site proves.
+    "feed_loading": Scenario.of("""
+== feed/__init__.py
+== feed/load.py
+def fetch(url):
+    return url
+
+
+def rows(text):
+    return text.split()
+=> feed/load.py
+async def fetch(url):
+    return url
+
+
+def rows(text):
+    for part in text.split():
+        yield part
+== feed/app.py
+from feed.load import fetch, rows
+
+
+def now(url):
+    body = fetch(url)  #! high await
+    return len(rows(body))
+
+
+async def later(url):
+    return await fetch(url)
+"""),
+    # An attribute is gone, for readers of the class and of one subclass; another one lives on as a property.
+    "order_fields": Scenario.of("""
+== shopfront/__init__.py
+== shopfront/order.py
+class Order:
+    def __init__(self, lines, discount):
+        self.lines = lines
+        self.discount = discount
+        self.total = sum(lines)
+=> shopfront/order.py
+class Order:
+    def __init__(self, lines):
+        self.lines = lines
+
+    @property
+    def total(self):
+        return sum(self.lines)
+== shopfront/kinds.py
+from shopfront.order import Order
+
+
+class Rush(Order):
+    fee = 5
+
+
+class Gift(Order):
+    def discount(self):
+        return 0
+== shopfront/till.py
+from shopfront.kinds import Gift, Rush
+from shopfront.order import Order
+
+
+def due(order: Order):
+    return order.total - order.discount  #! high discount
+
+
+def due_at_once(order: Rush):
+    return order.total + order.fee - order.discount  #! high discount
+
+
+def wrapped(order: Gift):
+    return order.discount() + order.total
+"""),
+    # A default and a parameter are gone; a decorator hides what a third function takes.
+    "pool_limits": Scenario.of("""
+== pool/__init__.py
+== pool/limits.py
+from contextlib import contextmanager
+
+
+def acquire(pool, timeout=5):
+    return pool, timeout
+
+
+def release(pool, conn, hard):
+    return pool, conn, hard
+
+
+@contextmanager
+def lease(pool, n):
+    yield pool, n
+=> pool/limits.py
+from contextlib import contextmanager
+
+
+def acquire(pool, timeout):
+    return pool, timeout
+
+
+def release(pool, conn):
+    return pool, conn
+
+
+@contextmanager
+def lease(pool, n, timeout):
+    yield pool, n, timeout
+== pool/user.py
+from pool.limits import acquire, lease, release
+
+
+def work(pool):
+    conn = acquire(pool)  #! high timeout
+    release(pool, conn, True)  #! high positional
+    with lease(pool, 1) as more:
+        return acquire(more, 2), acquire(more, timeout=3)
+"""),
+    # Nothing breaks: new bodies, something optional, arguments that nobody can count, and a name of another module.
+    "quiet_edits": Scenario.of("""
+== quiet/__init__.py
+== quiet/tools.py
+def scale(x, by):
+    return x * by
+
+
+def label(x, width):
+    return str(x)[:width]
+
+
+def frame(x, left, right):
+    return left, x, right
+
+
+def dumps(x):
+    return str(x)
+=> quiet/tools.py
+def scale(x, by):
+    product = by * x
+    return product
+
+
+def label(x, width, *, fill=" "):
+    return str(x)[:width].ljust(width, fill)
+
+
+def frame(x, left, right, below):
+    return left, x, right, below
+== quiet/use.py
+from json import dumps
+
+from quiet.tools import frame, label, scale
+
+
+def show(x, sides, **rest):
+    frame(*sides)
+    frame(x, **rest)
+    return dumps(label(scale(x, 2), 10))
+"""),
 }
 
 
