@@ -10,6 +10,7 @@ SEVERITIES = ("info", "low", "medium", "high", "critical")
 CONFIDENCE = {"import": 1.0, "module": 0.95, "self": 0.9, "typed": 0.9, "local": 0.85, "name": 0.6, "attr": 0.55, "ambiguous": 0.35}
 DEFAULT_CONFIDENCE = 0.3
 #: Paths of tests.
+# Fixed value: what counts as a test file.
 TEST_PATH = r"(^|/)(tests?/|test_[^/]*\.py$|[^/]*_test\.py$|conftest\.py$)"
 #: All line ends that Python's str.splitlines knows.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\u0085\\u2028\\u2029]"

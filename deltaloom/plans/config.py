@@ -13,6 +13,8 @@ FILE, PREFIX = "deltaloom.toml", "DELTALOOM_"
 @dataclass(frozen=True)
 class Config:
     model: str = ""
+    host: str = "http://localhost:11434"
+    timeout: int = 600
     num_ctx: int = 16384
     workers: int = 2
     fail_on: str = "high"

@@ -35,16 +35,30 @@ def packets_json(packets: DataFrame) -> DataFrame:
     return packets.select("repo", "place", F.to_json(body).alias("json"))
 
 
-def findings_text(findings: DataFrame, width: int = 100) -> str:
+#: Terminal colours, and those of severities.
+_COLOURS = {"red": 31, "yellow": 33, "blue": 34, "grey": 90, "bold": 1}
+_SHADE = {"critical": "red", "high": "red", "medium": "yellow", "low": "blue", "info": "grey"}
+
+
+def wants_colour(stream, env: dict[str, str]) -> bool:
+    """A terminal that isn't asked to be plain."""
+    return not env.get("NO_COLOR") and env.get("TERM") != "dumb" and bool(getattr(stream, "isatty", lambda: False)())
+
+
+def painted(text: str, colour: str | None, on: bool) -> str:
+    return f"\x1b[{_COLOURS[colour]}m{text}\x1b[0m" if on and colour in _COLOURS else text
+
+
+def findings_text(findings: DataFrame, width: int = 100, colour: bool = False) -> str:
     """For people: by file, worst first, with a count of each severity. The findings of one review are few."""
     rows = findings.orderBy("file", *report_order()).collect()
     out, last, counts = [], None, {}
     for r in rows:
         if r["file"] != last:
             last = r["file"]
-            out.append(f"\n{last}")
+            out.append("\n" + painted(last, "bold", colour))
         counts[r["severity"]] = counts.get(r["severity"], 0) + 1
-        out.append(f"  {r['line'] if r['line'] is not None else '-'}: [{r['severity']}] {r['title']} ({r['confidence']:.0%})")
+        out.append(f"  {r['line'] if r['line'] is not None else '-'}: {painted('[' + r['severity'] + ']', _SHADE.get(r['severity']), colour)} {r['title']} ({r['confidence']:.0%})")
         out += textwrap.wrap(r["detail"] or "", width, initial_indent="      ", subsequent_indent="      ")
     return "\n".join([*out, "", ", ".join(f"{n} {s}" for s, n in sorted(counts.items())) or "no findings"]).lstrip("\n")
 

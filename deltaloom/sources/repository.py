@@ -3,6 +3,7 @@ prints becomes rows. Anything else (object stores, tables of files) only has to
 
 from __future__ import annotations
 
+import json
 import re
 import subprocess
 from datetime import UTC, datetime
@@ -50,13 +51,34 @@ def diff_text(cwd: str, base: str | None = None, staged: bool = False, span: str
     return git([*how, "--cached"] if staged else [*how, "HEAD"], cwd), "HEAD"
 
 
+def pull_request(cwd: str, number: int, program: str = "gh") -> tuple[str, str]:
+    """(diff, base revision) of a pull request, by the forge's command line; the base is its commit, else its branch, else HEAD."""
+
+    def told(*args: str) -> str | None:
+        try:
+            done = subprocess.run([program, "pr", *args], cwd=cwd, capture_output=True, text=True, encoding="utf-8", errors="replace", check=False)
+        except FileNotFoundError:
+            return None
+        return done.stdout if not done.returncode else None
+
+    diff = told("diff", str(number))
+    if diff is None:
+        raise GitError(f"pull request {number} can't be fetched by {program}")
+    try:
+        base = json.loads(told("view", str(number), "--json", "baseRefName,baseRefOid") or "{}")
+    except json.JSONDecodeError:
+        base = {}
+    known = (r for r in (base.get("baseRefOid"), base.get("baseRefName")) if r and has_revision(r, cwd))
+    return diff, next(known, "HEAD")
+
+
 def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), roots: tuple[str, ...] = (), repo: str = "") -> DataFrame:
     """(repo, path, src) of the Python files below root, without excluded and dotted directories; bytes that
     aren't UTF-8 are replaced. Read by Spark, so any file system that it knows will do."""
     where = [f"{root.rstrip('/')}/{r}" for r in roots] or [root]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(where)
     bare = F.regexp_replace("path", r"^[A-Za-z0-9]+:/+", "/")
-    rows = files.select(bare.alias("full"), F.col("content").cast("string").alias("src"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    rows = files.select(bare.alias("full"), F.expr("make_valid_utf8(cast(content as string))").alias("src"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     rows = rows.unionByName(_underscored(spark, where))
     start = re.sub(r"^[A-Za-z0-9]+:/+", "/", root.rstrip("/")) + "/"
     rows = rows.select(F.lit(repo).alias("repo"), F.expr(f"substring(full, {len(start) + 1})").alias("path"), "src", "mtime", "size")
@@ -85,12 +107,17 @@ def _underscored(spark: SparkSession, where: list[str]) -> DataFrame:
 
 def files_at(spark: SparkSession, cwd: str, rev: str, paths: list[str], repo: str = "") -> DataFrame:
     """(repo, path, src) of some files at a revision; those that it doesn't have are left out."""
-    rows = []
+    asked = "".join(f"{rev}:{p}\n" for p in paths)  # one process for all of them
+    done = subprocess.run(["git", "cat-file", "--batch"], cwd=cwd, input=asked.encode(), capture_output=True, check=False)
+    rows, at = [], 0
     for p in paths:
-        try:
-            rows.append((repo, p, git(["show", f"{rev}:{p}"], cwd)))
-        except GitError:
+        end = done.stdout.find(b"\n", at)
+        head, at = done.stdout[at:end].split(b" "), end + 1
+        if end < 0 or head[-1] == b"missing" or len(head) < 3:
             continue
+        size = int(head[-1])
+        rows.append((repo, p, done.stdout[at : at + size].decode("utf-8", "replace")))
+        at += size + 1
     return spark.createDataFrame(rows, "repo string, path string, src string")
 
 
@@ -110,10 +137,12 @@ def overlay(base: DataFrame, change: DataFrame) -> DataFrame:
 
 
 def synthetic(spark: SparkSession, modules: int, callers: int) -> DataFrame:
-    """(repo, path, src): a package of one priced module and `modules` others, of which `callers` use it."""
-    body = F.when(F.col("id") < callers, F.format_string("from shop.pricing import price\n\n\ndef use_%d(x):\n    return price(x, %d)\n", "id", "id")).otherwise(F.format_string("def idle_%d(x):\n    return x + %d\n", "id", "id"))
-    rows = spark.range(modules).select(F.lit("").alias("repo"), F.format_string("shop/m%d.py", "id").alias("path"), body.alias("src"))
-    fixed = spark.createDataFrame([("", "shop/__init__.py", ""), ("", "shop/pricing.py", "def price(x, y):\n    return x * y\n")], "repo string, path string, src string")
+    """(repo, path, src): a package of one module with a formula and `modules` others, of which `callers` use it."""
+    table = F.lit("\n\nTABLE = {\n" + "".join(f"    {k}: {k * k},\n" for k in range(30)) + "}\n")
+    user = F.concat(F.format_string("from orbit.formula import period\n\n\ndef planet_%d(mass):\n    return period(mass, %d)\n", "id", "id"), table)
+    idle = F.concat(F.format_string("def moon_%d(mass):\n    return mass + %d\n", "id", "id"), table)
+    rows = spark.range(modules).select(F.lit("").alias("repo"), F.format_string("orbit/body_%d.py", "id").alias("path"), F.when(F.col("id") < callers, user).otherwise(idle).alias("src"))
+    fixed = spark.createDataFrame([("", "orbit/__init__.py", ""), ("", "orbit/formula.py", "def period(mass, axis):\n    return axis ** 1.5 / mass\n")], "repo string, path string, src string")
     return rows.unionByName(fixed)
 
 
