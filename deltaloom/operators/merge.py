@@ -18,10 +18,10 @@ def without_neighbours(rows: DataFrame, taken: DataFrame, key: str, line: str, r
     return rows.join(wide, (F.col(key) == F.col("_key")) & (F.col(line) == F.col("_line")), "left_anti")
 
 
-def postprocessed(findings: DataFrame, floor: float, order: str = "ord") -> DataFrame:
-    """Findings at or above the floor, the first of each (file, line, title), with place 1.. in report order as sort columns."""
+def postprocessed(findings: DataFrame, floor: float, order: str = "ord", keys: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """Findings at or above the floor, the first by `order` of each place and title (whatever its case and outer white space)."""
     kept = findings.filter(F.col("confidence") >= floor).withColumn("_title", finding_key(F.col("title")))
-    return first_wins(kept, ["file", "line", "_title"], [order]).drop("_title")
+    return first_wins(kept, [*keys, "_title"], [order]).drop("_title")
 
 
 def report_order() -> list:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.operators.graph import descendants
+from deltaloom.operators.merge import postprocessed
 from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.staging import stage as write_stage
 from deltaloom.plans import delta as D
 from deltaloom.plans import link as L
 from deltaloom.sources import diffs as S
@@ -70,14 +72,14 @@ class Index:
     keep: Callable[[DataFrame], DataFrame]
 
 
-def build_index(old: DataFrame, new: DataFrame, diffs: DataFrame | None = None, stage=None) -> Index:
-    """Parses and links two snapshots (repo, path, src) once; `stage` writes parse results where given."""
-    keep = stage or (lambda df: df.persist())
+def build_index(old: DataFrame, new: DataFrame, diffs: DataFrame | None = None, stage=write_stage, parse=P.parsed) -> Index:
+    """Parses and links two snapshots (repo, path, src) once; `stage` writes parse results, `parse` may take them from a store."""
+    keep = stage
     diffs = keep(S.file_diffs(diffs if diffs is not None else S.snapshot_diffs(old, new)))
     code = F.col("path").endswith(".py")
     new, old = new.filter(code), old.filter(code)
     files = P.with_modules(new)
-    parsed = keep(P.parsed(files))
+    parsed = keep(parse(files)).select(*P.COLUMNS)
     # At the base, only changed files matter; a renamed file is parsed under its new path.
     changed = diffs.filter(~F.col("binary")).select("repo", F.col("path").alias("new_path"), F.coalesce("old_path", "path").alias("path"))
     before = P.with_modules(old).join(changed, ["repo", "path"]).withColumn("path", F.col("new_path")).drop("new_path")
@@ -258,8 +260,10 @@ def removed_units(ix: Index) -> DataFrame:
 
 
 def findings(ix: Index, floor: float = 0.45) -> DataFrame:
-    """All provable findings, one of each (file, line, title), with `ord` as a stable order."""
+    """All provable findings, one of each (file, line, title); `ord` is the order of the rules, and within one a stable order."""
     changed = ix.keep(changed_symbols(ix))
-    rows = call_findings(ix, changed).unionByName(override_findings(ix, changed)).unionByName(removed_findings(ix, removed_units(ix))).unionByName(field_findings(ix))
-    rows = rows.withColumn("ord", F.xxhash64("repo", "file", "line", "title"))
-    return first_wins(rows.filter(F.col("confidence") >= floor), ["repo", "file", "line", "title"], ["ord"]).select(*FINDING)
+    parts = call_findings(ix, changed), override_findings(ix, changed), removed_findings(ix, removed_units(ix)), field_findings(ix)
+    within = F.pmod(F.xxhash64("repo", "symbol", "title", "detail"), F.lit(1 << 60))
+    numbered = [part.withColumn("ord", F.lit(i << 60) + within) for i, part in enumerate(parts)]
+    rows = numbered[0].unionByName(numbered[1]).unionByName(numbered[2]).unionByName(numbered[3])
+    return postprocessed(rows, floor, keys=("repo", "file", "line")).select(*FINDING)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.scalars import owner_name, short_name
-from deltaloom.operators.evidence import FANOUT, import_evidence
+from deltaloom.operators.evidence import classified, import_evidence
 from deltaloom.operators.graph import ancestors
 from deltaloom.operators.ranking import first_wins
 
@@ -107,9 +107,9 @@ def link(calls: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFr
     is_tail = (F.instr("c_qualname", ".") > 0) & F.col("target").endswith(F.concat(F.lit("."), F.col("c_qualname")))
     tails = candidates.filter(is_tail).groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.min("c_fqname").alias("callee")).filter("n = 1").select(*ids, "callee")
     near = supported(candidates.join(tails.select(*ids), ids, "left_anti"), imports, "c_path", "c_module")
-    counts = near.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.min("c_fqname").alias("callee"))
-    single = counts.filter("n = 1").select(*ids, "callee")
-    copies = near.join(counts.filter(F.col("n").between(2, FANOUT)).select(*ids), ids).select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
+    told = classified(near, ids)
+    single = told.filter("outcome = 'resolved'").select(*ids, F.col("c_fqname").alias("callee"))
+    copies = told.filter("outcome = 'ambiguous'").select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
     bound = tails.unionByName(single)
 
     own = lambda df, callee: df.select(*calls.columns, callee.alias("callee"), F.col("resolution").alias("tag"))

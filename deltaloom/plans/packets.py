@@ -14,7 +14,7 @@ from deltaloom.functions import scalars as S
 from deltaloom.operators.graph import pagerank
 from deltaloom.operators.history import co_changes, companions
 from deltaloom.operators.intervals import owning_span
-from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.ranking import first_wins, ranked, top_k
 from deltaloom.plans import check as C
 from deltaloom.plans import delta as D
 from deltaloom.plans.config import Config
@@ -157,8 +157,8 @@ def build(ix: C.Index, cfg: Config | None = None, commits: DataFrame | None = No
     # Tests are left out before the ranking, or they would take places.
     shown = sites if cfg.include_tests else sites.filter((F.col("unit") != "symbol") | ~test)
     by_score = F.when(F.col("unit") == "symbol", S.site_score(F.col("resolution"), F.col("s_path") != F.col("path"), test, contract)).when(F.col("unit") == "field", 0.0).otherwise(S.confidence_of(F.col("resolution")))
-    ranked = shown.withColumn("is_test", test).withColumn("rank", F.row_number().over(W.partitionBy(*ID).orderBy(F.desc(by_score), F.asc("key"))))
-    first = ix.keep(_with_code(ix, ranked.filter((F.col("rank") <= cfg.max_callers) | (F.col("unit") == "field")), cfg).withColumn("hop", F.lit(1)).withColumn("via", F.lit(None).cast("string")))
+    in_order = ranked(shown.withColumn("is_test", test), ID, [F.desc(by_score), F.asc("key")])
+    first = ix.keep(_with_code(ix, in_order.filter((F.col("rank") <= cfg.max_callers) | (F.col("unit") == "field")), cfg).withColumn("hop", F.lit(1)).withColumn("via", F.lit(None).cast("string")))
     callers = first
     if cfg.two_hop:
         wrappers = first.join(units.filter("unit = 'symbol' and breaking").select(*ID), ID, "left_semi").filter(contract & F.instr("around", "*").cast("boolean")).select(*ID, F.col("rank").alias("parent"), F.col("around_name").alias("via"), "kind", "behavior")
@@ -175,7 +175,7 @@ def build(ix: C.Index, cfg: Config | None = None, commits: DataFrame | None = No
     table = first_wins(ix.symbols, ["repo", "fqname"], ["key"]).select("repo", F.col("fqname").alias("callee"), F.struct("path", "lineno", "signature").alias("c"))
     called = ix.linked.filter("tag <> 'ambiguous'").select("repo", F.col("caller").alias("fqname"), "callee", F.struct("path", "ord").alias("key")).filter("callee <> fqname")
     called = first_wins(called, ["repo", "fqname", "callee"], ["key"]).join(units.filter((F.col("unit") == "symbol") & ~contract).select(*ID, "fqname"), ["repo", "fqname"]).join(table, ["repo", "callee"])
-    called = called.withColumn("n", F.row_number().over(W.partitionBy(*ID).orderBy("key"))).filter(F.col("n") <= CALLEES)
+    called = top_k(called, ID, [F.asc("key")], CALLEES, "n")
     callees = called.groupBy(*ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]).alias("callees"))
     over = C.overrides_of(ix, units.filter("unit = 'symbol'")).groupBy("repo", "fqname").agg(F.array_sort(F.collect_list(F.struct(F.col("o_path").alias("path"), F.col("o_line").alias("lineno"), F.col("override").alias("fqname"), F.col("o_signature").alias("signature")))).alias("overrides"))
     out = units.join(totals, ID, "left").join(listed, ID, "left").join(callees, ID, "left").join(over, ["repo", "fqname"], "left")
@@ -250,8 +250,7 @@ def rendered(p: dict, known: list[dict] = ()) -> str:
         out += [f"before: {p['old_signature']}", f"after: {p['new_signature']}", *(f"- {x}" for x in p["details"])]
         out += ["Existing callers may be wrong now."] if p["breaking"] else []
     out += (["", "## BEHAVIOUR CHANGED", *(f"- {x}" for x in p["behavior"])] if len(p["behavior"]) else []) + [""]
-    diff = [x for x in (p["diff_text"] or "").strip("\n").splitlines() if x.startswith(("@@", "+", "-"))]
-    out += ["## DIFF", *fence("\n".join(diff), "diff")]
+    out += ["## DIFF", *fence(p["compact"], "diff")]
     out += ["## BEFORE", *fence(p["old_source"])] if p["old_source"] else []
     out += ["## SOURCE", *fence(p["new_source"])]
     if len(p["callers"]):
@@ -279,6 +278,7 @@ def with_prompts(packets: DataFrame, known: DataFrame | None = None) -> DataFram
         told = told.withColumnRenamed("repo", "_r")
         packets = packets.join(told, (F.col("repo") == F.col("_r")) & F.col("fqname").eqNullSafe(F.col("_s")), "left").drop("_r", "_s")
     packets = packets.withColumn("known", F.coalesce("known", F.array().cast(kind)) if known is not None else F.array().cast(kind))
+    packets = packets.withColumn("compact", S.compact_diff(F.coalesce("diff_text", F.lit(""))))
     schema = T.StructType([*packets.schema.fields, T.StructField("prompt", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,4 +286,4 @@ def with_prompts(packets: DataFrame, known: DataFrame | None = None) -> DataFram
             pdf["prompt"] = [rendered(row, list(row["known"])) for row in pdf.to_dict("records")]
             yield pdf
 
-    return packets.mapInPandas(run, schema)
+    return packets.mapInPandas(run, schema).drop("compact")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaloom.functions import scalars as S
-from deltaloom.functions.model_output import normalized
+from deltaloom.functions.model_output import normalized, verdict
 from deltaloom.operators import evidence, graph, history, intervals, merge, ranking
 from deltaloom.plans import scenarios
 
@@ -193,7 +193,7 @@ select source, doc_id, running::bigint as running from r where running <= 8000
 def budget_pack(spark, d):
     """The longest prefix of each group that fits a token budget."""
     rows = _t(spark, d, "documents").select("source", "doc_id", (S.token_estimate(F.col("text")) + 20).alias("cost"))
-    return ranking.within_budget(rows, ["source"], [F.asc("doc_id")], F.col("cost"), 8000).select("source", "doc_id", F.col("running").cast("bigint").alias("running"))
+    return ranking.within_budget(rows, ["source"], [F.asc("doc_id")], F.col("cost"), 8000, least=21).select("source", "doc_id", F.col("running").cast("bigint").alias("running"))
 
 
 @_query("select doc_id, greatest(1, floor(length(coalesce(text, '')) / 3.3::double))::bigint as tokens from documents")
@@ -235,13 +235,13 @@ def merge_anti_range(spark, d):
 @_query("""
 with f as (select event_id, user_id, lower(trim(event_type)) as title, value from events where value >= 10),
 k as (select *, row_number() over (partition by user_id, title order by event_id) as rn from f)
-select event_id, user_id, title, row_number() over (order by value desc, user_id, event_id)::int as place from k where rn = 1
+select event_id, user_id, title, row_number() over (partition by user_id order by value desc, event_id)::int as place from k where rn = 1
 """)
 def postprocess(spark, d):
-    """Floor, first of each key, report order."""
+    """Floor, first of each key, order within each file."""
     rows = _t(spark, d, "events").select("event_id", F.col("user_id").alias("file"), F.lit(None).cast("int").alias("line"), F.col("event_type").alias("title"), F.col("value").alias("confidence"), F.col("event_id").alias("ord"))
     kept = merge.postprocessed(rows, 10)
-    place = F.row_number().over(W.orderBy(F.desc("confidence"), "file", "event_id")).cast("int")
+    place = F.row_number().over(W.partitionBy("file").orderBy(F.desc("confidence"), "event_id")).cast("int")
     return kept.select("event_id", F.col("file").alias("user_id"), S.finding_key(F.col("title")).alias("title"), place.alias("place"))
 
 
@@ -263,14 +263,14 @@ def severity_hist(spark, d):
 
 
 @_query("""
-select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0)::bigint as line,
-  round(greatest(0.0, least(1.0, coalesce(try_cast(json_extract_string(props, '$.k') as double), 25.0) / 50.0)), 6)::double as confidence from events
+select event_id, event_id % 3 = 0 as real, case when event_id % 3 < 2 then round(value, 6)::double end as confidence from events
 """)
 def json_normalize(spark, d):
-    """Model output: parse, default, clamp."""
-    k = F.get_json_object("props", "$.k")
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(k.try_cast("double"), F.lit(25.0)) / 50.0))
-    return _t(spark, d, "events").select("event_id", F.coalesce(k.try_cast("bigint"), F.lit(0)).alias("line"), F.round(conf, 6).alias("confidence"))
+    """Verdicts out of model text: bare JSON, JSON inside of prose, and text without any."""
+    said = F.format_string('{"real": %s, "confidence": %s}', F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.col("value").cast("string"))
+    text = F.when(F.col("event_id") % 3 == 0, said).when(F.col("event_id") % 3 == 1, F.concat(F.lit("I looked: "), said, F.lit(" That is all."))).otherwise(F.lit("no idea"))
+    found = _t(spark, d, "events").select("event_id", verdict(text).alias("v"))
+    return found.select("event_id", F.col("v.real").alias("real"), F.round("v.confidence", 6).alias("confidence"))
 
 
 @_query("""
@@ -325,7 +325,7 @@ def stats(spark, d):
     files = _t(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"))
     edges = line.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("l_partkey").alias("targets"))
     wide = line.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n")).agg(F.count_if(F.col("n") > 3).alias("too_ambiguous"))
-    return files.join(edges).join(wide)  # three single rows
+    return files.crossJoin(edges).crossJoin(wide)  # three single rows
 
 
 @_query("""
@@ -338,28 +338,12 @@ def first_wins(spark, d):
     return ranking.first_wins(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 
-@_query("""
-with e as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on o_orderkey = l_orderkey where l_discount >= 0.09),
-h1 as (select src, dst from e), w as (select distinct c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and c_custkey % 100 = s_suppkey % 100)
-select h1.src as start, w.c_custkey as via, e2.dst as reached from h1 join w on w.s_suppkey = h1.dst join e e2 on e2.src = w.c_custkey
-except select src, w.c_custkey, dst from e join w on true where false
-""")
-def two_hop(spark, d):
-    """Callers of a wrapper's callers: two steps along the edges, through a mapping of their ends."""
-    rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_t(spark, d, "lineitem").filter("l_discount >= 0.09").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    customer, supplier = _t(spark, d, "customer"), _t(spark, d, "supplier")
-    wrap = customer.join(supplier, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 100 == F.col("s_suppkey") % 100)).select("c_custkey", "s_suppkey").distinct()
-    first = edges.join(wrap, F.col("dst") == F.col("s_suppkey")).select(F.col("src").alias("start"), F.col("c_custkey").alias("via"))
-    return first.join(edges, F.col("via") == F.col("src")).select("start", "via", F.col("dst").alias("reached")).distinct()
-
-
 @_query("""
 with e as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on o_orderkey = l_orderkey)
 select distinct h1.src as start, c_custkey as via, h2.dst as reached
 from e h1 join supplier on s_suppkey = h1.dst join customer on c_custkey = s_suppkey join e h2 on h2.src = c_custkey
 """)
-def two_hop_whole(spark, d):
+def two_hop(spark, d):
     """Two steps along all edges; each end has at most one wrapper, by key, so no row is filtered."""
     rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     edges = rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
@@ -369,13 +353,12 @@ def two_hop_whole(spark, d):
 
 
 @_query(r"""
-with l as (select doc_id, unnest(string_split(trim(text, ' '), chr(10))) as line from documents where text is not null)
-select doc_id, count(*) filter (where regexp_matches(line, '^[-+@#%]'))::bigint as marked, count(*)::bigint as lines from l group by 1
+with l as (select doc_id, regexp_split_to_array(trim(text, ' '), '\r\n|[\n\r\x0B\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') as lines from documents where text is not null)
+select doc_id, array_to_string(list_filter(lines, lambda x: regexp_matches(x, '^(@@|[+]|-)')), chr(10)) as compact from l
 """)
 def marked_lines(spark, d):
-    """Lines that start with a marker, as in a compact diff."""
-    lines = F.split(F.trim("text"), "\n")
-    return _t(spark, d, "documents").filter("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike("^[-+@#%]"))).cast("bigint").alias("marked"), F.size(lines).cast("bigint").alias("lines"))
+    """Only the lines of a compact diff."""
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", S.compact_diff(F.col("text")).alias("compact"))
 
 
 @_query(scenarios.golden_sql())

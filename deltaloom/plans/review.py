@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.model_output import normalized, verdict
 from deltaloom.functions.scalars import severity_rank
 from deltaloom.operators.merge import without_neighbours
 from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.staging import stage
 
 #: prompt -> dict with content, and prompt_tokens, eval_tokens, duration_ms, truncated where known.
 Reviewer = Callable[[str], dict]
@@ -37,9 +38,12 @@ def _asked(rows: DataFrame, prompt: str, reviewer: Reviewer, workers: int) -> Da
     return rows.repartition(max(1, workers)).mapInPandas(run, schema)
 
 
-def verification_prompt(title: str, detail: str, file: str, line: int | None, code: str) -> str:
+def verification_prompt(title: Column, detail: Column, file: Column, line: Column, code: Column) -> Column:
     """What a sceptic gets: the claim, and the code that it points at."""
-    return "\n".join(["Someone reported this:", f"  {file}:{line}  {title}", f"  {detail}", "", "The code:", "```python", code or "", "```", "", "Is it a real defect of this code? Refute it unless the code proves it."])
+    place = F.concat(F.lit("  "), file, F.lit(":"), F.coalesce(line.cast("string"), F.lit("-")), F.lit("  "), title)
+    claim = F.lit("Someone reported this:"), place, F.concat(F.lit("  "), F.coalesce(detail, F.lit("")))
+    shown = F.lit(""), F.lit("The code:"), F.lit("```python"), F.coalesce(code, F.lit("")), F.lit("```"), F.lit("")
+    return F.concat_ws("\n", *claim, *shown, F.lit("Is it a real defect of this code? Refute it unless the code proves it."))
 
 
 def review(packets: DataFrame, reviewer: Reviewer, proven: DataFrame | None = None, workers: int = 2, floor: float = 0.45, verify: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -50,13 +54,13 @@ def review(packets: DataFrame, reviewer: Reviewer, proven: DataFrame | None = No
     keeps the finding. Proven findings own their lines and both neighbours.
     """
     calls = _asked(packets.select("repo", "path", "qualname", "fqname", "prompt", "callers", "new_source"), "prompt", reviewer, workers)
-    calls = calls.persist()  # a reviewer is asked once
+    calls = stage(calls, "reviewer")  # a reviewer is asked once, even if an executor is lost
     said = normalized(calls.filter("error is null"), "content", ["repo", "fqname", "callers", "new_source"], F.col("path"))
     said = said.withColumnRenamed("fqname", "symbol").withColumn("ord", F.xxhash64("repo", "file", "symbol", "pos"))
     if verify:
         near = F.filter("callers", lambda c: (c["path"] == F.col("file")) & (F.abs(c["line"] - F.col("line")) <= 4))
         code = F.coalesce(F.get(near, F.lit(0))["snippet"], F.col("new_source"))
-        ask = F.udf(verification_prompt, "string")("title", "detail", "file", "line", code)
+        ask = verification_prompt(F.col("title"), F.col("detail"), F.col("file"), F.col("line"), code)
         judged = _asked(said.withColumn("question", ask).drop("callers", "new_source"), "question", reviewer, workers).withColumn("v", verdict(F.col("content")))
         judged = judged.filter(F.col("error").isNotNull() | F.col("v.real"))
         said = judged.withColumn("confidence", F.when(F.col("error").isNotNull(), F.col("confidence")).otherwise(F.least("confidence", F.coalesce("v.confidence", "confidence"))))

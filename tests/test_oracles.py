@@ -36,5 +36,5 @@ def test_two_hop_whole_by_force(spark, duck):
     for src, dst in edges:
         reached.setdefault(src, set()).add(dst)
     want = {(src, dst, end) for src, dst in edges if dst in customers for end in reached.get(dst, ())}
-    got = registry.QUERIES["two_hop_whole"](spark, SF).collect()
+    got = registry.QUERIES["two_hop"](spark, SF).collect()
     assert len(got) == len(want) and {(r.start, r.via, r.reached) for r in got} == want
