@@ -316,7 +316,7 @@ def verified(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle bags have a probability Jaccard of at least `similar`."""
     one = bags.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
     other = bags.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    both = pairs.distinct().join(one, "b").join(other, "a")
+    both = pairs.distinct().hint("merge").join(one, "b").hint("merge").join(other, "a")
     return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_linked(similar), "a long, b long")
 
 
@@ -369,8 +369,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     members = bucketed.join(small, "node").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.hash("node"), F.col("parts"))))
     members = stage(members.select("band", "parts", "sub", "node", "small"), "members")
     unstage(bucketed, shared)
-    # Texts of members only.
-    found = texts.join(involved, ["doc_id", "key"]).select("node", "text")
+    # Texts of members only. Joins with texts and bags shuffle at every size, so what is measured holds for more.
+    found = texts.join(involved.hint("merge"), ["doc_id", "key"]).select("node", "text")
     bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
 
     stars = stage(members.select("band", "sub", "node", "small").repartition("band", "sub").sortWithinPartitions("band", "sub").mapInArrow(_stars, _STAR), "stars")
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     main = stage(main.select("band", F.col("most.component").alias("main")), "mixed")
     mixed = stage(label.join(main, "band"), "mixed-members")
-    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(mixed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(mixed.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     mixed = stage(mixed.join(carried, "node", "left"), "mixed-bags")
     queries = mixed.filter("component <> main").withColumn("sub", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
     columns = ["band", "sub", "query", "node", "component", "shingles", "counts"]
