@@ -7,8 +7,8 @@ All averaging is linear, and the softmax has two classes, so a step needs only o
 word and document: forwards the vectors' products with the difference of the two rows of the softmax,
 backwards the sums of the documents' errors. Gradients are exact for any number of dimensions.
 
-Only buckets that toxic and clean documents have unlike often are trained. How unlike, when to stop, and
-where the border lies is told by every fifth of the learning documents, which the vectors don't see; labels outside of the sample are never looked at. After training the vectors'
+Only buckets that toxic and clean documents have unlike often are trained. How unlike, and when to stop, is
+told by every fifth of the learning documents, which the vectors don't see; where the border lies, by all; labels outside of the sample are never looked at. After training the vectors'
 products are the whole model: scoring needs that table (`buckets` floats, broadcast) and one number per
 distinct word.
 """
@@ -31,7 +31,7 @@ from deltaloom.llm.common import annotate, crc_mod, shielded
 
 #: Hashed vectors, their dimensions, sizes of n-grams, documents that a word needs, standard errors that a bucket needs to be trained (all are tried).
 BUCKETS, DIM, GRAMS, MIN_DOCS, TELLING = 1 << 18, 16, (3, 4, 5), 3, (6, 4, 3)
-#: One in so many learning documents tells when to stop and where the border is.
+#: One in so many learning documents tells when to stop.
 CHECKED = 5
 #: Distinct words that a task remembers the contribution of.
 REMEMBERED = 300_000
@@ -55,11 +55,17 @@ class ToxicModel:
 
 
 def _border(logits: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """(F1, border): the middle of the gap between two log odds that tells toxic (y = 1) from clean documents best."""
+    """(F1, border): the middle of the gap between two log odds that tells toxic (y = 1) from clean documents best.
+
+    Clean documents beyond the border count with two standard errors more than were seen, so where few
+    tell, clean documents are left alone rather than toxic ones caught.
+    """
     order = np.argsort(-logits, kind="stable")
-    hit, flagged = np.cumsum((share * y)[order]), np.cumsum(share[order])
-    f1 = 2 * hit / (flagged + (share * y).sum())
-    x = logits[order]
+    x, toxic, weight = logits[order], y[order], share[order]
+    hit, false = np.cumsum(weight * toxic), np.cumsum(1 - toxic)
+    each = np.cumsum(weight * (1 - toxic)) / np.maximum(1, false)
+    each = np.where(false > 0, each, share[y < 1].mean() if (y < 1).any() else 0.0)
+    f1 = 2 * hit / (hit + each * (false + 2 * np.sqrt(false + 1)) + (share * y).sum())
     last = np.append(x[1:] < x[:-1], True)  # a border lies between different log odds only
     k = int(np.flatnonzero(last)[f1[last].argmax()])
     return float(f1[k]), float((x[k] + x[k + 1]) / 2 if k + 1 < len(x) else x[k] - 1)
@@ -114,8 +120,8 @@ def fit(samples: Iterable[tuple[str, int]], prior: float | None = None, epochs:
 
     Texts are read one at a time and kept as arrays of word numbers. Words of fewer than MIN_DOCS
     documents only count in their documents' lengths: on their own they would be learnt by heart. The
-    model of the step that did best on the documents left out is kept, with the border that told them
-    apart best. Labels that all agree give a model that says so of every document.
+    model of the step that did best on the documents left out is kept, with the border that tells all of
+    them apart best. Labels that all agree give a model that says so of every document.
     """
     number: dict[str, int] = {}
     words_of, shares, y = [], [], []
@@ -152,9 +158,9 @@ def fit(samples: Iterable[tuple[str, int]], prior: float | None = None, epochs:
         own = bags.only(evidence > errors)
         for step, along, offset, logits in _steps(own, y, learnt, prior, epochs, rate, seed):
             if step % 4 == 0:
-                f1, border = _border(logits[told], y[told], share[told])
+                f1, _ = _border(logits[told], y[told], share[told])
                 if f1 > best[0]:
-                    best = (f1, own, along.copy(), offset - border)
+                    best = (f1, own, along.copy(), offset - _border(logits, y, share)[1])
     _, own, along, bias = best
     table = np.zeros(BUCKETS, np.float32)
     table[own.used] = along

@@ -160,8 +160,11 @@ def test_vectors_are_more_than_one_number():
 
 
 def test_border_is_told_by_the_given_rows():
-    f1, border = toxicity._border(np.array([3.0, 2.0, 1.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 1.0, 0.0]), np.ones(5))
-    assert f1 == pytest.approx(2 * 3 / 7) and border == pytest.approx(-1.5)
+    f1, border = toxicity._border(np.array([3.0, 2.0, 1.0, 0.5, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0, 1.0, 0.0]), np.ones(6))
+    assert f1 == pytest.approx(2 * 2 / (2 + 2 + 3)) and border == pytest.approx(1.5)  # the one beyond isn't worth two clean ones
+    x, y = np.repeat([3.0, 1.0, -1.0, -3.0], 2000), np.repeat([1.0, 0.0, 1.0, 0.0], 2000)
+    y[2000:2200], y[2200:4000] = 0.0, 1.0
+    assert toxicity._border(x, y, np.ones(8000))[1] == pytest.approx(-2)  # many tell what few can't
 
 
 def test_language(spark, odd_docs, no_docs):
