@@ -425,4 +425,4 @@ def first_of_each_class(docs: DataFrame, similar: float = SIMILAR, doc_id: str =
     found = stage(found, "dropped")
     plain, name, back = shielded(docs)
     same = (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(F.col(name(text))) == F.col("_key"))
-    return back(plain.join(found, same, "left_anti"))
+    return back(plain.join(found.hint("merge"), same, "left_anti"))

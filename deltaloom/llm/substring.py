@@ -382,5 +382,5 @@ def without_repeats(docs: DataFrame, window: int = 50, heavy: int = HEAVY, doc_i
     new = new.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     plain, name, back = shielded(docs)
     own = F.col(name(text))
-    joined = plain.join(new, (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(own) == F.col("_key")), "left")
+    joined = plain.join(new.hint("merge"), (F.col(name(doc_id)).cast("long") == F.col("_id")) & (text_key(own) == F.col("_key")), "left")
     return back(joined.withColumn(name(text), F.coalesce(F.col("_kept"), own)))
