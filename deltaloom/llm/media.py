@@ -404,6 +404,8 @@ def media_columns(docs: DataFrame, keep: list[str], text: str = "text", media: b
     asked, the file itself as `media`.
 
     A null text counts as empty and is stored as one image of 576 samples. Equal texts give equal rows.
+    The format ends at 65535 lines, so a payload of over COLUMNS * MAX_ROWS bytes is several images, one
+    after another in one file: all are read back here, while other readers, and `thumbnails`, show the first.
     """
     fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
     fields += [("width", pa.int32()), ("height", pa.int64()), ("feature", pa.string())] + ([("media", pa.binary())] if media else [])
