@@ -11,9 +11,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """What spark.checkpoint.dir names; a folder of our own only where it is unset and all run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         named = "/tmp/checkpoints/deltaloom"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
