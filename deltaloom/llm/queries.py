@@ -89,5 +89,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm.simhash import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts, op11_simhash)}
 ORACLES: dict[str, str] = {}
