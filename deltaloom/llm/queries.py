@@ -95,5 +95,57 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts, op11_simhash)}
-ORACLES: dict[str, str] = {}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaloom.llm import conversations
+
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.repair_report(turns, conversations.damaged(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts, op11_simhash, op12_repair)}
+
+#: crc32 bit by bit; one step of the recursion a row, over the four states with the cheapest text carried along.
+_REPAIR_SQL = """
+with recursive marked as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(flatten(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+      lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> i::int) & 1))),
+      lambda crc, bit: case when (xor(crc, bit) & 1) = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end, 4294967295::bigint), 4294967295::bigint) % 20 as hit
+  from conversations),
+damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+    case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when hit = 3 then [0, 1] else [0] end) as copy
+  from marked where hit <> 0),
+ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as place, left(role, 1) as initial,
+    not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank from damaged),
+told as (
+  select *, not blank and row_number() over (partition by conv_id, role, text order by place) > 1 as duplicate,
+    lag(initial) over (partition by conv_id order by place) || initial not in ('su', 'ua', 'au') as illegal from ordered),
+rated as (select *, not blank and not duplicate and not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') as truncated from told),
+inserts(source, dest, n) as (values ('', '', 0), ('', 'u', 1), ('', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2), ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)),
+opened as (select *, case when n = 0 then '' when n = 2 then 'user:' || chr(10) || 'assistant:' || chr(10) when dest = 'u' then 'user:' || chr(10) else 'assistant:' || chr(10) end as lines from inserts),
+walk as (
+  select distinct conv_id, 0::bigint as place, '' as state, {'cost': 0::bigint, 'audit': '', 'lines': ''} as best from rated
+  union all
+  select w.conv_id, r.place, e.state, min({'cost': w.best.cost + 2 * o.n + e.cost, 'audit': w.best.audit || repeat('I', o.n) || e.op, 'lines': w.best.lines || o.lines || e.line})
+  from walk w join opened o on o.source = w.state join rated r on r.conv_id is not distinct from w.conv_id and r.place = w.place + 1,
+  lateral (
+    select 'D' as op, o.dest as state, 3 as cost, '' as line
+    union all select 'K', r.initial, r.truncated::int, r.role || ':' || r.text || chr(10)
+      where not r.blank and not r.duplicate and (r.initial = 's' and o.dest = '' or r.initial = 'u' and o.dest <> 'u' or r.initial = 'a' and o.dest = 'u')
+    union all select 'R', case when o.dest = 'u' then 'a' else 'u' end, 2 + r.truncated::int, case when o.dest = 'u' then 'assistant:' else 'user:' end || r.text || chr(10)
+      where not r.blank and not r.duplicate) e
+  group by w.conv_id, r.place, e.state),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(duplicate) as duplicate,
+    count_if(truncated) as truncated, count_if(illegal) as illegal, max(place) as n from rated group by conv_id),
+ended as (
+  select w.conv_id, min({'cost': w.best.cost + 2 * o.n, 'audit': w.best.audit || repeat('I', o.n), 'lines': w.best.lines || o.lines}) as best
+  from walk w join counted c on c.conv_id is not distinct from w.conv_id and c.n = w.place join opened o on o.source = w.state and o.dest in ('', 'a') group by w.conv_id),
+every as (select distinct conv_id from conversations)
+select e.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::bigint as blank, coalesce(c.duplicate, 0)::bigint as duplicate, coalesce(c.truncated, 0)::bigint as truncated,
+  coalesce(c.illegal, 0)::bigint as illegal, coalesce(d.best.cost, 0)::bigint as cost, coalesce(d.best.audit, '') as audit, sha256(coalesce(left(d.best.lines, length(d.best.lines) - 1), '')) as repaired_sha256
+from every e left join counted c on c.conv_id is not distinct from e.conv_id left join ended d on d.conv_id is not distinct from e.conv_id
+"""
+ORACLES: dict[str, str] = {"op12_repair": _REPAIR_SQL}
