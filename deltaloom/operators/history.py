@@ -7,16 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def co_changes(commit_files: DataFrame, commit: str, path: str, least: int = 2, most: int = 30) -> DataFrame:
-    """a, b, n: how often two files are in one commit of `least` to `most` files.
+def co_changes(commit_files: DataFrame, commit: str, path: str, least: int = 2, most: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, n: how often two files are in one commit of `least` to `most` files, for each value of the
+    columns `by` (which are a commit's own, such as its year).
 
     Larger commits are gone before the self join, so it is linear: at most `most` rows for each row.
     """
-    rows = commit_files.select(F.col(commit).alias("_c"), F.col(path).alias("_p")).distinct()
+    rows = commit_files.select(F.col(commit).alias("_c"), F.col(path).alias("_p"), *by).distinct()
     files = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("k"))
-    fair = rows.join(files.filter(F.col("k").between(least, most)), "_c").select("_c", "_p")
-    pairs = fair.select("_c", F.col("_p").alias("a")).join(fair.select("_c", F.col("_p").alias("b")), "_c").filter("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    fair = rows.join(files.filter(F.col("k").between(least, most)), "_c").select("_c", "_p", *by)
+    pairs = fair.select("_c", F.col("_p").alias("a"), *by).join(fair.select("_c", F.col("_p").alias("b")), "_c").filter("a <> b")
+    return pairs.groupBy("a", "b", *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def companions(pairs: DataFrame, changed: DataFrame | None = None, top: int = 3, least: int = 3, share: float = 0.4) -> DataFrame:
