@@ -8,7 +8,7 @@ Four states say how what is left so far ends: nothing, a system turn, a user tur
 hashed to tasks, and a task's DuckDB holds a batch of many conversations: each step of a recursive query advances
 one row of all of them, keeping the least (cost, audit) of each pair of states. As every start state
 is followed, a piece of a conversation is a small table of moves between states, and those of neighbouring pieces are
-chained by the same query. So a conversation of any length is dealt out in pieces of SPAN turns and LENGTH rows,
+chained by the same query. So a conversation of any length is dealt out in pieces of at most SPAN turns and LENGTH rows,
 whose moves meet in a tree. Only its audit and the digest of its text, both sequential, run through one task, as a stream.
 """
 
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import one_core, stage, unstage
 
-#: Turn numbers of one piece; rows after which a piece is cut; rows of a DuckDB batch; pieces that meet at once.
-SPAN, LENGTH, BATCH, GROUP = 256, 256, 8192, 64
+#: Turn numbers of one piece; rows after which a piece is cut; rows of a DuckDB batch; pieces that meet at once. A step of the
+#: recursion reads the whole batch, so short pieces keep the work in proportion to the rows, however long conversations are.
+SPAN, LENGTH, BATCH, GROUP = 16, 16, 8192, 16
 #: Costs of edits by their initials; what an undeleted truncated row adds.
 COSTS, TRUNCATED = {"K": 0, "R": 2, "D": 3, "I": 2}, 1
 LEGAL = frozenset({"su", "ua", "au"})
@@ -102,7 +103,7 @@ class _Pieces:
         """Make room for one more row of group `at`: in a new piece if the group is new or the piece is full."""
         if at != self.at or self.length == LENGTH:
             sub = self.pieces[-1]["sub"] + 1 if at == self.at else 0
-            if len(self.rows) >= BATCH:
+            if max(len(self.rows), len(self.pieces)) >= BATCH:
                 yield self.flush()
             self.at, self.length = at, 0
             self.pieces.append({"key": key, "seg": seg, "sub": sub, **dict.fromkeys(_COUNTS, 0), "first": None, "last": None})
@@ -119,15 +120,26 @@ class _Pieces:
         self.rows.append((len(self.pieces) - 1, self.length, *values))
         self.length += 1
 
+    def add_piece(self, p: dict) -> None:
+        """A piece that meets no other stays as it is; the first of several waits for the second."""
+        piece, alone = self.pieces[-1], self.length == 0
+        if self.length == 1:
+            self.rows.append((len(self.pieces) - 1, 0, piece.pop("moves")))
+        self.add({c: p[c] for c in _COUNTS}, p["first"], p["last"], p["moves"])
+        if alone:
+            piece["moves"] = self.rows.pop()[-1]
+
     def flush(self) -> pa.RecordBatch:
         if not self.pieces:
             return pa.RecordBatch.from_pylist([], schema=_PIECE)
-        table = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*self.rows, strict=True), self.schema, strict=True)], schema=self.schema)
-        self.db.register("members", table)
-        self.db.execute(self.steps)
-        moves = dict(self.db.execute(_ADVANCE).fetchall())
-        self.db.unregister("members")
-        out = pa.RecordBatch.from_pylist([{**p, "moves": moves[i]} for i, p in enumerate(self.pieces)], schema=_PIECE)
+        moves = {}
+        if self.rows:
+            table = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*self.rows, strict=True), self.schema, strict=True)], schema=self.schema)
+            self.db.register("members", table)
+            self.db.execute(self.steps)
+            moves = dict(self.db.execute(_ADVANCE).fetchall())
+            self.db.unregister("members")
+        out = pa.RecordBatch.from_pylist([{"moves": moves.get(i), **p} for i, p in enumerate(self.pieces)], schema=_PIECE)
         self.pieces, self.rows = [], []
         return out
 
@@ -155,7 +167,7 @@ def _pieces_to_larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for p in batch.to_pylist():
             yield from made.start((p["key"], p["into"]), p["key"], p["into"])
-            made.add({c: p[c] for c in _COUNTS}, p["first"], p["last"], p["moves"])
+            made.add_piece(p)
     yield made.flush()
 
 

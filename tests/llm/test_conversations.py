@@ -82,7 +82,7 @@ def conversations(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "span", "group"), [(1, 256, 64), (2, 2, 2), (3, 1, 3)])
+@pytest.mark.parametrize(("seed", "span", "group"), [(1, 16, 16), (2, 2, 2), (3, 1, 3)])
 def test_reports_and_digests(spark, seed, span, group):
     rows = conversations(seed)
     turns = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -108,7 +108,7 @@ def test_long_conversations_are_dealt_out(spark):
     turns = spark.createDataFrame(rows, SCHEMA).repartition(3)
     moves = C.grammar()
     ends = C.closing()
-    got = {r.conv_id: r for r in C.repair_report(turns, turns, 256, 2).collect()}
+    got = {r.conv_id: r for r in C.repair_report(turns, turns, 16, 3).collect()}
     for conv in (1, 2, 3, 4):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).digest()))
         told = faults([r[2:] for r in own])
