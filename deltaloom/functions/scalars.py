@@ -105,10 +105,17 @@ def clean_comment(body: Column, most: int = 450) -> Column:
     return F.substring(F.trim(body), 1, most)
 
 
-def dotted_prefixes(dotted: Column) -> Column:
+def dotted_prefixes(dotted: Column, separator: str = ".") -> Column:
     """a.b.c -> [a, a.b, a.b.c]: turns a prefix test into an equi join."""
+    parts = F.split(dotted, f"\\Q{separator}\\E")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), separator))
+
+
+def dotted_suffixes(dotted: Column, least: int = 2) -> Column:
+    """w.x.y.z -> [y.z, x.y.z]: the suffixes of `least` words or more that leave a word out; turns a suffix test into an equi join."""
     parts = F.split(dotted, r"\.")
-    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "."))
+    lengths = F.when(F.size(parts) > least, F.sequence(F.lit(least), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(lengths, lambda n: F.array_join(F.slice(parts, -n, n), "."))
 
 
 def finding_key(title: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,7 +24,48 @@ def owning_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, s
     return points.join(owned, [*keys, at], "left")
 
 
-def overlapping(spans: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str) -> DataFrame:
-    """Spans that hold at least one of the points of their keys (a left semi join)."""
-    right = points.select(*(F.col(k).alias(f"_p_{k}") for k in keys), F.col(at).alias("_at")).distinct()
-    return spans.join(right, [F.col(k) == F.col(f"_p_{k}") for k in keys] + [F.col("_at").between(F.col(start), F.col(end))], "left_semi")
+def running_at(events: DataFrame, asked: DataFrame, keys: list[str], at: str, value: str, cell: int = 4096) -> DataFrame:
+    """keys, at, running: at each distinct asked place, the sum of the values of all events of its keys up to there, it included.
+
+    Events and questions go along one line together. The line is cut into cells of `cell` units: sums run
+    inside of cells, and the cells' totals run over cells, so no key's whole line is one task's.
+    """
+    ask = asked.select(*keys, F.col(at).cast("long").alias(at), F.lit(0).cast("long").alias("_v"), F.lit(True).alias("_ask"))
+    tell = events.select(*keys, F.col(at).cast("long").alias(at), F.col(value).cast("long").alias("_v"), F.lit(False).alias("_ask"))
+    line = ask.unionByName(tell).filter(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.sum("_v").alias("_v"), F.max("_ask").alias("_ask"))
+    line = line.withColumn("_cell", F.floor(F.col(at) / cell))
+    inner = line.withColumn("_inner", F.sum("_v").over(W.partitionBy(*keys, "_cell").orderBy(at)))
+    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = line.groupBy(*keys, "_cell").agg(F.sum("_v").alias("_t")).withColumn("_outer", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    on = [inner[k].eqNullSafe(cells[k]) for k in [*keys, "_cell"]]
+    return inner.filter("_ask").join(cells, on).select(*(inner[k] for k in keys), inner[at], (F.col("_inner") + F.col("_outer")).alias("running"))
+
+
+def _looked_up(rows: DataFrame, running: DataFrame, keys: list[str], place: Column, at: str, name: str) -> DataFrame:
+    """rows with the running sum at a place of theirs, 0 where it is null."""
+    right = running.select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(at).alias("_r_at"), F.col("running").alias(name))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [place.cast("long") == F.col("_r_at")]
+    return rows.join(right, on, "left").drop(*(f"_r_{k}" for k in keys), "_r_at").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def coverage(spans: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, name: str = "points", cell: int = 4096) -> DataFrame:
+    """spans with the number of distinct points of their keys that lie in them, ends included.
+
+    What lies up to the end, less what lies before the start: one sweep and two equi joins, however many
+    spans and points a key has. Spans that end before they start, or lack an end, hold none.
+    """
+    events = points.select(*keys, at).distinct().withColumn("_one", F.lit(1))
+    ends = spans.select(*keys, (F.col(start) - 1).alias(at)).unionByName(spans.select(*keys, F.col(end).alias(at)))
+    running = running_at(events, ends, keys, at, "_one", cell)
+    both = _looked_up(_looked_up(spans, running, keys, F.col(start) - 1, at, "_before"), running, keys, F.col(end), at, "_upto")
+    count = F.when(F.col(start) <= F.col(end), F.col("_upto") - F.col("_before")).otherwise(0)
+    return both.withColumn(name, count.cast("long")).drop("_before", "_upto")
+
+
+def depth(points: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, at: str, name: str = "depth", cell: int = 4096) -> DataFrame:
+    """points with the number of spans of their keys that they lie in: spans begun less spans ended, by one sweep."""
+    good = spans.filter(F.col(start) <= F.col(end))
+    begun = good.select(*keys, F.col(start).alias(at), F.lit(1).alias("_step"))
+    ended = good.select(*keys, (F.col(end) + 1).alias(at), F.lit(-1).alias("_step"))
+    running = running_at(begun.unionByName(ended), points, keys, at, "_step", cell)
+    return _looked_up(points, running, keys, F.col(at), at, name)

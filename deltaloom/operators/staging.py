@@ -29,7 +29,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
         atexit.register(clear)
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Drop written tables that nothing lazy reads any more, so that a driver that lives long fills no disk."""
+    for df in tables:
+        for item in [x for x in _written if x[1] == getattr(df, "_written_at", None)]:
+            _written.remove(item)
+            _delete(*item)
 
 
 def clear() -> None:
@@ -37,7 +52,6 @@ def clear() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001
             return

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.operators.intervals import coverage
+
 #: Decorators that change how a definition is used.
 CONTRACT_DECORATORS = ("property", "staticmethod", "classmethod", "cached_property")
 _NONE = "untyped"
@@ -134,8 +136,7 @@ def removed_symbols(old: DataFrame, surviving: DataFrame, touched: DataFrame) ->
     """
     keys = ["repo", "path", "qualname"]
     gone = old.filter("kind <> 'class'").join(surviving.select(*keys), keys, "left_anti")
-    lines = touched.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("line").alias("_l")).distinct()
-    hit = gone.join(lines, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("start_lineno"), F.col("end_lineno")), "left_semi")
+    hit = coverage(gone, touched, ["repo", "path"], "start_lineno", "end_lineno", "line", "_touched").filter("_touched > 0").drop("_touched")
     # Definitions around a name are its dotted prefixes: an equi anti join, not a prefix test.
     parts = F.split("qualname", r"\.")
     around = hit.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("outer")).filter("outer <> qualname")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.scalars import owner_name, short_name
-from deltaloom.operators.evidence import classified, import_evidence
+from deltaloom.operators.evidence import classified, import_evidence, longest_prefix, suffix_matches
 from deltaloom.operators.graph import ancestors
 from deltaloom.operators.ranking import first_wins
 
@@ -42,11 +42,19 @@ def by_fqname(symbols: DataFrame) -> DataFrame:
     return first_wins(symbols, ["repo", "fqname"], ["key"])
 
 
-def supported(rows: DataFrame, imports: DataFrame, candidate_path: str, candidate_module: str) -> DataFrame:
-    """Rows whose candidate is in the same file, or in a module that the file's imports give evidence of."""
-    proof = import_evidence(imports, ["repo", "path"]).select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("module").alias("_m"), F.lit(True).alias("_proof"))
-    on = (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col(candidate_module) == F.col("_m"))
-    return rows.join(proof, on, "left").filter((F.col(candidate_path) == F.col("path")) | F.col("_proof")).drop("_r", "_p", "_m", "_proof")
+def importable(asks: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+    """repo, path, short, c_fqname, c_key: the definitions of a short name that a file has itself, or that are in a
+    module that the file's imports give evidence of.
+
+    asks: distinct (repo, path, short). The modules of the file's evidence come first, so names meet by
+    module and name: a name that a whole repository has is as cheap as any.
+    """
+    of = definitions.select("repo", "short", F.col("module").alias("c_module"), F.col("path").alias("c_path"), F.col("fqname").alias("c_fqname"), F.col("key").alias("c_key"))
+    proof = import_evidence(imports, ["repo", "path"], module="c_module")
+    columns = ["repo", "path", "short", "c_fqname", "c_key"]
+    far = asks.join(proof, ["repo", "path"]).join(of, ["repo", "c_module", "short"]).select(columns)
+    own = asks.join(of.withColumnRenamed("c_path", "path"), ["repo", "path", "short"]).select(columns)
+    return far.unionByName(own).distinct()
 
 
 def hierarchy(symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -57,9 +65,9 @@ def hierarchy(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     known = by_fqname(symbols).filter("kind = 'class'").select("repo", F.col("fqname").alias("parent"))
     local = raw.withColumn("parent", F.concat_ws(".", "module", "short")).join(known, ["repo", "parent"], "left_semi").select("repo", "child", "key", "position", "parent")
     rest = raw.join(local.select("repo", "child", "key", "position"), ["repo", "child", "key", "position"], "left_anti")
-    found = classes.select("repo", "short", F.col("fqname").alias("parent"), F.col("path").alias("c_path"), F.col("module").alias("c_module"), F.col("key").alias("c_key"))
-    near = supported(rest.join(found, ["repo", "short"]), imports, "c_path", "c_module")
-    one = near.groupBy("repo", "child", "key", "position").agg(F.count_distinct("c_key").alias("n"), F.min("parent").alias("parent")).filter("n = 1").select("repo", "child", "key", "position", "parent")
+    near = importable(rest.select("repo", "path", "short").distinct(), classes, imports)
+    only = near.groupBy("repo", "path", "short").agg(F.count_distinct("c_key").alias("n"), F.min("c_fqname").alias("parent")).filter("n = 1")
+    one = rest.drop("parent").join(only, ["repo", "path", "short"]).select("repo", "child", "key", "position", "parent")
     return local.unionByName(one).groupBy("repo", "child", "position").agg(F.min("parent").alias("parent"))
 
 
@@ -101,24 +109,31 @@ def link(calls: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFr
     silent = rest.filter(builtin | protocol)
     open_ = rest.filter(~(builtin | protocol))
 
-    named = symbols.select("repo", "short", F.col("qualname").alias("c_qualname"), F.col("fqname").alias("c_fqname"), F.col("path").alias("c_path"), F.col("module").alias("c_module"), F.col("key").alias("c_key"))
-    candidates = open_.join(named, ["repo", "short"])
-    ids = ["repo", "key"]
-    is_tail = (F.instr("c_qualname", ".") > 0) & F.col("target").endswith(F.concat(F.lit("."), F.col("c_qualname")))
-    tails = candidates.filter(is_tail).groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.min("c_fqname").alias("callee")).filter("n = 1").select(*ids, "callee")
-    near = supported(candidates.join(tails.select(*ids), ids, "left_anti"), imports, "c_path", "c_module")
-    told = classified(near, ids)
-    single = told.filter("outcome = 'resolved'").select(*ids, F.col("c_fqname").alias("callee"))
-    copies = told.filter("outcome = 'ambiguous'").select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
-    bound = tails.unionByName(single)
+    methods = symbols.filter(F.instr("qualname", ".") > 0).select("repo", "qualname", "fqname")
+    ends = suffix_matches(open_, methods, ["repo"], "target", "qualname")
+    tails = ends.groupBy("repo", "target").agg(F.count(F.lit(1)).alias("n"), F.min("fqname").alias("callee")).filter("n = 1").select("repo", "target", "callee")
+    by_tail = open_.join(tails, ["repo", "target"])
+    free = open_.join(tails, ["repo", "target"], "left_anti")
+    ask = ["repo", "path", "short"]
+    told = classified(importable(free.select(ask).distinct(), symbols, imports), ask)
+    single = free.join(told.filter("outcome = 'resolved'").select(*ask, "c_fqname"), ask)
+    copies = free.join(told.filter("outcome = 'ambiguous'").select(*ask, "c_fqname"), ask).select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
 
     own = lambda df, callee: df.select(*calls.columns, callee.alias("callee"), F.col("resolution").alias("tag"))
-    linked = own(exact, F.col("target")).unionByName(own(through, F.col("found"))).unionByName(own(open_.join(bound, ids), F.col("callee"))).unionByName(copies)
-    tried = candidates.select(*ids).distinct()
+    linked = own(exact, F.col("target")).unionByName(own(through, F.col("found"))).unionByName(own(by_tail, F.col("callee"))).unionByName(own(single, F.col("c_fqname"))).unionByName(copies)
+    ids = ["repo", "key"]
+    tried = open_.join(symbols.select("repo", "short").distinct(), ["repo", "short"], "left_semi").select(*ids)
     lost = tried.join(linked.select(*ids), ids, "left_anti").unionByName(silent.select(*ids))
     return linked, lost
 
 
+def depends(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """repo, path, target, module: the module of the repository that each import leads to, the longest that the target
+    is in; imports of what is outside are left out."""
+    known = files.select("repo", "module").distinct()
+    return longest_prefix(imports.select("repo", "path", "target").distinct(), known, ["repo"], "target", "module").filter(F.col("module").isNotNull())
+
+
 def statistics(parsed: DataFrame, symbols: DataFrame, calls: DataFrame, linked: DataFrame, dropped: DataFrame) -> DataFrame:
     """One row a repository: files, unparsable, symbols, edges, resolved, targets, too_ambiguous."""
     files = parsed.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("unparsable"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from deltaloom.functions import scalars as S
 from deltaloom.operators.graph import pagerank
 from deltaloom.operators.history import co_changes, companions
-from deltaloom.operators.intervals import owning_span
+from deltaloom.operators.intervals import depth, owning_span
 from deltaloom.operators.ranking import first_wins, ranked, top_k
 from deltaloom.plans import check as C
 from deltaloom.plans import delta as D
@@ -85,9 +85,7 @@ def _units(ix: C.Index, cfg: Config) -> DataFrame:
     # Lines outside of any symbol; a change that only deletes counts where its hunks are.
     spans = ix.symbols.select("repo", "path", "start_lineno", "end_lineno")
     lines = d.filter("status <> 'D'").select("repo", "path", F.explode(F.when((F.size("new_lines") == 0) & (F.size("old_lines") > 0), F.transform("hunks", lambda h: h["new_start"])).otherwise(F.col("new_lines"))).alias("line"), (F.size("new_lines") == 0).alias("only_old"))
-    s = spans.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("start_lineno").alias("_a"), F.col("end_lineno").alias("_b"))
-    inside = (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & F.col("line").between(F.col("_a"), F.col("_b")) & ~F.col("only_old")
-    loose = lines.join(s, inside, "left_anti").groupBy("repo", "path").agg(F.array_sort(F.collect_set("line")).alias("loose"))
+    loose = depth(lines, spans, ["repo", "path"], "start_lineno", "end_lineno", "line").filter("only_old or depth = 0").groupBy("repo", "path").agg(F.array_sort(F.collect_set("line")).alias("loose"))
     top = loose.join(d, ["repo", "path"]).join(src, ["repo", "path"]).withColumn("shown", F.slice("loose", 1, 60))
     width = F.length(F.element_at("shown", -1).cast("string"))
     window = F.array_join(F.transform(F.filter("shown", lambda x: x <= F.size("lines")), lambda x: F.concat(F.lpad(x.cast("string"), width, " "), F.lit("|"), F.get("lines", x - 1))), "\n")
