@@ -76,10 +76,18 @@ def numbered_slice(lines: Column, start: Column, end: Column, most: int) -> Colu
     width = F.length(last.cast("string"))
     all_ = F.transform(F.slice(lines, start, F.greatest(last - start + 1, F.lit(0))), lambda x, i: F.concat(F.lpad((start + i).cast("string"), width, " "), F.lit("|"), x))
     gone = F.size(all_) - F.lit(most - 20) - 15
-    cut = F.concat(F.slice(all_, 1, most - 20), F.array(F.concat(F.lit("...| "), gone.cast("string"), F.lit(" lines elided ..."))), F.slice(all_, -15, 15))
+    cut = F.concat(F.slice(all_, 1, most - 20), F.array(F.concat(F.lit("...| "), gone.cast("string"), F.lit(" lines left out ..."))), F.slice(all_, -15, 15))
     return F.array_join(F.when(F.size(all_) > most, cut).otherwise(all_), "\n")
 
 
+def head_slice(lines: Column, start: Column, end: Column, most: int) -> Column:
+    """Lines start .. end without numbers; of more than `most`, the first most - 5 and a remark on how many follow."""
+    body = F.slice(lines, start, F.greatest(F.least(end, F.size(lines)) - start + 1, F.lit(0)))
+    rest = F.size(body) - F.lit(most - 5)
+    cut = F.concat(F.slice(body, 1, most - 5), F.array(F.format_string("# %d more lines", rest)))
+    return F.array_join(F.when(F.size(body) > most, cut).otherwise(body), "\n")
+
+
 def compact_diff(diff: Column) -> Column:
     """Only hunk heads, added and removed lines."""
     return F.array_join(F.filter(split_lines(F.trim(diff)), lambda x: x.rlike(r"^(@@|\+|-)")), "\n")

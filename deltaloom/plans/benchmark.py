@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.functions.scalars import clean_comment, ratio, token_estimate
@@ -34,10 +34,10 @@ def full_context(ix: check.Index) -> DataFrame:
     imports = P.table_of(ix.parsed, "imports").select("repo", F.col("path").alias("user"), "target")
     users = changed.select("repo", "path", "module").join(import_evidence(imports, ["repo", "user"]), ["repo", "module"]).select("repo", "path", "user")
     shown = users.filter("user <> path").withColumn("own", F.lit(1)).unionByName(changed.select("repo", "path", F.col("path").alias("user"), F.lit(0).alias("own"))).distinct()
-    part = F.concat(F.lit("# FILE: "), F.col("user"), F.lit("\n```python\n"), F.rtrim("src"), F.lit("\n```\n"))
+    part = F.format_string("<file path='%s'>\n%s\n</file>", "user", F.rtrim("src"))
     texts = shown.join(ix.files.select("repo", F.col("path").alias("user"), "src"), ["repo", "user"]).groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("own", "user", part.alias("part")))), lambda x: x["part"]).alias("parts"))
-    diff = F.concat(F.lit("# DIFF for "), F.col("path"), F.lit("\n```diff\n"), F.array_join(F.flatten(F.transform("hunks", lambda h: F.concat(F.array(h["header"]), h["lines"]))), "\n"), F.lit("\n```\n"))
-    ask = F.lit("Review this change. Give findings as JSON; an empty list is a good answer.")
+    diff = F.format_string("<change path='%s'>\n%s\n</change>", "path", F.array_join(F.flatten(F.transform("hunks", lambda h: F.concat(F.array(h["header"]), h["lines"]))), "\n"))
+    ask = F.lit("What does the change break in these files? List findings as JSON, none if there are none.")
     return changed.join(texts, ["repo", "path"], "left").select("repo", "path", F.concat_ws("\n", diff, F.array_join("parts", "\n"), ask).alias("prompt"))
 
 
@@ -67,30 +67,39 @@ def candidates(found: DataFrame, known: DataFrame, tool: str) -> DataFrame:
     return found.join(known.select("url", "num"), F.col("pr") == F.col("num")).select("url", F.lit(tool).alias("tool"), said.alias("comments"))
 
 
+def question(golden: Column, severity: Column, comments: Column) -> Column:
+    """What a judge is asked about one expected remark and all that were made."""
+    listed = F.array_join(F.transform(comments, lambda c, i: F.format_string("%d: %s", i, c)), "\n")
+    return F.format_string("Expected of a review (%s):\n%s\n\nIt remarked:\n%s\n\nAnswer with the number of the remark that makes the same point; with -1 if none does.", F.coalesce(severity, F.lit("unrated")), golden, listed)
+
+
+def _asked(judge: Judge) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def one(prompt: str | None) -> int | None:
+        try:
+            return None if prompt is None else judge(prompt)
+        except Exception:  # noqa: BLE001  whatever keeps a judge from answering, nothing is matched
+            return None
+
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in prompts:
+            yield pd.Series([one(p) for p in part], dtype="Int64")
+
+    return F.pandas_udf(run, "long", F.PandasUDFType.SCALAR_ITER)
+
+
 def judged(known: DataFrame, said: DataFrame, judge: Judge) -> DataFrame:
     """url, tool, golden, matched, comments, matched_comments of each tool's review of a pull request.
 
-    The judge is asked once for each golden comment, in tasks; an answer that names no candidate, or an
-    exception, is no match. Without candidates it isn't asked.
+    A row for each expected remark, spread over all tasks, so reviews with many are no slower than others.
+    The judge sees those with candidates; an answer that names no candidate, or an exception, is no match.
     """
-    pairs = known.select("url", "goldens").join(said, "url")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for url, tool, goldens, comments in zip(pdf["url"], pdf["tool"], pdf["goldens"], pdf["comments"], strict=True):
-                listing = "\n".join(f"[{i}] {c}" for i, c in enumerate(comments))
-                hits = []
-                for g in goldens if len(comments) else ():
-                    try:
-                        hit = judge(f"GOLDEN ({g['severity'] or '?'}):\n{g['comment']}\n\nCANDIDATES:\n{listing}\n\nWhich candidate says the same? Give its number, or -1.")
-                    except Exception:  # noqa: BLE001  a judge that fails has matched nothing
-                        continue
-                    hits += [hit] if isinstance(hit, int) and 0 <= hit < len(comments) else []
-                rows.append((url, tool, len(goldens), len(hits), len(comments), len(set(hits))))
-            yield pd.DataFrame(rows, columns=["url", "tool", "golden", "matched", "comments", "matched_comments"])
-
-    return pairs.select("url", "tool", "goldens", "comments").mapInPandas(run, "url string, tool string, golden long, matched long, comments long, matched_comments long")
+    rows = known.select("url", F.posexplode_outer("goldens").alias("place", "g")).join(said, "url")
+    prompt = F.when(F.col("g").isNotNull() & (F.size("comments") > 0), question(F.col("g.comment"), F.col("g.severity"), F.col("comments")))
+    answers = rows.withColumn("prompt", prompt).repartition("url", "tool", "place").withColumn("said", _asked(judge)("prompt"))
+    hit = F.when(F.col("said").between(0, F.size("comments") - 1), F.col("said"))
+    return answers.groupBy("url", "tool").agg(
+        F.count("g").alias("golden"), F.count(hit).alias("matched"), F.max(F.size("comments")).cast("long").alias("comments"), F.count_distinct(hit).alias("matched_comments")
+    )
 
 
 def totals(scores: DataFrame) -> DataFrame:

@@ -68,6 +68,7 @@ class Index:
     dropped: DataFrame
     old_symbols: DataFrame
     old_definitions: DataFrame
+    old_files: DataFrame
     diffs: DataFrame
     keep: Callable[[DataFrame], DataFrame]
 
@@ -91,7 +92,7 @@ def build_index(old: DataFrame, new: DataFrame, diffs: DataFrame | None = None,
     calls = P.table_of(parsed, "calls")
     edges = L.hierarchy(symbols, imports)
     linked, dropped = L.link(calls, symbols, imports, edges)
-    return Index(files, parsed, symbols, calls, P.table_of(parsed, "reads"), P.table_of(parsed, "shapes"), P.table_of(parsed, "definitions"), edges, keep(linked), dropped, L.symbols_with_names(P.table_of(parsed_old, "symbols")), P.table_of(parsed_old, "definitions"), diffs, keep)
+    return Index(files, parsed, symbols, calls, P.table_of(parsed, "reads"), P.table_of(parsed, "shapes"), P.table_of(parsed, "definitions"), edges, keep(linked), dropped, L.symbols_with_names(P.table_of(parsed_old, "symbols")), P.table_of(parsed_old, "definitions"), before.select("repo", "path", "src"), diffs, keep)
 
 
 def touched_symbols(ix: Index) -> DataFrame:

@@ -34,11 +34,11 @@ def _param_changes(old: Column, new: Column) -> Column:
     """array<struct<text, breaking>>: removed parameters, then added ones, then changed ones, by position."""
     pair = lambda text, breaking: F.struct(text.alias("text"), breaking.alias("breaking"))
     old_names, new_names = _names(old), _names(new)
-    removed = F.transform(F.filter(old, lambda p: ~F.array_contains(new_names, p["name"])), lambda p: pair(F.concat(F.lit("parameter removed: "), p["name"]), F.lit(True)))
+    removed = F.transform(F.filter(old, lambda p: ~F.array_contains(new_names, p["name"])), lambda p: pair(F.concat(F.lit("takes no longer: "), p["name"]), F.lit(True)))
     added = F.transform(
         F.filter(new, lambda p: ~F.array_contains(old_names, p["name"])),
-        lambda p: F.when(p["has_default"] | p["kind"].isin("vararg", "kwarg"), pair(F.concat(F.lit("optional parameter added: "), p["name"]), F.lit(False))).otherwise(
-            pair(F.concat(F.lit("REQUIRED parameter added: "), p["name"]), F.lit(True))
+        lambda p: F.when(p["has_default"] | p["kind"].isin("vararg", "kwarg"), pair(F.concat(F.lit("takes if given: "), p["name"]), F.lit(False))).otherwise(
+            pair(F.concat(F.lit("must now be given: "), p["name"]), F.lit(True))
         ),
     )
 
@@ -106,7 +106,7 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
         *keys,
         kind.alias("kind"),
         F.when(o.isNull(), False).when(n.isNull(), True).when(contract, breaking | gen).otherwise(gen).alias("breaking"),
-        F.when(o.isNull(), F.array(F.lit("new definition"))).when(n.isNull(), F.array(F.lit("definition removed or renamed"))).when(F.size(details) > 0, details).when(contract, F.array(F.lit("signature text changed"))).otherwise(empty).alias("details"),
+        F.when(o.isNull(), F.array(F.lit("new definition"))).when(n.isNull(), F.array(F.lit("nothing of this name is left"))).when(F.size(details) > 0, details).when(contract, F.array(F.lit("the signature is written differently"))).otherwise(empty).alias("details"),
         F.when(o.isNull() | n.isNull(), empty).otherwise(behaviour).alias("behavior"),
         F.coalesce(toggled & n["is_async"], F.lit(False)).alias("went_async"),
         o["signature"].alias("old_signature"),

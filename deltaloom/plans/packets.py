@@ -50,14 +50,16 @@ def _units(ix: C.Index, cfg: Config) -> DataFrame:
     changed = C.changed_symbols(ix).drop("status").join(d, ["repo", "path"]).join(src, ["repo", "path"])
     whole = F.col("status") == "F"
     own_lines = F.filter("new_lines", lambda x: x.between(F.col("start_lineno"), F.col("end_lineno")))
+    was = ix.old_files.select("repo", "path", S.split_lines(F.col("src")).alias("old_lines_of"))
     old_src = ix.old_definitions.select("repo", "path", "qualname", F.col("start_lineno").alias("o_start"), F.col("end_lineno").alias("o_end"))
-    symbol = changed.join(old_src, ["repo", "path", "qualname"], "left").withColumn("kind", F.when(whole, "full_review").otherwise(F.col("kind"))).withColumn("breaking", F.col("breaking") & ~whole)
+    symbol = changed.join(old_src, ["repo", "path", "qualname"], "left").join(was, ["repo", "path"], "left").withColumn("kind", F.when(whole, "full_review").otherwise(F.col("kind"))).withColumn("breaking", F.col("breaking") & ~whole)
     symbol = made(
         symbol.withColumn("unit", F.lit("symbol")),
         diff_text=_hunks_for(F.col("hunks"), own_lines, F.col("status")),
         new_source=S.numbered_slice(F.col("lines"), F.col("start_lineno"), F.col("end_lineno"), cfg.max_symbol_lines),
+        old_source=F.when(F.size("behavior") > 0, S.head_slice(F.col("old_lines_of"), F.col("o_start"), F.col("o_end"), cfg.max_symbol_lines)),
     )
-    gone = C.removed_units(ix).withColumnRenamed("kind", "symbol_kind").join(d, ["repo", "path"])
+    gone = C.removed_units(ix).withColumnRenamed("kind", "symbol_kind").join(d, ["repo", "path"]).join(was, ["repo", "path"], "left")
     removed = made(
         gone.withColumn("unit", F.lit("removed")),
         kind=F.lit("removed"),
@@ -66,6 +68,7 @@ def _units(ix: C.Index, cfg: Config) -> DataFrame:
         old_signature=F.col("signature"),
         diff_text=_hunk_text(F.col("hunks")),
         new_source=F.lit(""),
+        old_source=S.numbered_slice(F.col("old_lines_of"), F.col("start_lineno"), F.col("end_lineno"), cfg.max_symbol_lines),
     )
     lost = D.lost_fields(ix.old_definitions, ix.definitions).groupBy("repo", "path", "qualname").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "field"))), lambda x: x["field"]).alias("removed_fields"))
     classes = first_wins(ix.symbols.filter("kind = 'class'"), ["repo", "path", "qualname"], ["ord"]).withColumnRenamed("kind", "symbol_kind")
@@ -98,8 +101,8 @@ def _units(ix: C.Index, cfg: Config) -> DataFrame:
         new_source=window,
         notes=F.array(F.lit("Module level: mind import cycles, effects at import, and constants that others read.")),
     )
-    was = ix.old_symbols.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("parent").isNull() & (F.col("kind") != "class"), F.struct("ord", "signature")))), lambda x: F.concat(F.lit("lost: "), x["signature"])), 1, 10).alias("tops"))
-    deleted = d.filter("status = 'D'").join(was, ["repo", "path"], "left").withColumn("tops", F.coalesce("tops", empty))
+    had = ix.old_symbols.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("parent").isNull() & (F.col("kind") != "class"), F.struct("ord", "signature")))), lambda x: F.concat(F.lit("lost: "), x["signature"])), 1, 10).alias("tops"))
+    deleted = d.filter("status = 'D'").join(had, ["repo", "path"], "left").withColumn("tops", F.coalesce("tops", empty))
     file = made(
         deleted.withColumn("unit", F.lit("file")).withColumn("qualname", F.lit("")),
         kind=F.lit("removed"),
@@ -150,7 +153,7 @@ def build(ix: C.Index, cfg: Config | None = None, commits: DataFrame | None = No
     units = ix.keep(_units(ix, cfg))
     sites = ix.keep(_sites(ix, units))
     totals = sites.groupBy(*ID).agg(F.count(F.lit(1)).alias("total_callers"))
-    contract = F.col("kind").isin("removed", "signature_changed") | (F.size("behavior") > 0)
+    contract = D.is_contract_change()
     test = S.is_test_path(F.col("s_path"))
     # Tests are left out before the ranking, or they would take places.
     shown = sites if cfg.include_tests else sites.filter((F.col("unit") != "symbol") | ~test)
@@ -181,6 +184,10 @@ def build(ix: C.Index, cfg: Config | None = None, commits: DataFrame | None = No
     for name, kind in (("callers", listed.schema["callers"]), ("callees", callees.schema["callees"]), ("overrides", over.schema["overrides"])):
         out = out.withColumn(name, F.coalesce(name, F.array().cast(kind.dataType)))
     out = out.withColumn("notes", F.when((F.size("overrides") > 0) & contract, F.array_append("notes", F.lit("Subclasses override this method: they usually have to change too."))).otherwise(F.col("notes")))
+    # Of something removed: sites that were bound to it are broken; by its name alone they may mean another.
+    sure = sites.filter("unit = 'removed'").join(units.select(*ID, "fqname"), ID).filter("target = fqname").select(*ID).distinct().withColumn("_sure", F.lit(True))
+    gone = F.when(F.col("_sure"), "It is gone or has another name: the sites below were bound to it, so they fail.").otherwise("It is gone or has another name: the sites below only share its name; look at their imports before calling one broken.")
+    out = out.join(sure, ID, "left").withColumn("notes", F.when(F.col("unit") == "removed", F.array_append("notes", gone)).otherwise(F.col("notes"))).drop("_sure")
     if cfg.co_change and commits is not None:
         out = _with_companions(out, ix, commits, contract)
     return _ordered(_packed(out, cfg.unit_budget), ix)
@@ -204,8 +211,10 @@ def _packed(units: DataFrame, budget: int) -> DataFrame:
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + cost(x))
     room = F.lit(budget) - F.col("_base")
     units = units.withColumn("_base", base).withColumn("_callees", F.greatest(F.lit(0), F.least(F.size("callees").cast("bigint"), F.floor((room - total(F.col("callers"))) / CALLEE_COST))))
-    running = F.transform(F.sequence(F.lit(1), F.size("callers")), lambda i: total(F.slice("callers", 1, i)))
-    fits = F.when(F.size("callers") > 0, F.size(F.filter(running, lambda x: x + F.col("_callees") * CALLEE_COST <= room))).otherwise(0)
+    # One pass carries the sum and how many fit: costs are positive, so what fits is the front.
+    left = room - F.col("_callees") * CALLEE_COST
+    carry = lambda a, x: F.struct((a["sum"] + cost(x)).alias("sum"), (a["n"] + (a["sum"] + cost(x) <= left).cast("int")).alias("n"))
+    fits = F.aggregate("callers", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n")), carry, lambda a: a["n"])
     units = units.withColumn("_kept", F.when(F.col("_callees") > 0, F.size("callers")).otherwise(fits))
     units = units.withColumn("callers", F.slice("callers", 1, F.col("_kept"))).withColumn("callees", F.slice("callees", 1, F.col("_callees").cast("int")))
     direct = F.size(F.filter("callers", lambda c: c["hop"] >= 1))
@@ -224,7 +233,7 @@ def _packed(units: DataFrame, budget: int) -> DataFrame:
 def _ordered(units: DataFrame, ix: C.Index) -> DataFrame:
     """place 1.. of each repository: breaking, contract changes, many callers, long diffs first; in a review of
     whole files by centrality."""
-    contract = F.col("kind").isin("removed", "signature_changed") | (F.size("behavior") > 0)
+    contract = D.is_contract_change()
     whole = units.groupBy("repo").agg(F.min((F.col("status") == "F").cast("int")).alias("_whole"))
     edges = ix.linked.select(F.concat_ws("\x00", "repo", F.regexp_replace("caller", r"\.<module>$", "")).alias("src"), F.concat_ws("\x00", "repo", "callee").alias("dst"))
     out = units.join(whole, "repo").withColumn("_node", F.concat_ws("\x00", "repo", "fqname"))

@@ -96,38 +96,38 @@ def replay(rows):
     return [core.post(*row) for row in rows]
 """),
     # Two modules change at once: a keyword has a new name, and a parameter goes by place only, without its default.
-    "mail_options": Scenario.of("""
-== mail/__init__.py
-== mail/smtp.py
-def send(to, body, *, retries=2):
-    return to, body, retries
-=> mail/smtp.py
-def send(to, body, *, attempts=2):
-    return to, body, attempts
-== mail/page.py
+    "map_sheets": Scenario.of("""
+== atlas/__init__.py
+== atlas/raster.py
+def tile(zoom, image, *, margin=2):
+    return zoom, image, margin
+=> atlas/raster.py
+def tile(zoom, image, *, padding=2):
+    return zoom, image, padding
+== atlas/page.py
 PAGES = {}
 
 
 def render(template, values=None):
     return PAGES[template], values
-=> mail/page.py
+=> atlas/page.py
 PAGES = {}
 
 
 def render(template, values, /):
     return PAGES[template], values
-== mail/clerk.py
-from mail.page import render
-from mail.smtp import send
-
-
-def remind(users, **options):
-    for user in users:
-        text = render("due", values=user)  #! high values
-        send(user, text, retries=1)  #! high retries
-        late = render("late")  #! high values
-        send(user, late)
-        send(user, late, **options)
+== atlas/sheets.py
+from atlas.page import render
+from atlas.raster import tile
+
+
+def print_all(places, **options):
+    for spot in places:
+        image = render("legend", values=spot)  #! high values
+        tile(spot, image, margin=1)  #! high margin
+        frame = render("border")  #! high values
+        tile(spot, frame)
+        tile(spot, frame, **options)
 """),
     # A method asks for more: its callers through instances and subclasses, and an override that stays behind.
     "probe_family": Scenario.of("""

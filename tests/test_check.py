@@ -40,9 +40,15 @@ def test_packets_and_review(spark, index, found):
     p = stage(packets.with_prompts(packets.build(index, Config(max_callers=1)), found))
     rows = {(r.repo, r.unit, r.qualname): r for r in p.collect()}
     post = rows["ledger_posting", "symbol", "post"]
-    assert (post.total_callers, post.dropped_callers, len(post.callers)) == (4, 3, 1) and "REQUIRED parameter added: currency" in post.prompt and "ALREADY PROVEN" in post.prompt
+    assert (post.total_callers, post.dropped_callers, len(post.callers)) == (4, 3, 1) and "must now be given: currency" in post.prompt and "ALREADY PROVEN" in post.prompt
     assert rows["ledger_posting", "removed", "close_month"].callers[0]["path"] == "ledger/books.py"
     assert rows["order_fields", "field", "Order"].removed_fields == ["discount"]
+    # Old bodies: where behaviour changed, and of what is gone.
+    gone = rows["ledger_posting", "removed", "close_month"]
+    assert "def close_month" in gone.old_source and "## BEFORE" in gone.prompt and any("were bound to it" in n for n in gone.notes)
+    behaved = [r for r in rows.values() if r.unit == "symbol" and len(r.behavior)]
+    assert behaved and all(r.old_source and f"def {r.qualname.rpartition('.')[2]}" in r.old_source and "## BEFORE" in r.prompt for r in behaved if r.kind != "full_review")
+    assert all(r.old_source is None for r in rows.values() if r.unit == "symbol" and not len(r.behavior))
     assert all(sorted(r.place for r in rows.values() if r.repo == repo) == list(range(1, 1 + sum(r.repo == repo for r in rows.values()))) for repo in scenarios.SCENARIOS)
 
     def reviewer(prompt):

@@ -171,6 +171,25 @@ def test_endpoint(served):
         endpoint.Endpoint(served, "z")("x")
 
 
+def test_answers_are_read_without_a_server():
+    """Recorded answers, whole and with parts missing."""
+    assert endpoint.review_in({"message": {"content": "x"}, "prompt_eval_count": 10, "eval_count": 2, "total_duration": 1_999_999}, 4096) == {"content": "x", "prompt_tokens": 10, "eval_tokens": 2, "duration_ms": 1, "truncated": False}
+    assert endpoint.review_in({}, 4) == {"content": "", "prompt_tokens": 0, "eval_tokens": 0, "duration_ms": 0, "truncated": True}
+    assert endpoint.length_in({"model_info": {"a.context_length": 9, "b.context_length": "7", "b.other": 1}}) == 7 and endpoint.length_in({}) is None
+    assert endpoint.names_in({"models": [{"name": "b"}, {"name": "a"}]}) == ["a", "b"] and endpoint.names_in({}) == []
+    assert [endpoint.standing(w, ["m:1", "n:1"])[0] for w in ("m:1", "m:2", "m", "o", "")] == [True, True, True, False, False]
+
+
+def test_failures_have_words():
+    from urllib.error import HTTPError, URLError
+
+    told = lambda e: endpoint.explained("http://h", 3, e)
+    away = [told(URLError("refused")), told(ConnectionResetError("reset"))]
+    assert all(isinstance(e, endpoint.EndpointAway) for e in away)
+    others = [told(HTTPError("http://h", 500, "broken", {}, None)), told(TimeoutError()), told(URLError(TimeoutError())), told(ValueError("no"))]
+    assert not any(isinstance(e, endpoint.EndpointAway) for e in others) and ["500" in str(others[0]), "3 s" in str(others[1]), "3 s" in str(others[2]), "JSON" in str(others[3])] == [True] * 4
+
+
 def test_command_line(spark, repo, served, capsys, monkeypatch):
     (repo / "shop/p.py").write_text("def price(x, y, z, t):\n    return x\n")
     (repo / "shop/new.py").write_text("def fresh():\n    pass\n")
