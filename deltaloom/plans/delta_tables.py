@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.functions.scalars import split_lines
 from deltaloom.operators.ranking import first_wins
 from deltaloom.operators.staging import stage
 from deltaloom.plans import delta, link, linked_tables
+from deltaloom.sources import diffs
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,7 +64,7 @@ with {_SIDE.format(side="o", years="< 1997", order="l_linenumber, l_suppkey")},
 {_SIDE.format(side="n", years=">= 1997", order="l_suppkey, l_linenumber")},
 pairs as (select coalesce(o.repo, n.repo) as repo, coalesce(o.path, n.path) as path, coalesce(o.qualname, n.qualname) as qualname, o, n,
     not coalesce(o.is_class, false) and not coalesce(n.is_class, false) as f from o full join n on o.repo = n.repo and o.path = n.path and o.qualname = n.qualname),
-named as (select *, list_transform(o.params, lambda p: p.name) as o_names, list_transform(n.params, lambda p: p.name) as n_names from pairs where o is not null and n is not null),
+named as (select *, list_transform(o.params, lambda p: p.name) as o_names, list_transform(n.params, lambda p: p.name) as n_names from pairs where o.qualname is not null and n.qualname is not null),
 changes as (select *,
   case when f then list_transform(list_filter(o.params, lambda p: not list_contains(n_names, p.name)), lambda p: {{'text': 'takes no longer: ' || p.name, 'breaking': true}}) else [] end as gone,
   case when f then list_transform(list_filter(n.params, lambda p: not list_contains(o_names, p.name)), lambda p: {{'text': case when p.has then 'takes if given: ' else 'must now be given: ' end || p.name, 'breaking': not p.has}}) else [] end as come,
@@ -89,7 +91,7 @@ select repo, path, qualname, case when len(params) + len(rest) > 0 or o_names <>
   len(list_filter(params, lambda x: x.breaking)) > 0 or moved or toggled or decorated and list_contains(list_concat(o.decorators, n.decorators), 'property') or gen as breaking,
   case when len(params) + len(rest) > 0 then array_to_string(list_concat(list_transform(params, lambda x: x.text), rest), '; ') when o_names <> n_names then 'the signature is written differently' else '' end as details,
   array_to_string(behavior, '; ') as behavior, toggled and n.is_async as went_async from said
-union all select repo, path, qualname, case when o is null then 'added' else 'removed' end, o is not null, case when o is null then 'new definition' else 'nothing of this name is left' end, '', false from pairs where o is null or n is null
+union all select repo, path, qualname, case when o.qualname is null then 'added' else 'removed' end, o.qualname is not null, case when o.qualname is null then 'new definition' else 'nothing of this name is left' end, '', false from pairs where o.qualname is null or n.qualname is null
 """
 
 
@@ -118,5 +120,29 @@ def index_statistics(spark, d):
     return link.statistics(parsed, symbols, calls, stage(linked, "linked"), dropped)
 
 
-QUERIES = {"contract_delta": contract_delta, "index_statistics": index_statistics}
-ORACLES = {"contract_delta": _DELTA_SQL, "index_statistics": _STATISTICS_SQL}
+#: Lines of a hunk, and how they are marked in turn.
+_HUNK_LINES, _MARKS = 40, " +-"
+_TOUCHED_SQL = r"""
+with raw as (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') as lines from documents where text is not null),
+kept as (select doc_id, case when len(lines) > 0 and lines[len(lines)] = '' then len(lines) - 1 else len(lines) end as n from raw),
+places as (select distinct doc_id, unnest(range(0, n)) as i from kept),
+split as (select doc_id, i // 40 as hunk, i % 40 as k from places)
+select doc_id, hunk::int as hunk_no, case k % 3 when 1 then 'new' else 'old' end as side,
+  (case k % 3 when 1 then 1000 * hunk + 20 + 2 * (k // 3) + 1 else 1000 * hunk + 10 + 2 * (k // 3) + 1 end)::int as line
+from split where k % 3 in (1, 2)
+"""
+
+
+def diff_touched(spark, d):
+    """Touched lines of both sides, numbered by windows over the rows of diffs whose bodies are whole documents."""
+    docs = _t(spark, d, "documents").filter("text is not null").select("doc_id", split_lines(F.col("text")).alias("lines")).dropDuplicates(["doc_id"])
+    marked = F.transform("lines", lambda x, i: F.concat(F.when(i % _HUNK_LINES == 0, F.format_string("@@ -%d,40 +%d,40 @@\n", *((i / _HUNK_LINES).cast("int") * 1000 + start for start in (10, 20)))).otherwise(""), F.substring(F.lit(_MARKS), i % _HUNK_LINES % 3 + 1, F.lit(1)), x))
+    text = F.concat(F.format_string("diff --git a/%d b/%d\n--- a/%d\n+++ b/%d\n", *["doc_id"] * 4), F.array_join(marked, "\n"))
+    rows = diffs.diff_lines(docs.select(F.col("doc_id").cast("string").alias("repo"), text.alias("text")))
+    mark = F.substring("line", 1, 1)
+    side = F.when((mark == "+") & F.col("new_line").isNotNull(), "new").when((mark == "-") & F.col("old_line").isNotNull(), "old")
+    return rows.select(F.col("repo").cast("long").alias("doc_id"), "hunk_no", side.alias("side"), F.when(side == "new", F.col("new_line")).otherwise(F.col("old_line")).alias("line")).filter("side is not null")
+
+
+QUERIES = {f.__name__: f for f in (contract_delta, index_statistics, diff_touched)}
+ORACLES = {"contract_delta": _DELTA_SQL, "index_statistics": _STATISTICS_SQL, "diff_touched": _TOUCHED_SQL}
