@@ -144,3 +144,17 @@ def test_odd_tables(spark):
     assert C.repair_report(long, long).first().audit == "KK"
     named = spark.createDataFrame([("a=b", 0, "user", "Hi."), (None, 0, "user", "Hi."), ("", 0, "user", "Hi.")], "conv_id string, turn long, role string, text string")
     assert sorted(map(str, (r.conv_id for r in C.repair_report(named, named).collect()))) == ["", "None", "a=b"]
+
+
+def test_registered_query_and_its_sql(spark):
+    import duckdb
+
+    from deltaloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
+    got, want = queries.op12_repair(spark, sf).toArrow(), con.sql(queries.ORACLES["op12_repair"]).to_arrow_table()
+    assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in want.schema}
+    key = lambda r: r["conv_id"]
+    assert sorted(got.to_pylist(), key=key) == sorted(want.select(got.column_names).to_pylist(), key=key)
