@@ -28,7 +28,7 @@ from deltaloom.llm.range_coder import BLOCK_IDS, CorruptBlock, decode, encode
 
 MAGIC = b"DLSEG2"
 #: Documents that are tokenised at once.
-TOKENIZED_ROWS = 4096
+TOKENIZED_ROWS = 1024
 _FILES = "task int, segment int, start_in_task long, n_tokens long, data binary"
 
 
