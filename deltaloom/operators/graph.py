@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators.staging import stage
 
-#: Steps of an iteration that are one job and one written table.
-STEPS = 5
+#: Steps of an iteration, and levels of a closure, that are one job and one written table.
+STEPS, LEVELS = 5, 3
 
 
-def descendants(starts: DataFrame, edges: DataFrame, start: str = "start", child: str = "child", parent: str = "parent") -> DataFrame:
+def descendants(starts: DataFrame, edges: DataFrame, start: str = "start", child: str = "child", parent: str = "parent", stops: DataFrame | None = None) -> DataFrame:
     """start, node, depth: everything below each start, over any number of levels, each node once at its least depth.
 
-    One join and one anti join a level; the frontier is written, so plans don't grow with depth.
+    stops (start, node) end a walk: they are reached, but not what is only below them. Cycles end where they
+    meet what is known. LEVELS levels are one job and one written table, so plans don't grow with
+    depth, and a chain of n levels takes n / LEVELS jobs. Distances from the starts only are kept: a table
+    of all distances, as doubling needs, grows with the square of a chain.
     """
     down = edges.select(F.col(parent).alias("_up"), F.col(child).alias("_down")).distinct()
     frontier = stage(starts.select(F.col(start).alias("start"), F.col(start).alias("node")).distinct(), "frontier")
-    seen, depth, levels = frontier, 0, []
+    seen, depth, out = frontier, 0, None
     while True:
-        depth += 1
-        found = frontier.join(down, F.col("node") == F.col("_up")).select("start", F.col("_down").alias("node")).distinct()
-        found = stage(found.join(seen, ["start", "node"], "left_anti"), "frontier")
-        if found.isEmpty():
-            break
-        levels.append(found.withColumn("depth", F.lit(depth)))
-        seen, frontier = seen.unionAll(found), found
-    if not levels:
-        return frontier.limit(0).withColumn("depth", F.lit(0))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionAll(level)
-    return out
+        front, known, new = frontier, seen, None
+        for _ in range(LEVELS):
+            depth += 1
+            open_ = front if stops is None else front.join(stops.select("start", "node"), ["start", "node"], "left_anti")
+            front = open_.join(down, F.col("node") == F.col("_up")).select("start", F.col("_down").alias("node")).distinct().join(known, ["start", "node"], "left_anti")
+            known = known.unionAll(front)
+            level = front.withColumn("depth", F.lit(depth))
+            new = level if new is None else new.unionAll(level)
+        new = stage(new, "levels")
+        out = new if out is None else out.unionAll(new)
+        frontier = new.filter(F.col("depth") == depth).select("start", "node")
+        if frontier.isEmpty():
+            return out
+        seen = seen.unionAll(new.select("start", "node"))
 
 
 def ancestors(starts: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:

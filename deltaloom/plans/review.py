@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from deltaloom.functions.model_output import normalized, verdict
 from deltaloom.functions.scalars import severity_rank
 from deltaloom.operators.merge import without_neighbours
-from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.ranking import first_wins, top_k
 from deltaloom.operators.staging import stage
 
 #: prompt -> dict with content, and prompt_tokens, eval_tokens, duration_ms, truncated where known.
 Reviewer = Callable[[str], dict]
+#: Errors of a reviewer that a report lists.
+ERRORS = 5
 _CHAT = "content string, prompt_tokens long, eval_tokens long, duration_ms long, truncated boolean, error string"
 
 
@@ -76,13 +78,16 @@ def review(packets: DataFrame, reviewer: Reviewer, proven: DataFrame | None = No
 
 
 def summary(findings: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """One row a repository: findings, worst severity, and the reviewer's totals and errors."""
+    """One row a repository: findings, worst severity, and the reviewer's totals, how often it failed, and its first ERRORS errors by symbol."""
     rank = severity_rank(F.col("severity"))
     out = findings.groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.max_by("severity", rank).alias("worst_severity"))
     if calls is None:
         return out
-    totals = calls.groupBy("repo").agg(*(F.sum(c).alias(c) for c in ("prompt_tokens", "eval_tokens", "duration_ms")), F.count_if("truncated").alias("truncated_units"), F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_list(F.concat_ws(": ", "qualname", F.col("error")))).alias("_all"), F.collect_list("error").alias("errors"))
-    return totals.drop("_all").join(out, "repo", "full_outer").na.fill(0, ["findings"])
+    totals = calls.groupBy("repo").agg(*(F.sum(c).alias(c) for c in ("prompt_tokens", "eval_tokens", "duration_ms")), F.count_if("truncated").alias("truncated_units"), F.count(F.lit(1)).alias("units"), F.count("error").alias("failed"))
+    shown = top_k(calls.filter("error is not null"), ["repo"], [F.asc("path"), F.asc("qualname"), F.asc("error")], ERRORS)
+    shown = shown.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "error"))), lambda x: x["error"]).alias("errors"))
+    told = totals.join(shown, "repo", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    return told.join(out, "repo", "full_outer").na.fill(0, ["findings"])
 
 
 def gate(findings: DataFrame, fail_on: str = "high") -> int:

@@ -65,6 +65,8 @@ def test_packets_and_review(spark, index, found):
     assert sum(r.origin == "static" for r in rows) == 2
     total = {r.repo: r for r in review.summary(said, calls).collect()}
     assert total["pool_limits"].worst_severity == "high" and total["feed_loading"].errors and all("no answer" in e for e in total["feed_loading"].errors)
+    many = calls.withColumn("error", F.lit("no answer")).crossJoin(spark.range(7))
+    assert {r.repo: (len(r.errors), r.failed) for r in review.summary(said, many).collect()} == {r.repo: (5, r.units * 7) for r in total.values()}
     assert review.gate(said) == 1 and review.gate(said.filter("origin = 'model'")) == 0
     assert "acquire" in reports.findings_text(said) and "## Review" in reports.comment_markdown(said).first().body
     assert reports.packets_json(one).count() == one.count() and "callers" in reports.packets_text(one)

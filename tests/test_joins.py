@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from deltaloom.operators import evidence, intervals, matching
+from deltaloom.operators import evidence, graph, intervals, matching
 from deltaloom.plans import link
 
 
@@ -107,3 +107,23 @@ def test_imports_lead_to_modules(spark):
     files = spark.createDataFrame([("r", "a", 1), ("r", "a.b", 2), ("r", "a.b.c", 3), ("q", "x", 4)], "repo string, module string, n int")
     imports = spark.createDataFrame([("r", "u.py", t) for t in ("a.b.c.f", "a.b", "a.z", "os.path", "ab")], "repo string, path string, target string")
     assert sorted((r.target, r.module) for r in link.depends(imports, files).collect()) == [("a.b", "a.b"), ("a.b.c.f", "a.b.c"), ("a.z", "a")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_closures_with_cycles_and_stops(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(i + 100, i + 101) for i in range(11)]
+    starts, stops = [0, 1, 2, 100, 999], {(0, 5), (1, 7), (100, 107)}
+    want = {}
+    for with_stops in (False, True):
+        for s in starts:
+            level, seen, depth = {s}, {s}, 0
+            while level:
+                depth += 1
+                level = {c for p, c in edges if p in level and not (with_stops and (s, p) in stops)} - seen
+                seen |= level
+                want.update({(with_stops, s, n): depth for n in level})
+    table = spark.createDataFrame(edges, "parent int, child int")
+    begin, end = spark.createDataFrame([(s,) for s in starts], "start int"), spark.createDataFrame(sorted(stops), "start int, node int")
+    got = {(bool(e), r.start, r.node): r.depth for e in (None, end) for r in graph.descendants(begin, table, stops=e).collect()}
+    assert got == want
