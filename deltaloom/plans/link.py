@@ -15,6 +15,7 @@ from deltaloom.functions.scalars import owner_name, short_name
 from deltaloom.operators.evidence import classified, import_evidence, longest_prefix, suffix_matches
 from deltaloom.operators.graph import ancestors
 from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.staging import stage
 
 # Names that say nothing about what is called, and bases outside of any repository.
 PROTOCOL_METHODS = """
@@ -102,8 +103,10 @@ def link(calls: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFr
     exact = calls.join(table.select("repo", F.col("fqname").alias("target")), ["repo", "target"], "left_semi")
     rest = calls.join(table.select("repo", F.col("fqname").alias("target")), ["repo", "target"], "left_anti")
     up = inherited(rest, table, edges)
+    # Written, as many joins below start from it; so are hits and their outcomes.
+    up = stage(up, "inherited")
     through = rest.join(up, ["repo", "target"])
-    rest = rest.join(up.select("repo", "target"), ["repo", "target"], "left_anti").withColumn("short", short_name(F.col("target")))
+    rest = stage(rest.join(up.select("repo", "target"), ["repo", "target"], "left_anti").withColumn("short", short_name(F.col("target"))), "open-calls")
     builtin = (F.col("resolution") == "name") & F.col("short").isin(*BUILTINS)
     protocol = F.col("resolution").isin("attr", "typed") & F.col("short").isin(*PROTOCOL_METHODS)
     silent = rest.filter(builtin | protocol)
@@ -111,11 +114,11 @@ def link(calls: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFr
 
     methods = symbols.filter(F.instr("qualname", ".") > 0).select("repo", "qualname", "fqname")
     ends = suffix_matches(open_, methods, ["repo"], "target", "qualname")
-    tails = ends.groupBy("repo", "target").agg(F.count(F.lit(1)).alias("n"), F.min("fqname").alias("callee")).filter("n = 1").select("repo", "target", "callee")
+    tails = stage(ends.groupBy("repo", "target").agg(F.count(F.lit(1)).alias("n"), F.min("fqname").alias("callee")).filter("n = 1").select("repo", "target", "callee"), "tails")
     by_tail = open_.join(tails, ["repo", "target"])
     free = open_.join(tails, ["repo", "target"], "left_anti")
     ask = ["repo", "path", "short"]
-    told = classified(importable(free.select(ask).distinct(), symbols, imports), ask)
+    told = stage(classified(importable(free.select(ask).distinct(), symbols, imports), ask), "outcomes")
     single = free.join(told.filter("outcome = 'resolved'").select(*ask, "c_fqname"), ask)
     copies = free.join(told.filter("outcome = 'ambiguous'").select(*ask, "c_fqname"), ask).select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
 
