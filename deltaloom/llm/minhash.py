@@ -20,8 +20,9 @@ What is lost are pairs that share no band at all: (1 - s^ROWS)^BANDS of the pair
 3 in a million at 0.8 and fewer above.
 
 A bucket of more than CHUNK members is dealt to several tasks by a hash of the member; their centres get
-a star of their own, and the members of step 2 go to each of these tasks. Centres with very many links
-are hot keys of the joins that verify them, which adaptive execution splits.
+a star of their own. In step 2 a bucket is dealt anew, so that a task holds CHUNK members and about
+PART_BYTES of bags, and members outside of the main component go to each of its tasks. Centres with very
+many links are hot keys of the joins that verify them, which adaptive execution splits.
 
 A document's node is a 64-bit hash of its words; where two texts have one (told by 64 bits more), they
 get new ones, so only texts that agree in 128 bits count as equal.
@@ -45,8 +46,8 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
 SLOTS = BANDS * ROWS
 #: Members of a bucket that a task takes at once.
 CHUNK = 4096
-#: Shingles of a document that are carried to its buckets in step 2; longer documents are verified by a join.
-CARRIED_SHINGLES = 4096
+#: Bytes of shingle bags that a task of step 2 holds at once; whatever its length, a single bag is held whole.
+PART_BYTES = 32 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -213,9 +214,9 @@ class BagIndex:
     that of either.
     """
 
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray] | None], similar: float) -> None:
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], similar: float) -> None:
         self.similar, self.n = similar, len(bags)
-        some = [(i, b) for i, b in enumerate(bags) if b and len(b[0])]
+        some = [(i, b) for i, b in enumerate(bags) if len(b[0])]
         every = np.concatenate([h for _, (h, _) in some]) if some else np.zeros(0, np.uint64)
         self.known, self.often = np.unique(every, return_counts=True)
         rare = [(i, self._rarest(h, c)) for i, (h, c) in some]
@@ -244,11 +245,10 @@ class BagIndex:
 
 def _rest(similar: float):
     """(band, sub, query, node, component, shingles, counts), sorted: members of a part first, then queries,
-    into (a, b, sure).
+    into the links (a, b).
 
-    Pairs of different components are verified at once, in each bucket that they share, and only links go
-    on (sure); a component that a bucket has linked is not tried again there. Where a bag is too long to
-    be carried, the pair goes on unverified.
+    Candidates of different components are verified in each bucket that they share; a component that a
+    bucket has linked is not tried again there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,22 +266,17 @@ def _rest(similar: float):
                 if (band, sub) != now:
                     now, members, own, root = (band, sub), [], None, {}
                 if not query:
-                    members.append((node, component, shingles, counts))
+                    members.append((node, component, _bag(shingles, counts)))
                     continue
                 if own is None:
-                    bags = [_bag(m[2], m[3]) if m[2] is not None else None for m in members]
-                    own = np.array([m[1] for m in members], np.int64), np.array([b is None for b in bags], bool), BagIndex(bags, similar)
-                bag = _bag(shingles, counts) if shingles is not None else None
-                likely = own[2].candidates(*bag) if bag else True
-                hit = np.flatnonzero((likely | own[1]) & (own[0] != component))
-                for i in hit.tolist():
-                    other, its, theirs, c = members[i]
-                    if bag is None or theirs is None:
-                        found.append((min(node, other), max(node, other), False))
-                    elif top(its) != top(component) and probability_jaccard(*bag, *_bag(theirs, c)) >= similar:
+                    own = np.array([m[1] for m in members], np.int64), BagIndex([m[2] for m in members], similar)
+                bag = _bag(shingles, counts)
+                for i in np.flatnonzero(own[1].candidates(*bag) & (own[0] != component)).tolist():
+                    other, its, theirs = members[i]
+                    if top(its) != top(component) and probability_jaccard(*bag, *theirs) >= similar:
                         root[top(its)] = top(component)
-                        found.append((min(node, other), max(node, other), True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "sure"])
+                        found.append((min(node, other), max(node, other)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * 2)], schema=_PAIR)
 
     return run
 
@@ -371,7 +366,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     unstage(bucketed, shared)
     # Texts of members only. Joins with texts and bags shuffle at every size, so what is measured holds for more.
     found = texts.join(involved.hint("merge"), ["doc_id", "key"]).select("node", "text")
-    bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary"), "bags")
+    bags = stage(found.mapInArrow(_bags, "node long, shingles binary, counts binary").withColumn("size", F.octet_length("shingles") + F.coalesce(F.octet_length("counts"), F.lit(0))), "bags")
 
     stars = stage(members.select("band", "sub", "node", "small").repartition("band", "sub").sortWithinPartitions("band", "sub").mapInArrow(_stars, _STAR), "stars")
     pairs = stars.filter(F.col("b").isNotNull()).select("a", "b")
@@ -387,17 +382,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
     sizes = label.groupBy("band", "component").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     main = stage(main.select("band", F.col("most.component").alias("main")), "mixed")
-    mixed = stage(label.join(main, "band"), "mixed-members")
-    carried = bags.filter(F.length("shingles") <= 8 * CARRIED_SHINGLES).join(mixed.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    mixed = stage(mixed.join(carried, "node", "left"), "mixed-bags")
+    mixed = label.join(main, "band")
+    # Buckets are dealt by members and by bytes of their bags, whatever the length of a text.
+    sizes = bags.select("node", "size").dropDuplicates(["node"]).hint("merge")
+    weights = mixed.join(sizes, "node").groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("parts"))
+    dealt = F.when(F.col("parts") > 1, F.pmod(F.hash("node"), F.col("parts")))
+    mixed = stage(mixed.drop("parts", "sub").join(weights, "band").withColumn("sub", dealt), "mixed-members")
+    carried = bags.join(mixed.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    mixed = stage(mixed.join(carried, "node"), "mixed-bags")
     queries = mixed.filter("component <> main").withColumn("sub", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
     columns = ["band", "sub", "query", "node", "component", "shingles", "counts"]
     both = mixed.withColumn("query", F.lit(False)).select(columns).unionAll(queries.withColumn("query", F.lit(True)).select(columns))
-    more = stage(both.repartition("band", "sub").sortWithinPartitions("band", "sub", "query").mapInArrow(_rest(similar), "a long, b long, sure boolean"), "more")
-    added = more.filter("sure").select("a", "b")
-    open_ = more.filter("not sure").select("a", "b")
-    if open_.limit(1).count():
-        added = stage(added.unionAll(verified(open_, bags, similar)), "more-links")
+    added = stage(both.repartition("band", "sub").sortWithinPartitions("band", "sub", "query").mapInArrow(_rest(similar), "a long, b long"), "more")
     final = first
     if added.limit(1).count():
         # New links lie between components: those are joined, and the first labels follow.
@@ -407,7 +403,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUN
         moved = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
         alone = second.join(first.select(F.col("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
         final = stage(moved.unionAll(alone), "components")
-    unstage(members, label, bags, stars, mixed, more)
+    unstage(members, label, bags, stars, mixed, added)
 
     ids = classes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", F.col("node")).alias("component"))
     least = ids.groupBy("component").agg(F.min("first_id").alias("class_id"))

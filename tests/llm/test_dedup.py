@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def test_index_finds_all_that_are_alike():
     bags = [(h, rng.integers(1, high + 1, len(h)).astype(np.uint32)) for h, high in bags]
     found = 0
     for similar in (0.5, 0.8, 0.9):
-        index = minhash.BagIndex([*bags, None, (np.zeros(0, np.uint64), np.zeros(0, np.uint32))], similar)
+        index = minhash.BagIndex([*bags, (np.zeros(0, np.uint64), np.zeros(0, np.uint32))], similar)
         for h, c in [*bags, (base, np.ones(len(base), np.uint32))]:
             for may, (x, y) in zip(index.candidates(h, c), bags, strict=False):
                 alike = minhash.probability_jaccard(h, c, x, y) >= similar
@@ -188,6 +189,38 @@ def test_index_finds_all_that_are_alike():
     assert sum(index.candidates(*b).sum() for b in bags) == 50
 
 
+def test_long_documents_with_a_common_passage_make_no_pairs(spark, monkeypatch):
+    """600 documents of 5,500 words share 4,000; three of them have a near copy. Only those and a few more are compared."""
+    rng = np.random.default_rng(8)
+    common = np.arange(4000, dtype=np.uint64)
+    own = [np.sort(rng.integers(10_000, 2**60, 1500)).astype(np.uint64) for _ in range(600)]
+    for k in (1, 2, 3):
+        own[k + 300] = np.sort(np.concatenate([own[k][:1400], own[k + 300][:100]]))
+    bags = [np.concatenate([common, o]) for o in own]
+    compared, real = [], minhash.probability_jaccard
+    monkeypatch.setattr(minhash, "probability_jaccard", lambda *x: compared.append(1) or real(*x))
+    rows = [(1, None, query, k, k, b.tobytes(), None) for query in (False, True) for k, b in enumerate(bags)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["band", "sub", "query", "node", "component", "shingles", "counts"])
+    links = {x for out in minhash._rest(0.8)(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert links == {(k, k + 300) for k in (1, 2, 3)} and len(compared) < 300
+
+
+@pytest.mark.parametrize("held", [1 << 30, 200_000])
+def test_long_documents_are_linked_exactly(spark, monkeypatch, held):
+    """Documents of 4,600 words, beyond any length that is treated apart, in parts by members and by bytes."""
+    monkeypatch.setattr(minhash, "PART_BYTES", held)
+    random.seed(12)
+    passage = [f"p{random.randrange(10**6)}" for _ in range(3000)]
+    rows = [(k, " ".join([*passage, *(f"o{k}x{random.randrange(10**6)}" for _ in range(1600))])) for k in range(12)]
+    for k in (2, 5):
+        words = rows[k][1].split()
+        words[77], words[3900] = "changed", "too"
+        rows.append((20 + k, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(k, k) for k in range(12)} | {(22, 2), (25, 5)}
+
+
 def test_one_node_for_two_texts_is_two_nodes(spark, monkeypatch):
     made = minhash._measured
     monkeypatch.setattr(minhash, "_measured", lambda docs: made(docs).withColumn("node", F.col("node") % 2))
