@@ -1,11 +1,9 @@
 """Language identification, words first: known words by their log frequency in each language, unseen
 words by their longest known character n-grams, from ORDERS[0] letters down to one.
 
-Frequencies are counted by tasks over a bounded sample of labelled documents (`max_docs`, or LEAST_DOCS a
-language if that is more); only the most frequent MAX_WORDS words of each language come to the driver.
-The model keeps MAX_WORDS words and MAX_GRAMS n-grams of each order, so what is broadcast has a fixed
-bound for each language; words beyond it are told by their n-grams, like unseen ones. Every language
-that has a label is learnt.
+Frequencies of words and n-grams are counted by tasks over a bounded sample of labelled documents
+(`max_docs`, or LEAST_DOCS a language if that is more). That sample is the only bound: the model keeps
+every word and n-gram of it, as rows of one table, and every language that has a label is learnt.
 """
 
 from __future__ import annotations
@@ -21,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import annotate, listed, one_core, slices, stage
+from deltaloom.llm.common import annotate, listed, one_core, slices, stage, unstage
 
 ORDERS = (5, 4, 3, 2, 1)
-MAX_WORDS, MAX_GRAMS, LEAST_DOCS = 60_000, 40_000, 20
+LEAST_DOCS = 20
 #: Distinct words that a task remembers the scores of.
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,31 +31,40 @@ _SMOOTH = 0.1
 
 @dataclass
 class LanguageModel:
+    """Rows of the tables by word and by n-gram, and log frequencies in each language."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: dict[str, int]
+    gram_table: np.ndarray
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency of the word for each language, or the mean of its n-grams' at the longest known order."""
         own = self.words.get(word)
         if own is not None:
-            return own
-        marked = f"<{word}>"
+            return self.word_table[own]
         for n in ORDERS:
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+            found = [g for x in grams_of(word, n) if (g := self.grams.get(x)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_table[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
-def _log_table(counts: dict[str, Counter], langs: list[str], most: int) -> dict[str, np.ndarray]:
-    total = Counter()
-    for lang in langs:
-        total.update(counts[lang])
-    kept = sorted(total, key=lambda x: (-total[x], x))[:most]
-    sums = np.array([sum(counts[lang].values()) for lang in langs], float)
-    below = np.log(sums + _SMOOTH * max(len(total), 1))
-    return {x: (np.log(np.array([counts[lang][x] for lang in langs], float) + _SMOOTH) - below).astype(np.float32) for x in kept}
+def grams_of(word: str, n: int) -> list[str]:
+    """The n-grams of a word whose ends are marked."""
+    marked = f"<{word}>"
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
+def _log_table(counts: dict[str, Counter], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    row = {x: i for i, x in enumerate(sorted(set().union(*(counts.get(lang, ()) for lang in langs))))}
+    table = np.zeros((len(row), len(langs)))
+    for k, lang in enumerate(langs):
+        own = counts.get(lang, Counter())
+        table[np.fromiter(map(row.__getitem__, own), np.int64, len(own)), k] = np.fromiter(own.values(), float, len(own))
+    below = np.log(table.sum(axis=0) + _SMOOTH * max(len(row), 1))
+    return row, (np.log(table + _SMOOTH) - below).astype(np.float32)
 
 
 def counted(samples: Iterable[tuple[str, str]]) -> dict[str, Counter]:
@@ -68,20 +75,28 @@ def counted(samples: Iterable[tuple[str, str]]) -> dict[str, Counter]:
     return words
 
 
-def fit(words: dict[str, Counter]) -> LanguageModel:
-    """A model from counts of words by language."""
+def counted_grams(words: dict[str, Counter]) -> dict[str, Counter]:
+    """By language, how often each n-gram of every order occurs in counted words."""
+    grams: dict[str, Counter] = {}
+    for lang, own in words.items():
+        into = grams.setdefault(lang, Counter())
+        for w, c in own.items():
+            for n in ORDERS:
+                for g in grams_of(w, n):
+                    into[g] += c
+    return grams
+
+
+def fit(words: dict[str, Counter], grams: dict[str, Counter]) -> LanguageModel:
+    """A model from counts of words and of n-grams by language; orders are normalised apart."""
     langs = sorted(words)
-    grams: dict[str, np.ndarray] = {}
+    rows, tables = {}, [np.zeros((0, len(langs)), np.float32)]
     for n in ORDERS:
-        counts: dict[str, Counter] = {lang: Counter() for lang in langs}
-        for lang in langs:
-            into = counts[lang]
-            for w, c in words[lang].items():
-                marked = f"<{w}>"
-                for i in range(len(marked) - n + 1):
-                    into[marked[i : i + n]] += c
-        grams.update(_log_table(counts, langs, MAX_GRAMS))
-    return LanguageModel(langs, _log_table(words, langs, MAX_WORDS), grams)
+        own, table = _log_table({lang: Counter({g: c for g, c in grams.get(lang, {}).items() if len(g) == n}) for lang in langs}, langs)
+        at = len(rows)
+        rows.update((g, at + i) for g, i in own.items())
+        tables.append(table)
+    return LanguageModel(langs, *_log_table(words, langs), rows, np.concatenate(tables))
 
 
 def sample_labelled(docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -102,24 +117,40 @@ def sample_labelled(docs: DataFrame, max_docs: int, text: str = "text", lang: st
     return stage(once.withColumn("rank", rank).filter(F.col("rank") <= share).select("l", "t"), "labelled-sample")
 
 
-def word_counts(samples: DataFrame) -> dict[str, Counter]:
-    """Counts of the words of sampled texts (l, t), by tasks; at most MAX_WORDS of each language are collected."""
+def sample_counts(samples: DataFrame) -> tuple[dict[str, Counter], dict[str, Counter]]:
+    """Counts of the words and of the n-grams of sampled texts (l, t) by language, by tasks; all of them are
+    collected, as the sample bounds them."""
     schema = pa.schema([("l", pa.string()), ("w", pa.string()), ("c", pa.int64())])
 
+    def batch(found: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(lang, w, c) for lang, own in found.items() for w, c in own.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_core()
         for part in slices(batches):
-            rows = [(lang, w, c) for lang, found in counted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)).items() for w, c in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
-
-    summed = samples.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
-    top = summed.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy(F.desc("c"), "w"))).filter(F.col("rank") <= MAX_WORDS)
-    table = top.select("l", "w", "c").toArrow()
-    out: dict[str, Counter] = {}
-    for lang, w, c in zip(*(listed(x.combine_chunks()) for x in table.columns), strict=True):
-        out.setdefault(lang, Counter())[w] = c
-    for lang in {r["l"] for r in samples.select("l").distinct().collect()} - set(out):
-        out[lang] = Counter()  # texts without a letter still have a language
+            yield batch(counted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_core()
+        for part in batches:
+            words: dict[str, Counter] = {}
+            for lang, w, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                words.setdefault(lang, Counter())[w] += c
+            yield batch(counted_grams(words))
+
+    def gathered(table: DataFrame, langs: Iterable[str]) -> dict[str, Counter]:
+        out = {lang: Counter() for lang in langs}
+        for lang, x, c in zip(*(listed(y.combine_chunks()) for y in table.select("l", "w", "c").toArrow().columns), strict=True):
+            out[lang][x] = c
+        return out
+
+    langs = [r["l"] for r in samples.select("l").distinct().collect()]  # texts without a letter still have a language
+    sums = lambda table: table.groupBy("l", "w").agg(F.sum("c").alias("c"))
+    words = stage(sums(samples.mapInArrow(count, "l string, w string, c long")), "word-counts")
+    grams = gathered(sums(words.mapInArrow(cut, "l string, w string, c long")), langs)
+    out = gathered(words, langs), grams
+    unstage(words)
     return out
 
 

@@ -51,7 +51,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     known = docs.filter(crc_mod(F.col("doc_id"), 4) != 2)
-    model = langid.fit(langid.word_counts(langid.sample_labelled(known, LANGUAGE_SAMPLE)))
+    model = langid.fit(*langid.sample_counts(langid.sample_labelled(known, LANGUAGE_SAMPLE)))
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -173,13 +173,14 @@ def test_language(spark, odd_docs, no_docs):
     held = [r for r in rows if r.held_out]
     assert held and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.98
-    model = langid.fit(langid.counted([("en", "the house and the garden"), ("de", "das haus und der garten")]))
+    words = langid.counted([("en", "the house and the garden"), ("de", "das haus und der garten")])
+    model = langid.fit(words, langid.counted_grams(words))
     assert model.word_scores("thez").argmax() == model.langs.index("en")  # backs off to its n-grams
     out = {r.doc_id: r for r in langid.identify(odd_docs, model, ["doc_id"]).collect()}
     assert {out[d].lang_pred for d in (2, 3, 8)} == {"und"} and all(0 <= r.score <= 1 for r in out.values())
     assert langid.identify(no_docs, model, ["doc_id"]).count() == 0
-    assert {r.lang_pred for r in langid.identify(odd_docs, langid.fit({}), ["doc_id"]).collect()} == {"und"}
-    assert langid.word_counts(langid.sample_labelled(no_docs, 10)) == {}
+    assert {r.lang_pred for r in langid.identify(odd_docs, langid.fit({}, {}), ["doc_id"]).collect()} == {"und"}
+    assert langid.sample_counts(langid.sample_labelled(no_docs, 10)) == ({}, {})
 
 
 def language_by_force(text, counts):
@@ -218,7 +219,7 @@ def test_language_by_force(spark):
     pool = [*" ".join(words.values()).split(), "jardine", "housen", "gartenhaus", "xyz", "q", "ceci"]
     texts = [" ".join(random.choices(pool, k=random.randrange(1, 9))) for _ in range(60)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    for r in langid.identify(docs, langid.fit(counts), ["text"]).collect():
+    for r in langid.identify(docs, langid.fit(counts, langid.counted_grams(counts)), ["text"]).collect():
         lang, score = language_by_force(r.text, counts)
         assert (r.lang_pred == lang or abs(score - 0.5) < 1e-4) and r.score == pytest.approx(score, abs=1e-4)
 
@@ -229,4 +230,13 @@ def test_language_sample_takes_every_language_and_no_copies(spark):
     got = langid.sample_labelled(spark.createDataFrame(rows, "lang string, text string"), 400)
     assert got.count() == got.distinct().count() <= 20 * 101
     assert {r.l for r in got.select("l").distinct().collect()} == {lang for lang, _ in rows}
-    assert set(langid.word_counts(got)) == {lang for lang, _ in rows}
+    assert set(langid.sample_counts(got)[0]) == {lang for lang, _ in rows}
+
+
+def test_language_model_keeps_all_words_and_grams_of_its_sample(spark):
+    """100,000 distinct words of one language, more than any fixed table would take, and all their n-grams."""
+    rows = [("en", " ".join("".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(i, i + 1000))) for i in range(0, 100_000, 1000)] + [("de", "zwei worte"), ("xx", "1 2")]
+    samples = spark.createDataFrame(rows, "l string, t string").repartition(5)
+    words, grams = langid.sample_counts(samples)
+    assert words == langid.counted(rows) | {"xx": Counter()} and len(words["en"]) == 100_000
+    assert grams == langid.counted_grams(words) and len(langid.fit(words, grams).words) == 100_002
