@@ -31,7 +31,7 @@ from deltaloom.llm.bpe import encoder
 from deltaloom.llm.common import one_core, slices, stage, text_key, texts_of
 
 #: Pieces that one task ranks; fillings that a further one is compared with.
-BUCKET_ROWS, DOMINATORS = 100_000, 32
+BUCKET_ROWS, COPIES, DOMINATORS = 100_000, 4096, 32
 
 
 @dataclass(frozen=True)
@@ -322,15 +322,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     """
     spark = docs.sparkSession
     pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, doc_id, text), "pieces")
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    # Rows that repeat are one row with a count, so no bucket grows with copies.
+    each = stage(pieces.groupBy("doc_id", "key", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("copies")), "distinct-pieces")
+    histogram, rows = {}, 0
+    for r in each.groupBy("length").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).collect():  # at most `capacity` rows
+        histogram[r["length"]], rows = r["n"], rows + r["rows"]
     slots = spark.sparkContext.broadcast(Slots.of(complete_bins(histogram, capacity, effort)))
-    buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(buckets)))
-    counted = spread.groupBy("length", "bucket").count()
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    spread = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(buckets)))
+    counted = spread.groupBy("length", "bucket").agg(F.sum("copies").alias("count"))
     before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("length", "bucket", before.alias("before"))
-    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "key", "piece")) - 1
-    ranked = spread.withColumn("within", within).join(offsets, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
+    within = F.coalesce(F.sum("copies").over(W.partitionBy("length", "bucket").orderBy("doc_id", "key", "piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = spread.withColumn("within", within).join(offsets, ["length", "bucket"]).withColumn("first", F.col("before") + F.col("within"))
+    # Copies come back in runs of COPIES at most, so no array grows with them.
+    run = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    nth = F.explode(F.sequence("run", F.least(F.col("run") + COPIES, F.col("copies")) - 1))
+    ranked = run.withColumn("nth", nth).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = slots.value

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from deltaloom.llm.bpe import splitter
+from deltaloom.llm import packing
 from deltaloom.llm.packing import Slots, _dominates, best_fit, complete_bins, every_filling, fillings, pack
 
 WORD = "word_bpe_49k.json"
@@ -131,3 +132,19 @@ def test_pack(odd_docs, odd_rows, no_docs):
         assert [o for o, _ in sorted(places)] == np.cumsum([0] + [n for _, n in sorted(places)])[:-1].tolist()
         assert sum(n for _, n in places) <= 64
     assert pack(no_docs, WORD).count() == 0
+
+
+@pytest.mark.parametrize("run", [4096, 7])
+def test_repeated_rows_are_one_row_with_a_count(spark, monkeypatch, run):
+    """One document 5,000 times among others: every copy has a place of its own, whatever the bucket's size."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(packing, "COPIES", run)
+    rows = [(7, "the same words again")] * 5000 + [(k, "other words " * (k % 9)) for k in range(100, 300)] + [(None, None)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD, end_id=0, capacity=64).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        assert [o for o, _ in sorted(places)] == np.cumsum([0] + [n for _, n in sorted(places)])[:-1].tolist()
+        assert sum(n for _, n in places) <= 64
