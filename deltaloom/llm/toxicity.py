@@ -25,6 +25,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import annotate, crc_mod, shielded
@@ -188,11 +189,12 @@ def _steps(bags: _Bags, y: np.ndarray, learnt: np.ndarray, prior: float, epochs:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, held_out_mod: int | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[Iterator[tuple[str, int]], float | None]:
-    """(pairs, share): labelled texts, at most about most_toxic and most_clean of either label, chosen by a hash of
+    """(pairs, share): labelled texts, at most most_toxic and most_clean of either label, chosen by a hash of
     the label's row, and the share of toxic ones among all labels that may be learnt from (None: there are none).
 
-    labels has doc_id and toxic; a document with both labels counts as toxic, nulls are left out. With
-    held_out_mod, ids whose crc32 is divisible by it are never taken.
+    labels has doc_id and toxic; a document with both labels counts as toxic, nulls are left out. Of several
+    texts with one id the one of least hash is taken, so the bound holds whatever repeats. With held_out_mod,
+    ids whose crc32 is divisible by it are never taken.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_y"))
     if held_out_mod:
@@ -200,11 +202,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_cl
     sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect() if r["_y"] in (0, 1)}
     share = sizes.get(1, 0) / sum(sizes.values()) if sizes else None
     unit = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003
-    chosen = F.lit(False)
+    chosen, most = F.lit(False), F.lit(0)
     for label, n in sizes.items():
-        chosen = chosen | ((F.col("_y") == label) & (unit < min(1.0, (most_toxic if label else most_clean) / n)))
-    picked = known.filter(chosen)
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
+        own = most_toxic if label else most_clean
+        chosen = chosen | ((F.col("_y") == label) & (unit < min(1.0, 1.2 * own / n)))
+        most = F.when(F.col("_y") == label, own).otherwise(most)
+    # A few more than the bound pass the hash; the rank among them makes it exact.
+    rank = F.row_number().over(W.partitionBy("_y").orderBy(unit, "_id"))
+    picked = known.filter(chosen).withColumn("_rank", rank).filter(F.col("_rank") <= most).select("_id", "_y")
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
+    rows = texts.groupBy("_id", "_y").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.col("_text"))).alias("_text"))
     return ((r["_text"], int(r["_y"])) for r in rows.select("_text", "_y").toLocalIterator()), share
 
 

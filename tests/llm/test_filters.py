@@ -140,6 +140,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxic > 80 and hit / toxic > 0.85 and hit / flagged > 0.85
 
 
+def test_toxic_sample_is_bounded_whatever_repeats(spark):
+    """One labelled id with a third of all rows, equal and different: one text of it is taken."""
+    rows = [(1, "the same text")] * 2000 + [(2, f"text {k}") for k in range(2000)] + [(k, f"of {k}") for k in range(3, 503)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(1, 503)], "doc_id long, toxic int")
+    pairs, share = toxicity.sample_labelled(docs, labels, 1000, 1000)
+    pairs = list(pairs)
+    assert len(pairs) == 502 and share == pytest.approx(199 / 502) and sum(t == "the same text" for t, _ in pairs) == 1
+    few = Counter(y for _, y in toxicity.sample_labelled(docs, labels, 30, 50)[0])
+    assert few[1] <= 30 and few[0] <= 50 and min(few.values()) > 15
+
+
 def test_vectors_are_more_than_one_number():
     """Dimensions part from one another, and sums by bucket are those of the plain embedding."""
     rng = random.Random(2)
