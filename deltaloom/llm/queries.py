@@ -102,7 +102,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(turns, conversations.damaged(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts, op11_simhash, op12_repair)}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_quality measures before its rules, which SQL can state."""
+    from deltaloom.llm import quality
+
+    return quality.measure(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_toxicity, op3_media, op4_token_files, op5_language, op6_bpe_codec, op7_packing, op8_minhash, op9_quality, op10_token_counts, op11_simhash, op12_repair, quality_base_counts)}
 
 #: crc32 bit by bit; one step of the recursion a row, over the four states with the cheapest text carried along.
 _REPAIR_SQL = """
@@ -148,4 +155,28 @@ select e.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::big
   coalesce(c.illegal, 0)::bigint as illegal, coalesce(d.best.cost, 0)::bigint as cost, coalesce(d.best.audit, '') as audit, sha256(coalesce(left(d.best.lines, length(d.best.lines) - 1), '')) as repaired_sha256
 from every e left join counted c on c.conv_id is not distinct from e.conv_id left join ended d on d.conv_id is not distinct from e.conv_id
 """
-ORACLES: dict[str, str] = {"op12_repair": _REPAIR_SQL}
+#: Every window of 50 words as a text of its own; its least document is where it stays.
+_SUBSTRING_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from docs where len(w) >= 50),
+windows as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as body from starts),
+firsts as (select body, min(doc_id) as first from windows group by body having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as place from windows join firsts using (body) where first < doc_id),
+placed as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from docs),
+kept as (select doc_id, string_agg(word, ' ' order by place) as body, count(*) as n from placed anti join gone using (doc_id, place) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256 from docs left join kept using (doc_id)
+"""
+_BASE_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) >= 5),
+windows as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i : i + 4], ' ')) as n from starts),
+repeats as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(i, i + 5)) as place from windows where n > 1) group by doc_id),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from docs),
+same as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+counted as (
+  select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(same.n, 0)::bigint as n_dup_lines, coalesce(repeats.n, 0)::bigint as n_repeat_words
+  from docs left join same using (doc_id) left join repeats using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted
+"""
+ORACLES: dict[str, str] = {"op1_substring": _SUBSTRING_SQL, "op12_repair": _REPAIR_SQL, "quality_base_counts": _BASE_SQL}
