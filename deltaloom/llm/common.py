@@ -133,6 +133,7 @@ def listed(column: pa.Array) -> list:
 def annotate(docs: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.DataType]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The columns `keep` of docs, unchanged, and new columns that are made from whole texts.
 
+    A kept column with the name of a new one is a ValueError, also in the operators that are made of this.
     make() is called once a task; its result takes a list of texts (or nulls) and returns one list or
     array for each of `fields`. No shuffle: rows stay in their partitions, and Arrow passes the kept
     columns through.

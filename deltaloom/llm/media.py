@@ -431,8 +431,11 @@ def thumbnails(images: DataFrame, column: str, keep: list[str]) -> DataFrame:
     row), thumbnail_hash and error.
 
     Null, empty or unreadable files have nulls and the reason in error; of a file with several images
-    the first counts.
+    the first counts. A kept column with the name of a result is a ValueError.
     """
+    clash = {"width", "height", "thumbnail", "thumbnail_hash", "error"} & set(keep)
+    if clash:
+        raise ValueError(f"columns of the input clash with results: {sorted(clash)}")
     out = [f"{f.name} {f.dataType.simpleString()}" for f in images.select(*keep).schema] + ["width int", "height int", "thumbnail binary", "thumbnail_hash string", "error string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,3 +110,11 @@ def test_thumbnails_of_stored_files(spark):
     rows = {r.id: r for r in media.thumbnails(files, "body", ["id"]).collect()}
     assert (rows[1].width, rows[1].height, rows[1].error) == (32, 29, None) and len(rows[1].thumbnail) == 16 and len(rows[1].thumbnail_hash) == 16
     assert rows[2].error and rows[3].error and rows[2].width is None
+
+
+def test_kept_columns_may_not_have_a_result_s_name(spark):
+    files = spark.createDataFrame([(1, b"", 3)], "id int, body binary, width int")
+    with pytest.raises(ValueError, match="width"):
+        media.thumbnails(files, "body", ["id", "width"])
+    with pytest.raises(ValueError, match="feature"):
+        media.media_columns(spark.createDataFrame([("a", 1)], "text string, feature int"), ["feature"])
