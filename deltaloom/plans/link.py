@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.scalars import owner_name, short_name
-from deltaloom.operators.evidence import classified, import_evidence, longest_prefix, suffix_matches
+from deltaloom.operators.evidence import FANOUT, import_evidence, longest_prefix, suffix_matches
 from deltaloom.operators.graph import ancestors
-from deltaloom.operators.ranking import first_wins
+from deltaloom.operators.ranking import first_wins, ranked
 from deltaloom.operators.staging import stage
 
 # Names that say nothing about what is called, and bases outside of any repository.
@@ -58,6 +58,27 @@ def importable(asks: DataFrame, definitions: DataFrame, imports: DataFrame) -> D
     return far.unionByName(own).distinct()
 
 
+def answers(asks: DataFrame, definitions: DataFrame, imports: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """repo, path, short, n, c_fqname: what `importable` finds, for the asks that have at most `fanout` candidates.
+
+    A file's definitions of one name are counted before they meet the asks, and more than `fanout` are never
+    listed, so what is joined grows with asks and imports, not with how often a name is defined.
+    """
+    ask, place = ["repo", "path", "short"], ["repo", "c_module", "c_path", "short"]
+    of = definitions.select("repo", F.col("module").alias("c_module"), F.col("path").alias("c_path"), "short", F.col("fqname").alias("c_fqname"), F.col("key").alias("c_key")).distinct()
+    first = ranked(of, place, [F.col("c_key")], "_rank").withColumn("_name", F.when(F.col("_rank") <= fanout, F.col("c_fqname")))
+    groups = stage(first.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.collect_list("_name").alias("_names")), "definitions")
+    proof = import_evidence(imports, ["repo", "path"], module="c_module").join(groups.select("repo", "c_module").distinct(), ["repo", "c_module"], "left_semi")
+
+    def near(groups: DataFrame, *more: str) -> DataFrame:
+        far = asks.join(proof, ["repo", "path"]).join(groups, ["repo", "c_module", "short"]).filter(~F.col("c_path").eqNullSafe(F.col("path")))
+        own = asks.join(groups.withColumn("path", F.col("c_path")), ask)
+        return far.select(*ask, *more).unionByName(own.select(*ask, *more))
+
+    few = near(groups, "_n").groupBy(*ask).agg(F.sum("_n").alias("n")).filter(F.col("n") <= fanout)
+    return near(groups.filter(F.col("_n") <= fanout), "_names").join(few, ask).select(*ask, "n", F.explode("_names").alias("c_fqname"))
+
+
 def hierarchy(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """repo, child, parent, position: base classes in the same module first, else the only one that imports support."""
     classes = symbols.filter("kind = 'class'")
@@ -66,8 +87,7 @@ def hierarchy(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     known = by_fqname(symbols).filter("kind = 'class'").select("repo", F.col("fqname").alias("parent"))
     local = raw.withColumn("parent", F.concat_ws(".", "module", "short")).join(known, ["repo", "parent"], "left_semi").select("repo", "child", "key", "position", "parent")
     rest = raw.join(local.select("repo", "child", "key", "position"), ["repo", "child", "key", "position"], "left_anti")
-    near = importable(rest.select("repo", "path", "short").distinct(), classes, imports)
-    only = near.groupBy("repo", "path", "short").agg(F.count_distinct("c_key").alias("n"), F.min("c_fqname").alias("parent")).filter("n = 1")
+    only = answers(rest.select("repo", "path", "short").distinct(), classes, imports, 1).withColumnRenamed("c_fqname", "parent")
     one = rest.drop("parent").join(only, ["repo", "path", "short"]).select("repo", "child", "key", "position", "parent")
     return local.unionByName(one).groupBy("repo", "child", "position").agg(F.min("parent").alias("parent"))
 
@@ -100,33 +120,37 @@ def link(calls: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFr
     """
     table = by_fqname(symbols)
     calls = numbered(calls)
-    exact = calls.join(table.select("repo", F.col("fqname").alias("target")), ["repo", "target"], "left_semi")
-    rest = calls.join(table.select("repo", F.col("fqname").alias("target")), ["repo", "target"], "left_anti")
-    up = inherited(rest, table, edges)
-    # Written, as many joins below start from it; so are hits and their outcomes.
-    up = stage(up, "inherited")
-    through = rest.join(up, ["repo", "target"])
-    rest = stage(rest.join(up.select("repo", "target"), ["repo", "target"], "left_anti").withColumn("short", short_name(F.col("target"))), "open-calls")
+    on = ["repo", "target"]
+    # What a target alone decides is found for distinct targets; calls meet it in one join.
+    targets, known = stage(calls.select(*on).distinct(), "targets"), table.select("repo", F.col("fqname").alias("target"))
+    rest = targets.join(known, on, "left_anti")
+    up = stage(inherited(rest, table, edges), "inherited")
+    methods = symbols.filter(F.instr("qualname", ".") > 0).groupBy("repo", "qualname").agg(F.count(F.lit(1)).alias("n"), F.min("fqname").alias("callee"))
+    ends = suffix_matches(rest.join(up.select(*on), on, "left_anti"), methods, ["repo"], "target", "qualname")
+    tails = ends.groupBy(*on).agg(F.sum("n").alias("n"), F.min("callee").alias("callee")).filter("n = 1").select(*on, "callee", F.lit(True).alias("tail"))
+    named = targets.join(known, on, "left_semi").withColumn("callee", F.col("target")).unionByName(up.withColumnRenamed("found", "callee")).withColumn("tail", F.lit(False))
+    bound = stage(named.unionByName(tails), "bound")
+
+    direct = calls.join(bound.filter("not tail"), on)
+    # Written, as many joins below start from it; so are the outcomes.
+    rest = stage(calls.drop("key").join(bound, on, "left").filter("tail is null or tail").drop("tail"), "open-calls")
+    rest = numbered(rest).withColumn("short", short_name(F.col("target")))
     builtin = (F.col("resolution") == "name") & F.col("short").isin(*BUILTINS)
     protocol = F.col("resolution").isin("attr", "typed") & F.col("short").isin(*PROTOCOL_METHODS)
     silent = rest.filter(builtin | protocol)
     open_ = rest.filter(~(builtin | protocol))
 
-    methods = symbols.filter(F.instr("qualname", ".") > 0).select("repo", "qualname", "fqname")
-    ends = suffix_matches(open_, methods, ["repo"], "target", "qualname")
-    tails = stage(ends.groupBy("repo", "target").agg(F.count(F.lit(1)).alias("n"), F.min("fqname").alias("callee")).filter("n = 1").select("repo", "target", "callee"), "tails")
-    by_tail = open_.join(tails, ["repo", "target"])
-    free = open_.join(tails, ["repo", "target"], "left_anti")
+    by_tail, free = open_.filter("callee is not null"), open_.filter("callee is null").drop("callee")
     ask = ["repo", "path", "short"]
-    told = stage(classified(importable(free.select(ask).distinct(), symbols, imports), ask), "outcomes")
-    single = free.join(told.filter("outcome = 'resolved'").select(*ask, "c_fqname"), ask)
-    copies = free.join(told.filter("outcome = 'ambiguous'").select(*ask, "c_fqname"), ask).select(*calls.columns, F.col("c_fqname").alias("callee"), F.lit("ambiguous").alias("tag"))
+    told = stage(answers(free.select(*ask).distinct(), symbols, imports), "outcomes")
+    near = free.join(told.withColumnRenamed("c_fqname", "callee"), ask)
 
-    own = lambda df, callee: df.select(*calls.columns, callee.alias("callee"), F.col("resolution").alias("tag"))
-    linked = own(exact, F.col("target")).unionByName(own(through, F.col("found"))).unionByName(own(by_tail, F.col("callee"))).unionByName(own(single, F.col("c_fqname"))).unionByName(copies)
+    own = lambda df, tag=F.col("resolution"): df.select(*calls.columns, "callee", tag.alias("tag"))
+    linked = own(direct).unionByName(own(by_tail)).unionByName(own(near, F.when(F.col("n") == 1, F.col("resolution")).otherwise("ambiguous")))
     ids = ["repo", "key"]
-    tried = open_.join(symbols.select("repo", "short").distinct(), ["repo", "short"], "left_semi").select(*ids)
-    lost = tried.join(linked.select(*ids), ids, "left_anti").unionByName(silent.select(*ids))
+    # A call is lost if its outcome is: no id is looked up among all that are linked.
+    tried = free.join(symbols.select("repo", "short").distinct(), ["repo", "short"], "left_semi")
+    lost = tried.join(told.select(*ask).distinct(), ask, "left_anti").select(*ids).unionByName(silent.select(*ids))
     return linked, lost
 
 
