@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.operators.staging import stage
+from deltaloom.operators.staging import stage, together
 
-#: Steps of an iteration, and levels of a closure, that are one job and one written table.
-STEPS, LEVELS = 5, 3
+#: Levels of a closure that are one job and one written table.
+LEVELS = 3
 
 
 def descendants(starts: DataFrame, edges: DataFrame, start: str = "start", child: str = "child", parent: str = "parent", stops: DataFrame | None = None) -> DataFrame:
@@ -62,29 +62,30 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 25, src:
 
     The iteration is linear: scores are a sum of the vectors v_k that k steps along the edges make of the
     uniform vector, with factors that depend on the vectors' sums only. So each step is one join and
-    one aggregation, without a scalar in between, STEPS of them are one job, and factors are worked out at
-    the end from as many numbers as there are iterations.
+    one aggregation, without a scalar in between, and factors are worked out at the end from as many numbers
+    as there are iterations. A step is one job and one written table: plans of many steps, with all their
+    stages, are held by the driver. An empty vector ends the walk, as all that follow are empty too.
     """
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
-    nodes = stage(pairs.select(F.col("src").alias("node")).unionAll(pairs.select(F.col("dst").alias("node"))).distinct(), "nodes")
+    counted = stage(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")), "edges")
+    nodes = stage(counted.select(F.col("src").alias("node")).unionAll(counted.select(F.col("dst").alias("node"))).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
-    counted = pairs.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
+    counted = counted.filter("src <> dst")
     out = counted.groupBy("src").agg(F.sum("c").alias("d"))
     weighted = stage(counted.join(out, "src").select("src", "dst", (F.col("c") / F.col("d")).alias("w")), "weights")
-    vector, steps, every = nodes.select("node", F.lit(1.0 / n).alias("v")), None, None
+    vector, every = nodes.select("node", F.lit(1.0 / n).alias("v")), []
     for k in range(1, iterations + 1):
         step = weighted.join(vector, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-        vector = step.select(F.col("dst").alias("node"), "v")
-        tagged = vector.withColumn("k", F.lit(k))
-        steps = tagged if steps is None else steps.unionAll(tagged)
-        if k % STEPS == 0 or k == iterations:
-            # The weights' exchange and each step's are made once in a job, and used again by what follows.
-            steps = stage(steps, "vectors")
-            vector = steps.filter(F.col("k") == k).select("node", "v")
-            every = steps if every is None else every.unionAll(steps)
-            steps = None
+        written = stage(step.select(F.col("dst").alias("node"), "v", F.lit(k).alias("k")), "vector")
+        if written.isEmpty():
+            break
+        every.append(written)
+        vector = written.select("node", "v")
+    if not every:
+        return nodes.withColumn("score", F.lit(1.0 / n))
+    every = together(*every)
     mass = {r["k"]: r["m"] for r in every.groupBy("k").agg(F.sum("v").alias("m")).collect()}
     factor = [1.0] + [0.0] * iterations
     for _ in range(iterations):

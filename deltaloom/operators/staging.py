@@ -34,6 +34,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """Written tables of one schema as one scan, instead of a union of as many."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._written_at for t in tables))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

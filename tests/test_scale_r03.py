@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from deltaloom.operators import graph, staging
 from deltaloom.plans import link
 
 
@@ -34,3 +35,29 @@ def test_copies_of_a_definition_are_counted_before_they_meet_the_asks(spark):
     want = sorted(map(tuple, by_force.collect()))
     assert len(want) == 38 * 3 and sorted(map(tuple, got.collect())) == want
     assert rows_made(link.answers(asks, symbols, imports)) < 300 < 40 * 50 <= rows_made(link.importable(asks, symbols, imports))
+
+
+def test_pagerank_ends_with_the_walk_and_keeps_plans_small(spark, monkeypatch):
+    """Every written table has one step's plan; walks that die out are not followed, and cycles are, to the end."""
+    plans = []
+
+    def kept(df, name="stage"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join")))
+        return staging.stage(df, name)
+
+    monkeypatch.setattr(graph, "stage", kept)
+    made = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    ends = {r.node: r.score for r in graph.pagerank(made([("a", "s"), ("a", "t"), ("b", "t"), ("b", "b"), ("a", None)])).collect()}
+    assert [n for n, _ in plans].count("vector") == 2
+    rows = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")]
+    cycle = {r.node: r.score for r in graph.pagerank(made(rows)).collect()}
+    assert [n for n, _ in plans].count("vector") == 2 + 25 and max(n for _, n in plans) <= 1
+    alone = {r.node: r.score for r in graph.pagerank(made([("x", "x"), ("y", "y")])).collect()}
+    assert alone == {"x": 0.5, "y": 0.5}
+    for got, edges in ((ends, [("a", "s"), ("a", "t"), ("b", "t")]), (cycle, [e for e in rows if e[0] != e[1]])):
+        rank = dict.fromkeys(got, 1 / len(got))
+        for _ in range(25):
+            out = {n: [b for a, b in edges if a == n] for n in got}
+            lost = sum(rank[n] for n in got if not out[n])
+            rank = {n: 0.15 / len(got) + 0.85 * lost / len(got) + 0.85 * sum(rank[m] * out[m].count(n) / len(out[m]) for m in got if out[m]) for n in got}
+        assert all(abs(rank[n] - got[n]) < 1e-12 for n in got)
