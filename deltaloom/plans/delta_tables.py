@@ -117,7 +117,7 @@ def index_statistics(spark, d):
     none = spark.createDataFrame([], "repo string, child string, parent string, position int")
     linked, dropped = link.link(calls, symbols, imports, none)
     parsed = symbols.select("repo", "path").distinct().withColumn("error", F.when(F.col("path") == "m50.py", "bad syntax"))
-    return link.statistics(parsed, symbols, calls, stage(linked, "linked"), dropped)
+    return link.statistics(parsed, symbols, calls, linked, dropped)
 
 
 #: Lines of a hunk, and how they are marked in turn.

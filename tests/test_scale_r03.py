@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from deltaloom.operators import graph, staging
-from deltaloom.plans import link
+from deltaloom.operators import graph, history, intervals, staging
+from deltaloom.plans import delta_tables, link, registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows_made(df):
@@ -61,3 +63,11 @@ def test_pagerank_ends_with_the_walk_and_keeps_plans_small(spark, monkeypatch):
             lost = sum(rank[n] for n in got if not out[n])
             rank = {n: 0.15 / len(got) + 0.85 * lost / len(got) + 0.85 * sum(rank[m] * out[m].count(n) / len(out[m]) for m in got if out[m]) for n in got}
         assert all(abs(rank[n] - got[n]) < 1e-12 for n in got)
+
+
+def test_statistics_write_no_table_of_linked_calls(spark, monkeypatch):
+    """Bound calls are counted as they are made; only what the linker reads again is written."""
+    names = []
+    monkeypatch.setattr(delta_tables, "stage", lambda df, name="stage": names.append(name) or staging.stage(df, name))
+    delta_tables.index_statistics(spark, SF)
+    assert names == ["index"] * 3
