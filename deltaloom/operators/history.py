@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deltaloom.operators.staging import dealt
 
-def co_changes(commit_files: DataFrame, commit: str, path: str, least: int = 2, most: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+
+def co_changes(commit_files: DataFrame, commit: str, path: str, least: int = 2, most: int = 30, by: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
     """a, b, n: how often two files are in one commit of `least` to `most` files, for each value of the
     columns `by` (which are a commit's own, such as its year).
 
-    Larger commits are gone before the self join, so it is linear: at most `most` rows for each row.
+    Larger commits are gone before pairs are made: at most `most` rows for each row. A task takes the
+    commits of about ROWS pairs, which are counted first (from above: repeated rows count), and not what is a
+    handy number of bytes before they are paired. sparse: most pairs come once, so they are dealt to
+    tasks of bounded size as they are; else they are combined before the shuffle.
     """
-    rows = commit_files.select(F.col(commit).alias("_c"), F.col(path).alias("_p"), *by).distinct()
-    files = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("k"))
-    fair = rows.join(files.filter(F.col("k").between(least, most)), "_c").select("_c", "_p", *by)
-    pairs = fair.select("_c", F.col("_p").alias("a"), *by).join(fair.select("_c", F.col("_p").alias("b")), "_c").filter("a <> b")
+    rows = commit_files.select(F.col(commit).alias("_c"), F.col(path).alias("_p"), *by).filter("_c is not null")
+    k = F.least(F.col("k"), F.lit(most))
+    likely = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(k * (k - 1)).alias("n")).first()["n"]
+    sized = dealt(rows, likely, "_c").distinct().withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("_c")))
+    fair = sized.filter(F.col("_k").between(least, most)).groupBy("_c", *by).agg(F.collect_list("_p").alias("_all"))
+    pairs = fair.withColumn("a", F.explode("_all")).withColumn("b", F.explode("_all")).filter("a <> b").select("a", "b", *by)
+    pairs = dealt(pairs, likely, "a", "b") if sparse else pairs
     return pairs.groupBy("a", "b", *by).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -25,7 +33,7 @@ def companions(pairs: DataFrame, changed: DataFrame | None = None, top: int = 3,
 
     The limit comes before the conditions, so a frequent file that changed takes a place.
     """
-    by_a = W.partitionBy("a")
-    ranked = pairs.withColumn("rank", F.row_number().over(by_a.orderBy(F.desc("n"), "b"))).withColumn("most", F.max("n").over(by_a))
+    by_a = W.partitionBy("a").orderBy(F.desc("n"), "b")
+    ranked = pairs.withColumn("rank", F.row_number().over(by_a)).withColumn("most", F.first("n").over(by_a))
     kept = ranked.filter((F.col("rank") <= top) & (F.col("n") >= least) & (F.col("n") >= share * F.col("most"))).drop("most")
     return kept.join(changed.select(F.col("path").alias("b")).distinct(), "b", "left_anti") if changed is not None else kept

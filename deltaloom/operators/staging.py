@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task takes of a table that is dealt out by `dealt`.
+ROWS = 500_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -34,6 +36,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int | None, *by: str) -> DataFrame:
+    """df in parts of about ROWS rows by the columns `by`, whatever size its rows have in a shuffle.
+
+    Coalescing goes by bytes before a step makes more rows of them; a task's memory would grow with the table.
+    """
+    return df.repartition(max(1, -(-int(rows or 0) // ROWS)), *by)
+
+
 def together(*tables: DataFrame) -> DataFrame:
     """Written tables of one schema as one scan, instead of a union of as many."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._written_at for t in tables))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.operators.history import co_changes, companions
+from deltaloom.operators.staging import dealt
 from jobs.common import counted, earlier, log, main
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "companion_history.json")
@@ -36,9 +37,11 @@ def run(spark: SparkSession, orders: str, lineitem: str, output: str, settings:
     """Recounts the years asked for under output/pairs and then output/companions; returns counts of rows."""
     log.info("reading %s and %s, years %s to %s", orders, lineitem, settings["first_year"], settings["last_year"])
     files, rows_read = counted(touched(spark.read.parquet(orders), spark.read.parquet(lineitem), settings["first_year"], settings["last_year"]), "read")
-    pairs, rows_paired = counted(co_changes(files, "commit", "path", settings["least"], settings["most"], by=("year",)), "pairs")
+    pairs, rows_paired = counted(co_changes(files, "commit", "path", settings["least"], settings["most"], by=("year",), sparse=True), "pairs")
     pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{output}/pairs")
-    whole = earlier(spark, f"{output}/pairs", PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted_pairs = earlier(spark, f"{output}/pairs", PAIRS).select("a", "b", "n")
+    # Dealt by a once, for the sums and for the ranks of each a; the count comes from the files' footers.
+    whole = dealt(counted_pairs, counted_pairs.count(), "a").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best, rows_kept = counted(companions(whole, top=settings["top"], least=settings["together"], share=settings["share"]).select("a", "b", "n", "rank"), "companions")
     best.write.mode("overwrite").partitionBy("rank").parquet(f"{output}/companions")
     counts = {"read": rows_read.get["rows"], "pairs": rows_paired.get["rows"], "companions": rows_kept.get["rows"]}

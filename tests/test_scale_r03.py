@@ -65,6 +65,25 @@ def test_pagerank_ends_with_the_walk_and_keeps_plans_small(spark, monkeypatch):
         assert all(abs(rank[n] - got[n]) < 1e-12 for n in got)
 
 
+def test_a_task_pairs_a_bounded_number_of_files(spark, monkeypatch):
+    """Commits are dealt out by the pairs that they make; companions of a table of pairs are ranked by one sort."""
+    dealt = []
+    monkeypatch.setattr(history, "dealt", lambda df, rows, *by: dealt.append(rows) or staging.dealt(df, rows, *by))
+    monkeypatch.setattr(staging, "ROWS", 40)
+    rows = [(c, f"f{(c * 7 + i) % 23}") for c in range(50) for i in range(c % 6)] * 2 + [(99, f"f{i}") for i in range(31)] + [(None, "f1"), (None, "f2"), (7, None)]
+    made, alike = (history.co_changes(spark.createDataFrame(rows, "c int, p string"), "c", "p", sparse=x) for x in (True, False))
+    want = {}
+    for c in range(50):
+        files = {p for k, p in rows if k == c}
+        for a in files:
+            for b in files - {a} if 2 <= len(files) <= 30 else ():
+                want[a, b] = want.get((a, b), 0) + (a is not None and b is not None)
+    assert {(r.a, r.b): r.n for r in made.collect()} == {k: n for k, n in want.items() if n}
+    assert sorted(alike.collect()) == sorted(made.collect()) and len(dealt) == 3 and min(dealt) >= sum(want.values())
+    ranked = history.companions(made, least=1, share=0.0)
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1 + made._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+
 def test_statistics_write_no_table_of_linked_calls(spark, monkeypatch):
     """Bound calls are counted as they are made; only what the linker reads again is written."""
     names = []
