@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from deltaloom.functions import scalars as S
 from deltaloom.functions.model_output import normalized, verdict
 from deltaloom.operators import evidence, graph, history, intervals, merge, ranking
+from deltaloom.operators.staging import dealt
 from deltaloom.plans import scenarios
 
 QUERIES: dict = {}
@@ -67,7 +68,7 @@ select a, b, n, rank::int as rank from ranked where rank <= 3 and n >= 3 and n >
 """)
 def companions(spark, d):
     """The most frequent companions of a file: limit first, conditions after."""
-    return history.companions(history.co_changes(_t(spark, d, "lineitem"), "l_orderkey", "l_partkey")).select("a", "b", "n", F.col("rank").cast("int").alias("rank"))
+    return history.companions(history.co_changes(_t(spark, d, "lineitem"), "l_orderkey", "l_partkey", sparse=True)).select("a", "b", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def _pagerank_sql(iterations: int = 25) -> str:
@@ -346,10 +347,12 @@ from e h1 join supplier on s_suppkey = h1.dst join customer on c_custkey = s_sup
 def two_hop(spark, d):
     """Two steps along all edges; each end has at most one wrapper, by key, so no row is filtered."""
     rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    # An order is one row, so there are at most as many edges as lines; dealt by src, they are distinct and meet the second step where they are.
+    edges = dealt(rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")), _t(spark, d, "lineitem").count(), "src").distinct()
     wrap = _t(spark, d, "customer").join(_t(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "s_suppkey").distinct()
     first = edges.join(wrap, F.col("dst") == F.col("s_suppkey")).select(F.col("src").alias("start"), F.col("c_custkey").alias("via"))
-    return first.join(edges, F.col("via") == F.col("src")).select("start", "via", F.col("dst").alias("reached")).distinct()
+    # Edges and wrappers are distinct and via is the wrapped supplier's key, so no row comes twice: the largest table, the result, isn't shuffled.
+    return first.join(edges, F.col("via") == F.col("src")).select("start", "via", F.col("dst").alias("reached"))
 
 
 @_query(r"""

@@ -65,6 +65,14 @@ def test_pagerank_ends_with_the_walk_and_keeps_plans_small(spark, monkeypatch):
         assert all(abs(rank[n] - got[n]) < 1e-12 for n in got)
 
 
+def test_two_hop_does_not_group_its_result(spark):
+    """The result is by far the largest table, and distinct as it is: its last step is the join."""
+    plan = registry.QUERIES["two_hop"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().apply(0)
+    assert plan.nodeName() == "Join"
+
+
 def test_a_task_pairs_a_bounded_number_of_files(spark, monkeypatch):
     """Commits are dealt out by the pairs that they make; companions of a table of pairs are ranked by one sort."""
     dealt = []
