@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deltaloom.operators.staging import dealt, stage
+
 
 def owning_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: list[Column], keep: list[str], cell: int = 64) -> DataFrame:
     """Each point with the columns `keep` of the least span by `order` that holds it (nulls: none).
@@ -24,21 +26,24 @@ def owning_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, s
     return points.join(owned, [*keys, at], "left")
 
 
-def running_at(events: DataFrame, asked: DataFrame, keys: list[str], at: str, value: str, cell: int = 4096) -> DataFrame:
-    """keys, at, running: at each distinct asked place, the sum of the values of all events of its keys up to there, it included.
+def running_at(events: DataFrame, asked: DataFrame, keys: list[str], at: str, value: str, cell: int = 4096, running: str = "running") -> DataFrame:
+    """The rows asked with `running`: the sum of the values of all events of their keys up to their place, it included; 0 for none.
 
-    Events and questions go along one line together. The line is cut into cells of `cell` units: sums run
-    inside of cells, and the cells' totals run over cells, so no key's whole line is one task's.
+    Events and questions go along one line together. The line is cut into cells of `cell` units, which are
+    dealt to tasks by number of rows; what lies before a cell is one more event at its start. So sums run inside
+    of cells, no key's whole line is one task's, and questions keep their columns instead of being looked up again.
     """
-    ask = asked.select(*keys, F.col(at).cast("long").alias(at), F.lit(0).cast("long").alias("_v"), F.lit(True).alias("_ask"))
-    tell = events.select(*keys, F.col(at).cast("long").alias(at), F.col(value).cast("long").alias("_v"), F.lit(False).alias("_ask"))
-    line = ask.unionByName(tell).filter(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.sum("_v").alias("_v"), F.max("_ask").alias("_ask"))
-    line = line.withColumn("_cell", F.floor(F.col(at) / cell))
-    inner = line.withColumn("_inner", F.sum("_v").over(W.partitionBy(*keys, "_cell").orderBy(at)))
+    ask = asked.withColumn("_at", F.col(at).cast("long")).withColumn("_v", F.lit(0).cast("long")).withColumn("_ask", F.lit(True))
+    tell = events.select(*keys, F.col(at).cast("long").alias("_at"), F.col(value).cast("long").alias("_v")).filter(F.col("_at").isNotNull())
+    place = F.floor(F.col("_at") / cell)
+    slim = ask.select(*keys, "_at", "_v").unionByName(tell)
+    cells = stage(slim.groupBy(*keys, place.alias("_cell")).agg(F.sum("_v").alias("_t"), F.count(F.lit(1)).alias("_n")), "cells")
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = line.groupBy(*keys, "_cell").agg(F.sum("_v").alias("_t")).withColumn("_outer", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    on = [inner[k].eqNullSafe(cells[k]) for k in [*keys, "_cell"]]
-    return inner.filter("_ask").join(cells, on).select(*(inner[k] for k in keys), inner[at], (F.col("_inner") + F.col("_outer")).alias("running"))
+    carry = cells.select(*keys, (F.col("_cell") * cell).alias("_at"), F.sum("_t").over(before).alias("_v")).filter("_v <> 0 and _at is not null")
+    line = ask.unionByName(tell, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True).withColumn("_cell", place)
+    line = dealt(line, cells.agg(F.sum("_n")).first()[0], *keys, "_cell")
+    upto = W.partitionBy(*keys, "_cell").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return line.withColumn(running, F.sum("_v").over(upto)).filter("_ask").select(*asked.columns, running)
 
 
 def _looked_up(rows: DataFrame, running: DataFrame, keys: list[str], place: Column, at: str, name: str) -> DataFrame:
@@ -55,7 +60,7 @@ def coverage(spans: DataFrame, points: DataFrame, keys: list[str], start: str, e
     spans and points a key has. Spans that end before they start, or lack an end, hold none.
     """
     events = points.select(*keys, at).distinct().withColumn("_one", F.lit(1))
-    ends = spans.select(*keys, (F.col(start) - 1).alias(at)).unionByName(spans.select(*keys, F.col(end).alias(at)))
+    ends = spans.select(*keys, (F.col(start) - 1).cast("long").alias(at)).unionByName(spans.select(*keys, F.col(end).cast("long").alias(at))).distinct()
     running = running_at(events, ends, keys, at, "_one", cell)
     both = _looked_up(_looked_up(spans, running, keys, F.col(start) - 1, at, "_before"), running, keys, F.col(end), at, "_upto")
     count = F.when(F.col(start) <= F.col(end), F.col("_upto") - F.col("_before")).otherwise(0)
@@ -67,5 +72,4 @@ def depth(points: DataFrame, spans: DataFrame, keys: list[str], start: str, end:
     good = spans.filter(F.col(start) <= F.col(end))
     begun = good.select(*keys, F.col(start).alias(at), F.lit(1).alias("_step"))
     ended = good.select(*keys, (F.col(end) + 1).alias(at), F.lit(-1).alias("_step"))
-    running = running_at(begun.unionByName(ended), points, keys, at, "_step", cell)
-    return _looked_up(points, running, keys, F.col(at), at, name)
+    return running_at(begun.unionByName(ended), points, keys, at, "_step", cell, name)

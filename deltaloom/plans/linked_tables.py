@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.operators import evidence, intervals, matching
-from deltaloom.operators.staging import stage
+from deltaloom.operators.staging import dealt, stage
 from deltaloom.plans import link
 
 QUERIES: dict = {}
@@ -155,7 +155,7 @@ select p.s as supplier, p.at, count(s.a)::bigint as depth from p left join s on
 def span_depth(spark, d):
     """How many spans hold each point: 0 is a line outside of all symbols."""
     lines = _t(spark, d, "lineitem")
-    points = lines.select(F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("at")).distinct()
+    points = dealt(lines.select(F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("at")), lines.count(), "supplier", "at").distinct()
     spans = _t(spark, d, "supplier").join(lines.filter("l_tax > 0.04"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("supplier"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("z"))
     return intervals.depth(points, spans, ["supplier"], "a", "z", "at").select("supplier", "at", "depth")
 

@@ -92,6 +92,18 @@ def test_a_task_pairs_a_bounded_number_of_files(spark, monkeypatch):
     assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1 + made._jdf.queryExecution().optimizedPlan().toString().count("Window [")
 
 
+def test_a_sweep_is_one_pass_over_its_points(spark, monkeypatch):
+    """Points come out of the sweep with their columns, in parts of bounded size, whatever is null or repeated."""
+    monkeypatch.setattr(staging, "ROWS", 10)
+    points = [(k, i, f"t{i % 3}") for k in ("a", "b", None) for i in range(-9, 60, 2)] + [("a", None, "n"), ("a", 5, "x"), ("a", 5, "x"), ("c", 4000, "y")]
+    spans = [(k, i, i + i % 11) for k in ("a", None) for i in range(-5, 50, 3)] + [("a", 9, 3), ("a", 1, None), ("c", 1, 9000), ("d", 1, 2)]
+    p, s = spark.createDataFrame(points, "k string, at int, tag string"), spark.createDataFrame(spans, "k string, a int, z int")
+    got = intervals.depth(p, s, ["k"], "a", "z", "at", cell=8)
+    want = sorted(repr((k, at, tag, sum(1 for key, a, z in spans if key == k and at is not None and z is not None and a <= at <= z))) for k, at, tag in points)
+    assert got.columns == ["k", "at", "tag", "depth"] and sorted(repr(tuple(r)) for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() > 4 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_statistics_write_no_table_of_linked_calls(spark, monkeypatch):
     """Bound calls are counted as they are made; only what the linker reads again is written."""
     names = []
