@@ -13,7 +13,7 @@ DEFAULT_CONFIDENCE = 0.3
 # Fixed value: what counts as a test file.
 TEST_PATH = r"(^|/)(tests?/|test_[^/]*\.py$|[^/]*_test\.py$|conftest\.py$)"
 #: All line ends that Python's str.splitlines knows.
-LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\u0085\\u2028\\u2029]"
+LINE_END = "\\R|[\\x1C-\\x1E]"
 
 
 def severity_rank(severity: Column) -> Column:
@@ -54,9 +54,11 @@ def site_score(resolution: Column, other_file: Column, test: Column, contract: C
 
 
 def split_lines(text: Column) -> Column:
-    """Lines as Python's str.splitlines gives them: a line end at the very end opens no further line."""
-    lines = F.split(text, LINE_END)
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    """Lines as Python's str.splitlines gives them: a line end at the very end opens no further line.
+
+    The text is split once: named in each branch, the split would be made again in each.
+    """
+    return F.transform(F.array(F.split(text, LINE_END)), lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))[0]
 
 
 def numbered_window(lines: Column, line: Column, radius: int) -> Column:

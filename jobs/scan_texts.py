@@ -11,8 +11,13 @@ a batch, so that a first run over very many files is taken in steps that a failu
 from __future__ import annotations
 
 import os
-from functools import partial
+import re
+from collections.abc import Callable
+from functools import partial, reduce
+from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +36,47 @@ def _hit(line: Column, rule: dict, ord_: int, excerpt: int) -> Column:
     return F.when(line.rlike(rule["pattern"]), F.struct(*(v.alias(k) for k, v in values.items())))
 
 
+def _same_in_re2(pattern: str) -> bool:
+    """Whether Arrow's RE2 finds a pattern in the same lines as Spark does.
+
+    So it is for literals, classes, groups and repetitions; escapes, flags, lookaround and classes made of classes may differ.
+    """
+    if re.search(r"\\|\(\?|&&|\[\^?\]|\[[^]]*\[", pattern):
+        return False
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
+def _any_of(patterns: list[str]) -> Callable[[Column], Column]:
+    @F.arrow_udf("boolean")
+    def found(lines: pa.Array) -> pa.Array:
+        return reduce(pc.or_, (pc.match_substring_regex(lines, p) for p in patterns))
+
+    return found
+
+
+def _worth(line: Column, settings: dict) -> Column:
+    """Whether any rule that reaches the floor finds something in a line.
+
+    Few lines have a hit, and Java's patterns are slow while several take turns in all threads of an executor: RE2 reads a
+    line once for all rules that mean the same to it, and only what is left meets the rules one by one.
+    """
+    patterns = [r["pattern"] for r in settings["rules"] if r["confidence"] >= settings["floor"]]
+    same = [p for p in patterns if _same_in_re2(p)]
+    one = "|".join(f"({p})" for p in same)
+    tests = [line.rlike(p) for p in patterns if p not in same]
+    if same:
+        tests.append(_any_of([one] if _same_in_re2(one) else same)(F.make_valid_utf8(line)))
+    return reduce(or_, tests, F.lit(False))
+
+
 def hits(documents: DataFrame, settings: dict) -> DataFrame:
     """file, line, tokens, ord, title, layer, severity, confidence, excerpt: all that the rules find in whole texts (null: nothing)."""
     file = F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
-    lines = documents.select(file.alias("file"), F.posexplode(split_lines(F.col("text"))).alias("at", "text"))
+    lines = documents.select(file.alias("file"), F.posexplode(split_lines(F.col("text"))).alias("at", "text")).filter(_worth(F.col("text"), settings))
     found = F.array_compact(F.array(*(_hit(F.col("text"), r, i, settings["excerpt"]) for i, r in enumerate(settings["rules"]))))
     rows = lines.select("file", (F.col("at") + 1).alias("line"), token_estimate(F.col("text")).alias("tokens"), F.explode(found).alias("hit"))
     return rows.select("file", "line", "tokens", "hit.*").filter(F.col("confidence") >= settings["floor"])

@@ -193,3 +193,59 @@ def test_command_line(tmp_path):
 def test_jobs_need_no_other_half():
     for p in Path(scan_texts.__file__).parent.glob("*.py"):
         assert not re.search(r"\bllm\b|corpus_pipeline", p.read_text())
+
+
+def rule(pattern, confidence=0.9, layer="proof"):
+    return {"title": pattern, "layer": layer, "severity": "high", "confidence": confidence, "pattern": pattern}
+
+
+def tried(df):
+    """Rows that meet the rules one by one: what the filter under the hits lets through."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        plans, out = [df._jdf.queryExecution().executedPlan()], []
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "Filter":
+            out.append(p.metrics().apply("numOutputRows").value())
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_only_lines_with_hits_meet_the_rules(spark):
+    rows = [(i, "a", "\n".join(f"line {j} of it" if j or i % 10 else "mail a@b.org, 123456789012" for j in range(50))) for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    df = scan_texts.hits(documents, config(scan_texts.CONFIG))
+    # Of 2,000 lines four have a mail address; the filter after the hits keeps as many, and drops the long number, below the floor.
+    assert df.count() == 4 and tried(df) == [4, 4]
+
+
+def test_a_text_is_split_once(spark):
+    documents = spark.createDataFrame([(1, "a", "x\ny\n")], "doc_id long, source string, text string")
+    plan = scan_texts.hits(documents, config(scan_texts.CONFIG))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
+
+
+@pytest.mark.parametrize("floor", [0.5, 0.95])
+def test_rules_of_any_syntax_find_what_spark_finds(spark, floor):
+    """Patterns that RE2 reads like Spark, reads otherwise, or can't read; lines with odd characters and broken UTF-8."""
+    patterns = ["^a+$", "(^|[^0-9])[0-9]{3}([^0-9]|$)", ".", "^$", "é|ß", r"\bword\b", r"\w\s\d", "(?i)K", "a(?=b)", "(?<!x)y", "(a)b\\1", "a*+b", "[a-f[xyz]]{2}", "[a-z&&[^b-y]]{2}", "[]q]{2}", "x{1001}", "\\x{1F600}", "^.{3}$", r"\p{L}{4}"]
+    rules = [rule(p) for p in patterns] + [rule("z+", 0.3), rule("high", 0.99), rule("[0-9]{3}", 0.96, "hint")]
+    lines = ["aaa", "123", "x123y", "1234", "", "é", "Kelvin K", "word", "aword b", "w 1", "ab", "xy", "aba", "aaab", "az", "]q]", "x" * 1001, "😀😀", "zzz", "high 123", "a 123\u0085b", "\x1c1\x1d2\x1e", "\r\n\r", "ſ k", "\x00123\x00"]
+    documents = spark.createDataFrame([(i, "s", t) for i, t in enumerate(lines)] + [(90, None, "\n".join(lines) + "\n"), (91, "s", None)], "doc_id long, source string, text string")
+    documents = documents.unionByName(spark.sql("select 92L doc_id, 's' source, cast(concat(X'FF', cast('123' as binary), X'C328') as string) text"))
+    settings = {"floor": floor, "reach": 1, "excerpt": 20, "rules": rules}
+    texts = documents.select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("file"), F.posexplode(scan_texts.split_lines(F.col("text"))).alias("at", "text"))
+    want = {(r.file, r.at + 1, i) for i, x in enumerate(rules) if x["confidence"] >= floor for r in texts.filter(F.col("text").rlike(x["pattern"])).collect()}
+    got = [(r.file, r.line, r.ord) for r in scan_texts.hits(documents, settings).collect()]
+    assert sorted(got) == sorted(want) and len({i for _, _, i in want}) == sum(x["confidence"] >= floor for x in rules)
+
+
+def test_no_rule_reaches_the_floor(spark):
+    documents = spark.createDataFrame([(1, "a", "zz")], "doc_id long, source string, text string")
+    assert scan_texts.hits(documents, {"floor": 0.5, "reach": 1, "excerpt": 20, "rules": [rule("z+", 0.3)]}).count() == 0
