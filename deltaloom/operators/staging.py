@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written as Parquet and read back: a lost executor costs a re-read."""
+def stage(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written as Parquet (a folder for each value of `by`) and read back: a lost executor costs a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deltaloom-{uuid.uuid4().hex}-{name}"
     if not _written:
         atexit.register(clear)
     _written.append((spark, path))
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -44,6 +46,19 @@ def dealt(df: DataFrame, rows: int | None, *by: str) -> DataFrame:
     return df.repartition(max(1, -(-int(rows or 0) // ROWS)), *by)
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while, and are then what they were."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def together(*tables: DataFrame) -> DataFrame:
     """Written tables of one schema as one scan, instead of a union of as many."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._written_at for t in tables))
